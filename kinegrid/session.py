@@ -23,3 +23,21 @@ def local_session(cores: int | str = 8, app: str = "kinegrid", **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once for each application; Spark hands the file to every executor."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_kinegrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kinegrid-ship-")) / "kinegrid_code.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(target))
+    context._kinegrid_shipped = True
