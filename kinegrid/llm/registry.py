@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from kinegrid.llm import op01_mix, op07_decontaminate, op10_tokens
+from kinegrid.llm import op01_mix, op05_html, op07_decontaminate, op08_language, op10_tokens
+from kinegrid.session import ship
 
-_MODULES = (op01_mix, op07_decontaminate, op10_tokens)
+_MODULES = (op01_mix, op05_html, op07_decontaminate, op08_language, op10_tokens)
+
+
+def _shipped(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable]:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {k: _shipped(f) for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
