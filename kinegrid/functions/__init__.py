@@ -1 +1 @@
-"""See the package README section."""
+"""Column and window expressions: time series, text, statistics."""

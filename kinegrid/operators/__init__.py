@@ -1 +1 @@
-"""See the package README section."""
+"""Operators from DataFrame to DataFrame: features, labelling rules, metrics, selection, validation, sensitivity."""

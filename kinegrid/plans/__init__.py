@@ -1 +1 @@
-"""See the package README section."""
+"""Registered queries over the test tables, each with its SQL."""

@@ -25,7 +25,15 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Import every module of queries once."""
+    from importlib import import_module
+    from pkgutil import iter_modules
+
+    from kinegrid import plans
+
+    for module in iter_modules(plans.__path__):
+        if module.name.startswith("q_"):
+            import_module(f"kinegrid.plans.{module.name}")
 
 
 def queries() -> dict[str, Callable]:

@@ -1 +1 @@
-"""See the package README section."""
+"""Readers, writers and adapters from the test tables to the library's schemas."""
