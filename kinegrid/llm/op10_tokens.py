@@ -26,9 +26,10 @@ from kinegrid.llm.common import scratch_path, table
 
 BLOCK_IDS = 1 << 16
 #: Distinct space-separated pieces whose ids a worker keeps; all are forgotten together beyond it.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 300_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"\s | \s|^ | $")
+_SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
+_STEM = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)")
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -62,9 +63,10 @@ def unpack(data: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 class Encoder:
     """Encodes texts through the ids of their space-separated pieces.
 
-    The byte-level pre-tokenizer never joins a lone space to what stands before it, so the ids of a text are those of its
-    pieces, each with the space before it. The library encodes each distinct piece once; longer runs of white space stay
-    inside a piece.
+    The byte-level pre-tokenizer never joins a lone space or line feed to what stands before it, nor letters and digits to the
+    punctuation after them. So a text's ids are those of its pieces, each with the space before it, and a piece's ids those of
+    its lines' stems and tails. The library encodes each new stem once, many in one text: each begins with a space (or follows
+    a line feed), which marks where its ids begin. Pieces that hold or touch other white space are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -73,28 +75,89 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.bits = bits_for(self.library.get_vocab_size())
+        self.begins = {" ": np.zeros(1 << self.bits, bool), "\n": np.zeros(1 << self.bits, bool)}
+        for token, at in self.library.get_vocab().items():
+            self.begins[" "][at] = token.startswith("\u0120")
+            self.begins["\n"][at] = token == "\u010a"
+        self.feed = self._one("\n")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, found in zip(part, self.library.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+        self.stems: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
+        self.tails: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, before: str, stems: list[str]) -> None:
+        """Ids of stems that follow a space, or a line feed (whose own ids are left out)."""
+        known, skipped = self.stems[before], 4 if before == "\n" else 0
+        for at in range(0, len(stems), 10_000):
+            part = stems[at : at + 10_000]
+            ids = np.array(self.library.encode(before + before.join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.begins[before][ids])
+            if len(starts) != len(part) or starts[0]:
+                known.update((p, self._one(before + p)[skipped:]) for p in part)
+                continue
+            body, places = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            known.update((p, body[a + skipped : b]) for p, a, b in zip(part, places[:-1], places[1:], strict=True))
+
+    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
+        """Ids of pieces that follow a space (before: " ") or begin a text (before: "")."""
+        plans, missing = [], {" ": set(), "\n": set()}
+        kind = before or "\n"
+        stems = self.stems[kind]
+        for p in pieces:
+            if p.isalnum():
+                stem, tail = p, ""
+            elif p[:-1].isalnum() and p[-1] in ".,":
+                stem, tail = p[:-1], p[-1]
+            else:
+                plans.append((p, plan := self._plan(p, before, missing)))
+                if not plan:
+                    known[p] = self._one(before + p)
+                continue
+            if stem not in stems:
+                missing[kind].add(stem)
+            plans.append((p, (stem, tail)))
+        for k, new in missing.items():
+            self._learn_stems(k, list(new))
+        for p, plan in plans:
+            if type(plan) is tuple:
+                known[p] = stems[plan[0]] + self.tails[plan[1]]
+            elif plan:
+                known[p] = self.feed.join([self.stems[k][stem] + self.tails[tail] for k, stem, tail in plan])
+
+    def _plan(self, piece: str, before: str, missing: dict[str, set]) -> list[tuple[str, str, str]]:
+        """Kind, stem and tail of each line of a piece; empty if it must be encoded as a whole."""
+        lines = piece.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() or " " in x for x in lines) or any(x in piece for x in self.special):
+            return []
+        plan = []
+        for k, line in enumerate(lines):
+            stem, tail = m.groups() if (m := _STEM.fullmatch(line)) else (line, "")
+            kind = " " if before and not k else "\n"
+            if stem not in self.stems[kind]:
+                missing[kind].add(stem)
+            if tail not in self.tails:
+                self.tails[tail] = self._one(tail)
+            plan.append((kind, stem, tail))
+        return plan
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         for at in range(0, len(texts), 256):
-            split = [_LONE_SPACE.split(t) if _SPACES.search(t) else t.split(" ") for t in texts[at : at + 256]]
-            for known in (self.first, self.later):
+            split = [_LONE_SPACE.split(t) if t[:1] == " " or _SPACES.search(t) else t.split(" ") for t in texts[at : at + 256]]
+            for known in (self.first, self.later, *self.stems.values(), self.tails):
                 if len(known) > KEPT_PIECES:
                     known.clear()
-            self._learn(self.first, {s[0] for s in split}, "")
+            for tail in ("", ".", ","):
+                self.tails[tail] = self._one(tail)
+            self._learn(self.first, [p for p in {s[0] for s in split} if p not in self.first], "")
             later: set[str] = set()
             for s in split:
                 later.update(s[1:])
-            self._learn(self.later, later, " ")
+            self._learn(self.later, list(later.difference(self.later)), " ")
             for s in split:
                 yield self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:]))
 
