@@ -96,7 +96,7 @@ def consistency(answers: DataFrame, rules: DataFrame, digits: int = 4) -> DataFr
     """One row: rate (clips without a violation among those that a rule applies to), coverage, mean violations, mean compliance, and wemcr, the rounded rate times the share of rules that ever apply."""
     checks = rule_checks(answers, rules)
     clips = checks.groupBy("clip_id").agg(F.count_if("violated").alias("v"))
-    c = clips.agg(F.count("*").alias("n"), F.count_if("v = 0").alias("clean"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_violations"))
+    c = clips.agg(F.count("*").alias("n"), F.count_if(F.expr("v = 0")).alias("clean"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_violations"))
     r = rule_compliance(checks, rules).agg(F.avg((F.col("n_applicable") > 0).cast("double")).alias("rule_coverage"), F.avg("compliance").alias("mean_compliance"))
     total = answers.agg(F.count_distinct("clip_id").alias("clips"))
     rate = F.round(F.when(F.col("n") > 0, F.col("clean") / F.col("n")).otherwise(0.0), digits)
