@@ -4,10 +4,11 @@ Each document's set of word shingles is hashed under PERMUTATIONS; of each both
 every evaluation gives two signature values. Bands of BAND_ROWS values from different permutations make the bucket keys: at a
 similarity of 0.8 a pair shares none of the 46 buckets about once in a million.
 
-Documents with the same set are one node from the start. Inside a bucket every node is held against a few hub nodes, picked by
-hashes that differ among the bands, never all against all. Links are confirmed on the full sets, components are formed, and
-only buckets that still hold several components go on: further rounds pick other hubs while many pairs of nodes of
-different components remain, and once they are few all of them are confirmed, so no link is lost between the hubs.
+Documents with the same set are one node from the start. Inside a bucket every node is held against HUBS hub nodes, drawn by
+hashes that differ among the bands, never all against all. Links are confirmed on the full sets and components are formed.
+Only buckets that still hold several components go on: there the signatures of nodes of different components are compared,
+and the pairs that agree in LIKELY of their values are confirmed on the full sets too. At 0.8 a signature agrees in less
+about three times in ten thousand million, so no link is lost between the hubs.
 
 Nulls: a null or blank text has no shingles, is linked with nothing and keeps its own id; a null id is never the smallest id of
 a component that has another. Rows that repeat an id are judged by their own texts. An empty table gives no rows.
@@ -27,10 +28,10 @@ from kinegrid.llm.components import components
 
 PERMUTATIONS, BAND_ROWS = 138, 6
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
-#: Different hubs that a bucket's place among the bands can give it, and pairs of a hub that one task gets.
-HUBS, HUB_PAIRS = 8, 512
-#: Hub rounds go on while more pairs than this many times the nodes remain between components.
-OPEN_PAIRS = 4
+#: Hubs of a bucket, and different orders in which the bands draw them.
+HUBS, DRAWS = 2, 8
+#: Share of equal signature values from which a pair is confirmed in the end.
+LIKELY = 0.65
 #: Ids sent to every executor to pick documents; beyond it the documents are dealt out by id.
 SENT_IDS = 500_000
 #: Bytes kept of each shingle's hash where two sets are compared.
@@ -90,8 +91,8 @@ def set_key(shingles: np.ndarray) -> int:
         return int(_mix(np.array([_mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The set's bucket keys, one for each band: half the bands hold minima, half maxima."""
+def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The set's bucket keys, one for each band (half the bands hold minima, half maxima), and a byte of each signature value."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     high = np.zeros(PERMUTATIONS, np.uint32)
@@ -99,28 +100,31 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         values = x[None, at : at + 1024] * _A + _B
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
-    rows = np.concatenate([low, high]).reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    return _mix((rows * _ROW_KEYS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    values = np.concatenate([low, high])
+    rows = values.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    return _mix((rows * _ROW_KEYS).sum(axis=1, dtype=np.uint64)).view(np.int64), (_mix(values.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-SIGNATURE = "doc_id long, n long, node long, bands array<long>"
+SIGNATURE = "doc_id long, n long, node long, bands array<long>, signature binary"
 
 
 def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
-    """doc_id, n (shingles), node (key of the set; null if empty), bands."""
+    """doc_id, n (shingles), node (key of the set; null if empty), bands, signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, nodes, bands = [], [], []
+                n, nodes, bands, values = [], [], [], []
                 for text in part.column(1):
                     own = shingle_set(text.as_py(), size)
                     n.append(len(own))
                     nodes.append(set_key(own) if len(own) else None)
-                    bands.append(band_keys(own) if len(own) else own.view(np.int64))
+                    keys, signature = band_keys(own) if len(own) else (own.view(np.int64), None)
+                    bands.append(keys)
+                    values.append(signature)
                 ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], ["doc_id", "n", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands))), pa.array(values, pa.binary())], ["doc_id", "n", "node", "bands", "signature"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURE)
 
@@ -136,10 +140,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 bodies = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(bodies, pa.binary())], ["node", "n", "body"])
 
-    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(make, "node long, n long, body binary").dropDuplicates(["node"])
+    count = wanted.count()
+    ids = wanted.select("doc_id").distinct()
+    few = count <= SENT_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    sets = cut(texts.mapInArrow(make, "node long, n long, body binary"), "sets")
+    return sets.dropDuplicates(["node"]) if sets.count() > count else sets  # more only if rows repeat an id
 
 
 def _unpacked(body: bytes) -> np.ndarray:
@@ -150,7 +157,7 @@ def _unpacked(body: bytes) -> np.ndarray:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, member) whose sets have 100 * intersection >= percent * union, as edges u, v. A hub with many members is copied to several tasks."""
+    """The pairs (hub, member) whose sets have 100 * intersection >= percent * union, as edges u, v."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub_set = None, None
@@ -159,92 +166,117 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for hub, n_hub, hub_body, n, body in zip(*(batch.column(k) for k in (0, 2, 3, 4, 5)), strict=True):
                 if (hub := hub.as_py()) != last:
                     last, hub_set = hub, _unpacked(hub_body.as_py())
-                own = _unpacked(body.as_py())
-                both = np.concatenate([hub_set, own])
+                both = np.concatenate([hub_set, _unpacked(body.as_py())])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= percent * (n_hub.as_py() + n.as_py() - common))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies"))
-    hubs = sets.join(copies, sets["node"] == copies["hub"]).select("hub", F.col("n").alias("n_hub"), F.col("body").alias("hub_body"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    members = pairs.join(copies, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int")).join(sets.withColumnRenamed("node", "member"), "member").select("hub", "salt", "member", "n", "body")
+    members = pairs.join(sets.withColumnRenamed("node", "member"), "member")
+    hubs = sets.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("body").alias("hub_body"))
     # a pair can be linked only if its sizes allow it
     fit = (100 * F.col("n") >= percent * F.col("n_hub")) & (100 * F.col("n_hub") >= percent * F.col("n"))
-    both = members.join(hubs, ["hub", "salt"]).where(fit)
+    both = members.join(hubs, "hub").where(fit)
     return both.select("hub", "member", "n_hub", "hub_body", "n", "body").mapInArrow(check, "u long, v long")
 
 
-def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """Every bucket member with its bucket's hub of this round. members: key, node, label."""
-    draw = F.xxhash64("node", F.pmod("key", F.lit(HUBS)), F.lit(seed))
-    hubs = members.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "node", "label")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
-    return members.join(hubs, "key").where(F.col("label") != F.col("hub_label")).select("hub", F.col("node").alias("member"))
+def _with_hubs(keyed: DataFrame) -> DataFrame:
+    """The members of buckets of two and more, each with its bucket's hubs: key, node, doc_id, hub_0, hub_1. A bucket streams by; its first rows are its hubs."""
+    fields = [("key", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), *((f"hub_{k}", pa.int64()) for k in range(HUBS))]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)  # the first rows of the bucket that the last batch ended in
+        empty = np.zeros(0, bool)
+        told = empty
+        for batch in batches:
+            new = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            rows, done = np.concatenate([held, new]), np.concatenate([told, np.zeros(len(new), bool)])
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            sizes = np.diff(np.append(starts, len(rows)))
+            first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+            keep = (size > 1) & ~done
+            hubs = [rows[np.minimum(first + k, first + size - 1), 1][keep] for k in range(HUBS)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[keep, k] for k in range(3)), *hubs)], schema=pa.schema(fields))
+            tail = slice(starts[-1], starts[-1] + HUBS)
+            held = rows[tail]
+            told = np.full(len(held), sizes[-1] > 1)
+
+    draw = F.xxhash64("node", F.pmod("key", F.lit(DRAWS)))
+    placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", draw)
+    return placed.select("key", "node", "doc_id").mapInArrow(stream, "key long, node long, doc_id long" + "".join(f", hub_{k} long" for k in range(HUBS)))
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold nodes of several components."""
+    """Nodes of buckets that hold several components. members: key, node, label."""
     mixed = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     return members.join(mixed, "key", "left_semi")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"))
+def _likely_pairs(open_members: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components in a bucket whose signatures agree well. open_members: key, node, label, signature."""
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-def linked_nodes(signed: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
-    """node, label of every node that is linked with another. signed: a written table of signatures(docs)."""
-    nodes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    many = nodes.select("node", F.explode("bands").alias("key"))
-    shared = many.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = cut(many.join(shared, "key", "left_semi").withColumn("label", F.col("node")), "members")
-    edges = tried = sets = None
-    for round_no in range(1, 1000):
-        if round_no > 1:
-            spread = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
-            left, known = spread.agg(F.sum("p")).first()[0] or 0, members.select("node").distinct().count()
-            if not left:
-                break
-            last = left <= 2 * OPEN_PAIRS * BANDS * max(known, 1000)
-        else:
-            last = False
-        if last:
-            a, b = members.select("key", F.col("node").alias("hub"), F.col("label").alias("la")), members.select("key", F.col("node").alias("member"), F.col("label").alias("lb"))
-            pairs = a.join(b, "key").where("la < lb").select("hub", "member")
-        else:
-            pairs = _hub_pairs(members, round_no)
-        pairs = pairs.distinct()
-        if tried is not None:
-            key = pairs.select("hub", "member", F.least("hub", "member").alias("x"), F.greatest("hub", "member").alias("y"))
-            pairs = key.join(tried, ["x", "y"], "left_anti").select("hub", "member")
-        pairs = cut(pairs, "pairs")
-        wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select(F.col("member").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-        if sets is None:
-            sets = cut(_sets(docs, cut(wanted, "wanted"), size), "sets")  # every node of a shared bucket is in a pair of the first round
-        new = confirm(pairs, sets, percent)
-        edges = cut(new if edges is None else edges.unionByName(new), "links")
-        labels = components(edges)
-        if last:
-            return labels
-        tried = _ordered(pairs) if tried is None else tried.unionByName(_ordered(pairs))
-        relabelled = members.drop("label").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        members = cut(_open(relabelled), "members")
-    return labels
+        def out() -> Iterator[pa.RecordBatch]:
+            node = np.array([h[0] for h in held], np.int64)
+            label = np.array([h[1] for h in held], np.int64)
+            values = np.stack([np.frombuffer(h[2], np.uint8) for h in held])
+            _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
+            # every component but the largest against all others: each pair of components from its smaller side
+            order = np.lexsort((label, sizes[at]))
+            node, label, values = node[order], label[order], values[order]
+            for k in np.flatnonzero(label != label[-1]).tolist():
+                other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+                near = other[(values[other] == values[k]).mean(axis=1) >= LIKELY]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[near])), pa.array(np.maximum(node[k], node[near]))], ["hub", "member"])
+
+        for batch in batches:
+            for own, node, label, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    if held:
+                        yield from out()
+                    key, held = own, []
+                held.append((node, label, signature))
+        if held:
+            yield from out()
+
+    placed = open_members.select("key", "node", "label", "signature").repartition(F.col("key")).sortWithinPartitions("key")
+    return placed.mapInArrow(stream, "hub long, member long").distinct()
+
+
+def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
+    """node, label of every node that is linked with a smaller one. signed, nodes: written tables."""
+    keyed = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
+    members = cut(_with_hubs(keyed), "members")
+    pairs = members.select("node", F.explode(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hub")).where("node != hub")
+    pairs = pairs.select(F.least("node", "hub").alias("hub"), F.greatest("node", "hub").alias("member")).distinct()
+    sets = _sets(docs, cut(members.select("node", "doc_id").distinct(), "wanted"), size)
+    edges = cut(confirm(pairs, sets, percent), "links")
+    labels = components(edges)
+    labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    left = cut(_open(labelled), "open")
+    signature = signed.select("node", "signature").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    more = cut(confirm(_likely_pairs(left.join(signature, "node")), sets, percent), "links")
+    return components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (smallest id reachable through links), kept (its own id is that)."""
     signed = cut(signatures(docs, size), "signatures")
-    labels = cut(linked_nodes(signed, docs, percent, size), "labels")
-    rows = signed.select("doc_id", "n", "node")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    label = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    component = label.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = label.join(component, "label").select("node", "component_id")
-    out = rows.join(of_node, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    nodes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
+    labels = cut(linked_nodes(signed, nodes, docs, percent, size), "labels")
+    least = nodes.select("node", F.col("doc_id").alias("least"))
+    ends = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()).join(least, "node")
+    smallest = ends.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_node = ends.join(smallest, "label").select("node", "component_id")
+    rows = signed.select("doc_id", "n", "node").join(least, "node", "left").join(of_node, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

@@ -26,7 +26,7 @@ from kinegrid.llm.common import scratch_path, table
 
 BLOCK_IDS = 1 << 16
 #: Distinct space-separated pieces whose ids a worker keeps; all are forgotten together beyond it.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
 _STEM = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)")
