@@ -53,3 +53,9 @@ def global_rank(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(rank, F.col("_before") + F.col("_inside") - 1).drop("_range", "_inside", "_before")
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, list]:
+    """df with every column that begins with an underscore renamed, as the operators' own columns do, and the columns that give df back."""
+    new = {c: f"aside{k}_{c.strip('_')}" if c.startswith("_") else c for k, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), [F.col(f"`{n}`").alias(c) for c, n in new.items()]

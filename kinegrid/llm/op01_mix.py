@@ -110,9 +110,9 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
     seed = how.get("seed", SEED)
     plan = cut(source_plan(cut(sizes(docs, seed), "sizes"), **how), "plan")
-    drawn = docs.withColumn("_source", F.col("source")).withColumn("_draw", draw(F.col("doc_id"), seed))
+    drawn = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_source"), draw(F.col("doc_id"), seed).alias("_draw"))
     copies = _planned(drawn, plan.drop("source_size", "target")).withColumn("_copies", _copies().cast("int")).where("_copies > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import table
+from kinegrid.llm.common import set_aside, table
 
 WINDOW_WORDS = 13
 #: Bytes of window text in one automaton.
@@ -147,7 +147,8 @@ def _report(marked: DataFrame, *more) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return mark(docs, items).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    safe, back = set_aside(docs)
+    return mark(safe, items).where(~contaminated()).select(*back)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import table
+from kinegrid.llm.common import set_aside, table
 
 PROFILE, LONGEST = 400, 3
 #: Labelled documents of each language that its profile is learned from, about.
@@ -134,9 +134,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """The documents in a known language (one of `languages`, if given), with their own columns."""
-    judged = identify(docs, learn(docs.where(~held_out(F.col("doc_id")))))
+    safe, back = set_aside(docs)
+    judged = identify(safe, learn(docs.where(~held_out(F.col("doc_id")))))
     kept = judged.where(F.col("_lang") != UNDECIDED if languages is None else F.col("_lang").isin(languages))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*back)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
