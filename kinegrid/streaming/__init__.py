@@ -1 +1 @@
-"""See the package README section."""
+"""Incremental scoring of answers with Structured Streaming."""
