@@ -7,8 +7,8 @@ similarity of 0.8 a pair shares none of the 46 buckets about once in a million.
 Documents with the same set are one node from the start. Inside a bucket every node is held against HUBS hub nodes, drawn by
 hashes that differ among the bands, never all against all. Links are confirmed on the full sets and components are formed.
 Only buckets that still hold several components go on: there the signatures of nodes of different components are compared,
-and the pairs that agree in LIKELY of their values are confirmed on the full sets too. At 0.8 a signature agrees in less
-about three times in ten thousand million, so no link is lost between the hubs.
+and those that agree in LIKELY of their values are confirmed on the full sets too, in the same task; no pair leaves it but the
+links. At 0.8 a signature agrees in less about three times in ten thousand million, so no link is lost between the hubs.
 
 Nulls: a null or blank text has no shingles, is linked with nothing and keeps its own id; a null id is never the smallest id of
 a component that has another. Rows that repeat an id are judged by their own texts. An empty table gives no rows.
@@ -215,38 +215,49 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key", "left_semi")
 
 
-def _likely_pairs(open_members: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in a bucket whose signatures agree well. open_members: key, node, label, signature."""
+def _links_between(open_members: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between components that share a bucket, one for a node and another component. open_members: key, node, label, signature, n, body.
+
+    Within a bucket each node outside the largest component is held against the nodes of other components: first by the
+    signatures, then, where LIKELY, on the full sets. Only links leave the task.
+    """
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        node, label, n = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 3))
+        values = np.stack([np.frombuffer(h[2], np.uint8) for h in held])
+        _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((label, sizes[at]))  # the largest component comes last
+        node, label, n, values = node[order], label[order], n[order], values[order]
+        sets = [_unpacked(held[k][4]) for k in order.tolist()]
+        found: list[tuple[int, int]] = []
+        for k in np.flatnonzero(label != label[-1]).tolist():
+            other = np.flatnonzero((label[k + 1 :] != label[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))) + k + 1
+            near = other[(values[other] == values[k]).mean(axis=1) >= LIKELY]
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[j] for j in near.tolist()])
+            place = np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)
+            starts = np.concatenate([[0], np.cumsum(n[near])])[:-1]
+            common = np.add.reduceat((sets[k][place] == flat).astype(np.int64), starts)
+            linked = near[100 * common >= percent * (n[k] + n[near] - common)]
+            _, one = np.unique(label[linked], return_index=True)
+            found += [(int(node[k]), int(node[j])) for j in linked[one].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            node = np.array([h[0] for h in held], np.int64)
-            label = np.array([h[1] for h in held], np.int64)
-            values = np.stack([np.frombuffer(h[2], np.uint8) for h in held])
-            _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
-            # every component but the largest against all others: each pair of components from its smaller side
-            order = np.lexsort((label, sizes[at]))
-            node, label, values = node[order], label[order], values[order]
-            for k in np.flatnonzero(label != label[-1]).tolist():
-                other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-                near = other[(values[other] == values[k]).mean(axis=1) >= LIKELY]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[k], node[near])), pa.array(np.maximum(node[k], node[near]))], ["hub", "member"])
-
         for batch in batches:
-            for own, node, label, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
                     if held:
-                        yield from out()
+                        yield links(held)
                     key, held = own, []
-                held.append((node, label, signature))
+                held.append(row)
         if held:
-            yield from out()
+            yield links(held)
 
-    placed = open_members.select("key", "node", "label", "signature").repartition(F.col("key")).sortWithinPartitions("key")
-    return placed.mapInArrow(stream, "hub long, member long").distinct()
+    placed = open_members.select("key", "node", "label", "signature", "n", "body").repartition(F.col("key")).sortWithinPartitions("key")
+    return placed.mapInArrow(stream, "u long, v long")
 
 
 def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
@@ -261,7 +272,7 @@ def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent:
     labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     left = cut(_open(labelled), "open")
     signature = signed.select("node", "signature").join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    more = cut(confirm(_likely_pairs(left.join(signature, "node")), sets, percent), "links")
+    more = cut(_links_between(left.join(signature.join(sets, "node"), "node"), percent), "links")
     return components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
 
