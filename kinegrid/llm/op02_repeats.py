@@ -7,8 +7,8 @@ Every byte that a passage of LENGTH bytes covers is removed if the passage also
 2. In each group the passages are cut into runs that share an anchor: the byte string of ANCHOR bytes that is smallest, by its hash,
    within the passage. The same passage has the same anchor wherever it stands. For each run a group sends a 64-bit record of its
    anchor and content, once, with the smallest id.
-3. By anchor, the records tell which runs also occur in a smaller document as they are, and which others share an anchor, that
-   is, may share a passage with a run of other content. All the rest is unique.
+3. By anchor, the records tell which runs also occur in a smaller document as they are, and which others share an anchor and
+   what stands at one side of it, that is, may share a passage with a run of other content. All the rest is unique.
 4. The bytes of the latter runs go to a suffix array each for a part of the anchors: two-stage sorting, common prefixes of
    neighbours, and stretches with prefixes of at least LENGTH bytes are one passage, whose smallest id decides. An anchor with a
    great many contents is dealt out by passage instead, so no anchor lands in one task.
@@ -84,6 +84,7 @@ class Runs:
         starts = n - length
         self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.content = np.zeros(0, np.uint64)
+        self.sides = np.zeros(0, np.uint32)
         if starts <= 0:
             return
         x = _BYTE[self.data]
@@ -117,6 +118,16 @@ class Runs:
         self._sums = np.concatenate([[np.uint64(0)], np.cumsum(x * powers[:n], dtype=np.uint64)])
         self._inverse = inverse
         self.content = self.hashes(self.first, self.last + length)
+        place, half = at[self.first], -(-(length - ANCHOR) // 2)
+        left = self._side(place - half, place + ANCHOR)
+        right = self._side(place, place + ANCHOR + half)
+        self.sides = (left << np.uint32(16)) | right
+
+    def _side(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """15 bits of the hash of an anchor with what stands at one side, and a 1; 0 if the run does not reach so far."""
+        inside = (begin >= self.first) & (end <= self.last + self.length)
+        bits = self.hashes(np.where(inside, begin, 0), np.where(inside, end, 0)) >> np.uint64(49)
+        return np.where(inside, (bits.astype(np.uint32) << np.uint32(1)) | np.uint32(1), np.uint32(0)).astype(np.uint32)
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte strings from begin to end."""
@@ -192,8 +203,8 @@ def _grouped(docs: DataFrame, groups: int, buckets: int) -> str:
 
 
 def _send_records(groups: DataFrame, parts: int, length: int) -> DataFrame:
-    """p, g, records, ids: what each group has to say to each part of the anchors."""
-    schema = pa.schema([("p", pa.int32()), ("g", pa.int32()), ("records", pa.binary()), ("ids", pa.binary())])
+    """p, g, records, sides, ids: what each group has to say to each part of the anchors."""
+    schema = pa.schema([("p", pa.int32()), ("g", pa.int32()), ("records", pa.binary()), ("sides", pa.binary()), ("ids", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,22 +213,31 @@ def _send_records(groups: DataFrame, parts: int, length: int) -> DataFrame:
                 runs = Runs(_texts(sizes.as_py(), body.as_py()), length)
                 first, part, record, _ = _records(runs, ids, parts)
                 if len(first):
-                    d, rows = ids[runs.doc[first]], []
+                    d, sides, rows = ids[runs.doc[first]], runs.sides[first], []
                     bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                        rows.append((int(part[a]), g.as_py(), record[a:b].tobytes(), _squeeze(np.diff(d[a:b], prepend=0))))
+                        rows.append((int(part[a]), g.as_py(), record[a:b].tobytes(), sides[a:b].tobytes(), _squeeze(np.diff(d[a:b], prepend=0))))
                     yield _row_batch(rows, schema)
 
-    return groups.mapInArrow(send, "p int, g int, records binary, ids binary")
+    return groups.mapInArrow(send, "p int, g int, records binary, sides binary, ids binary")
 
 
 UNIQUE, KNOWN, COMPARED, DEALT = 0, 1, 2, 3
 
 
-def judge_records(record: np.ndarray, d: np.ndarray, hot: int = HOT_CONTENTS) -> np.ndarray:
-    """A code for each record: KNOWN if a smaller id has the same, COMPARED (DEALT, if there are very many) if its anchor has other contents in another document."""
+def _met(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row has the same key and side; a side of 0 meets none."""
+    _, place, counts = np.unique((key << np.uint64(16)) | side.astype(np.uint64), return_inverse=True, return_counts=True)
+    return (counts[place] > 1) & (side > 0)
+
+
+def judge_records(record: np.ndarray, sides: np.ndarray, d: np.ndarray, hot: int = HOT_CONTENTS) -> np.ndarray:
+    """A code for each record: KNOWN if a smaller id has the same, COMPARED (DEALT, if there are very many) if its anchor has other contents in another document that agree with it on one side.
+
+    A passage that two contents share has at least half of what it is longer than the anchor on one side of it.
+    """
     order = np.lexsort((d, record))
-    record, d = record[order], d[order]
+    record, sides, d = record[order], sides[order], d[order]
     new = np.concatenate([[True], record[1:] != record[:-1]])
     same = np.cumsum(new) - 1
     least = d[np.flatnonzero(new)][same]
@@ -229,6 +249,8 @@ def judge_records(record: np.ndarray, d: np.ndarray, hot: int = HOT_CONTENTS) ->
     contents = np.add.reduceat(new.astype(np.int64), starts)
     low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(np.where(known, -1 << 62, d), starts)
     open_ = ~known & ((contents > 1) & (low < high))[of_anchor]
+    at = np.flatnonzero(open_)
+    open_[at] = _met(anchor[at], sides[at] >> np.uint32(16)) | _met(anchor[at], sides[at] & np.uint32(0xFFFF))
     code = np.where(known, KNOWN, np.where(open_, np.where((contents > hot)[of_anchor], DEALT, COMPARED), UNIQUE)).astype(np.uint8)
     out = np.empty(len(code), np.uint8)
     out[order] = code
@@ -243,17 +265,17 @@ def _judge(sent: DataFrame, hot: int) -> DataFrame:
         p, held = None, []
 
         def out() -> pa.RecordBatch:
-            code = judge_records(np.concatenate([r for _, r, _ in held]), np.concatenate([d for _, _, d in held]), hot)
-            ends = np.cumsum([len(r) for _, r, _ in held])
-            return _row_batch([(g, p, _squeeze(code[e - len(r) : e])) for (g, r, _), e in zip(held, ends.tolist(), strict=True)], schema)
+            code = judge_records(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)), hot)
+            ends = np.cumsum([len(h[1]) for h in held])
+            return _row_batch([(g, p, _squeeze(code[e - len(r) : e])) for (g, r, _, _), e in zip(held, ends.tolist(), strict=True)], schema)
 
         for batch in batches:
-            for own, g, record, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, g, record, side, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != p:
                     if held:
                         yield out()
                     p, held = own, []
-                held.append((g, np.frombuffer(record, np.uint64), np.cumsum(_swell(ids, np.int64))))
+                held.append((g, np.frombuffer(record, np.uint64), np.frombuffer(side, np.uint32), np.cumsum(_swell(ids, np.int64))))
         if held:
             yield out()
 
