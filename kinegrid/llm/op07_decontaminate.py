@@ -59,6 +59,7 @@ def _automaton(key: int, rows: list[tuple[bytes, list[str]]]):
     if key not in _automata:
         import ahocorasick
 
+        _automata.clear()
         made = ahocorasick.Automaton()
         for win, items in rows:
             made.add_word(f" {win.decode('latin-1')} ", (len(win) + 2, items))
@@ -156,3 +157,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_decontaminate": op7_decontaminate}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = {
+    "op7_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s FROM b, unnest(generate_series(1, greatest(1, len(w) - 12))) t(i) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+p AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, ks, unnest(generate_series(1, len(w) - k + 1)) t(i) WHERE len(w) >= k),
+h AS (SELECT p.doc_id, p.i, p.k, bw.item_id FROM p JOIN bw ON p.s = bw.s AND p.k = bw.k),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(generate_series(h.i, h.i + h.k - 1)) t(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+}
