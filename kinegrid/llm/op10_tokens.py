@@ -12,10 +12,12 @@ order of their ids' checksum. An empty table gives an empty dataset.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from kinegrid.llm.common import scratch_path, table
 
 BLOCK_IDS = 1 << 16
-#: Distinct space-separated pieces whose ids a worker keeps; all are forgotten together beyond it.
-KEPT_PIECES = 500_000
+#: Distinct space-separated pieces whose ids a worker keeps within a task; all are forgotten together beyond it.
+KEPT_PIECES = 300_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
 _STEM = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)")
@@ -86,6 +88,11 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
+    def forget(self) -> None:
+        """Give the memory back: the worker process lives on after the task."""
+        for known in (self.first, self.later, *self.stems.values(), self.tails):
+            known.clear()
+
     def _one(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -100,33 +107,32 @@ class Encoder:
                 known.update((p, self._one(before + p)[skipped:]) for p in part)
                 continue
             body, places = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            known.update((p, body[a + skipped : b]) for p, a, b in zip(part, places[:-1], places[1:], strict=True))
+            known.update(zip(part, [body[a + skipped : b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
 
     def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
         """Ids of pieces that follow a space (before: " ") or begin a text (before: "")."""
-        plans, missing = [], {" ": set(), "\n": set()}
         kind = before or "\n"
-        stems = self.stems[kind]
-        for p in pieces:
-            if p.isalnum():
-                stem, tail = p, ""
-            elif p[:-1].isalnum() and p[-1] in ".,":
-                stem, tail = p[:-1], p[-1]
-            else:
-                plans.append((p, plan := self._plan(p, before, missing)))
-                if not plan:
+        stems, missing, plans = self.stems[kind], {" ": set(), "\n": set()}, []
+        words = [p for p in pieces if p.isalnum()]
+        rest = [p for p in pieces if not p.isalnum()]
+        bare = [p.rstrip(punctuation) for p in rest]
+        ended = [(p, stem, p[len(stem) :]) for p, stem in zip(rest, bare, strict=True) if stem.isalnum()]
+        for p, stem in zip(rest, bare, strict=True):
+            if not stem.isalnum():
+                if plan := self._plan(p, before, missing):
+                    plans.append((p, plan))
+                else:
                     known[p] = self._one(before + p)
-                continue
-            if stem not in stems:
-                missing[kind].add(stem)
-            plans.append((p, (stem, tail)))
+        missing[kind].update(words, [stem for _, stem, _ in ended])
         for k, new in missing.items():
-            self._learn_stems(k, list(new))
+            self._learn_stems(k, list(new.difference(self.stems[k])))
+        for tail in {tail for _, _, tail in ended}.difference(self.tails):
+            self.tails[tail] = self._one(tail)
+        tails = self.tails
+        known.update(zip(words, map(stems.__getitem__, words), strict=True))
+        known.update([(p, stems[stem] + tails[tail]) for p, stem, tail in ended])
         for p, plan in plans:
-            if type(plan) is tuple:
-                known[p] = stems[plan[0]] + self.tails[plan[1]]
-            elif plan:
-                known[p] = self.feed.join([self.stems[k][stem] + self.tails[tail] for k, stem, tail in plan])
+            known[p] = self.feed.join([self.stems[k][stem] + tails[tail] for k, stem, tail in plan])
 
     def _plan(self, piece: str, before: str, missing: dict[str, set]) -> list[tuple[str, str, str]]:
         """Kind, stem and tail of each line of a piece; empty if it must be encoded as a whole."""
@@ -137,8 +143,7 @@ class Encoder:
         for k, line in enumerate(lines):
             stem, tail = m.groups() if (m := _STEM.fullmatch(line)) else (line, "")
             kind = " " if before and not k else "\n"
-            if stem not in self.stems[kind]:
-                missing[kind].add(stem)
+            missing[kind].add(stem)
             if tail not in self.tails:
                 self.tails[tail] = self._one(tail)
             plan.append((kind, stem, tail))
@@ -147,17 +152,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         for at in range(0, len(texts), 256):
+            gc.disable()  # nothing here makes cycles, and the many strings would be scanned again and again
             split = [_LONE_SPACE.split(t) if t[:1] == " " or _SPACES.search(t) else t.split(" ") for t in texts[at : at + 256]]
             for known in (self.first, self.later, *self.stems.values(), self.tails):
                 if len(known) > KEPT_PIECES:
                     known.clear()
-            for tail in ("", ".", ","):
-                self.tails[tail] = self._one(tail)
+            self.tails[""] = b""
             self._learn(self.first, [p for p in {s[0] for s in split} if p not in self.first], "")
             later: set[str] = set()
             for s in split:
                 later.update(s[1:])
             self._learn(self.later, list(later.difference(self.later)), " ")
+            gc.enable()
             for s in split:
                 yield self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:]))
 
@@ -193,6 +199,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, parts: i
                     crc.append(zlib.crc32(found))
                     packed.append(pack(np.frombuffer(found, "<u4"), own.bits))
                 yield pa.RecordBatch.from_arrays([pa.array(part[at : at + len(n)].astype(np.int32)), ids.slice(at, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["part", "doc_id", "n", "packed", "crc"])
+        encoder(vocabulary).forget()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "part int, doc_id long, n long, packed binary, crc long")
 
