@@ -114,9 +114,12 @@ def r01(spark, d):
     return incremental.remaining(items, table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("qa_id")))
 
 
-@query("R02_remaining_groups", "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS qa_id, l_orderkey AS clip_id FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING NOT bool_and(l_linestatus = 'F'))")
+@query("R02_remaining_groups", """
+WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS qa_id, l_orderkey AS clip_id, l_linestatus FROM lineitem),
+f AS (SELECT DISTINCT qa_id FROM r WHERE l_linestatus = 'F'), m AS (SELECT r.qa_id, r.clip_id, f.qa_id IS NOT NULL AS done FROM r LEFT JOIN f ON r.qa_id = f.qa_id)
+SELECT qa_id, clip_id FROM m WHERE clip_id IN (SELECT clip_id FROM m GROUP BY clip_id HAVING NOT bool_and(done))""")
 def r02(spark, d):
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     rows = table(spark, d, "lineitem").select(key.alias("qa_id"), F.col("l_orderkey").alias("clip_id"), "l_linestatus")
     return incremental.remaining_groups(rows.select("qa_id", "clip_id"), rows.where("l_linestatus = 'F'"))
 

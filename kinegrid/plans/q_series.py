@@ -112,7 +112,7 @@ def t11(spark, d):
 
 
 @query("T12_normalise_track", sql(TRACK, select="""
-SELECT clip_id, k, round((x - x0) * cos(-a) - (y - y0) * sin(-a), 6) AS x, round((x - x0) * sin(-a) + (y - y0) * cos(-a), 6) AS y FROM (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, first_value(yaw) OVER w AS a FROM track WINDOW w AS (PARTITION BY clip_id ORDER BY k))"""))
+SELECT clip_id, k, round((x - x0) * cos(-a) - (y - y0) * sin(-a), 6) + 0 AS x, round((x - x0) * sin(-a) + (y - y0) * cos(-a), 6) + 0 AS y FROM (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, first_value(yaw) OVER w AS a FROM track WINDOW w AS (PARTITION BY clip_id ORDER BY k))"""))
 def t12(spark, d):
     w = fs.clip_window("k")
     x, y, a = F.col("x") - F.first("x").over(w), F.col("y") - F.first("y").over(w), -F.first("yaw").over(w)
@@ -126,7 +126,7 @@ def t13(spark, d):
     return g.agg(r6("distance", F.hypot(F.max_by("x", "k") - F.min_by("x", "k"), F.max_by("y", "k") - F.min_by("y", "k"))))
 
 
-@query("T14_lateral_accel", sql(SERIES, select="SELECT clip_id, i, round(speed * abs(yaw_rate), 6) AS lateral, round(speed * yaw_rate, 6) AS lateral_signed FROM series"))
+@query("T14_lateral_accel", sql(SERIES, select="SELECT clip_id, i, round(speed * abs(yaw_rate), 6) AS lateral, round(speed * yaw_rate, 6) + 0 AS lateral_signed FROM series"))
 def t14(spark, d):
     return ad.series(spark, d).select("clip_id", "i", r6("lateral", F.col("speed") * F.abs("yaw_rate")), r6("lateral_signed", F.col("speed") * F.col("yaw_rate")))
 

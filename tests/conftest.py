@@ -37,13 +37,15 @@ def duck():
 
 def same_rows(got, want):
     """Equal as bags of rows, columns by name, doubles to nine places."""
+    import pandas as pd
+
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
 
     def rows(frame):
         out = []
         for row in frame[names].astype(object).itertuples(index=False):
-            out.append(tuple("null" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
+            out.append(tuple("null" if pd.isna(v) else f"{float(v) + 0.0:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
         return sorted(out)
 
     assert rows(got) == rows(want)
