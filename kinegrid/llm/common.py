@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_large: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +63,28 @@ def set_aside(df: DataFrame) -> tuple[DataFrame, list]:
     """df with every column that begins with an underscore renamed, as the operators' own columns do, and the columns that give df back."""
     new = {c: f"aside{k}_{c.strip('_')}" if c.startswith("_") else c for k, c in enumerate(df.columns)}
     return df.toDF(*new.values()), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
+
+
+def large(key, make: Callable):
+    """What make() gives, kept in a worker process for its next tasks. A worker keeps one such object: asking for another drops it."""
+    if key not in _large:
+        _large.clear()
+        _large[key] = make()
+    return _large[key]
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system: a worker process lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """mapInArrow, after which the worker gives its free memory back."""
+
+    def run(batches):
+        yield from work(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)

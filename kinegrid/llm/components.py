@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut
+from kinegrid.llm.common import cut, in_tasks
 
 #: Edges that a task joins into a forest at a time.
 FOREST_EDGES = 1_000_000
@@ -57,7 +57,7 @@ def _are_stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and label (the smallest node of its component) of every node of edges (u, v: long) but the smallest ones. Each round is written to the shared folder."""
-    edges = cut(edges.mapInArrow(_forest, "u long, v long"), "forest")
+    edges = cut(in_tasks(edges, _forest, "u long, v long"), "forest")
     for _ in range(rounds):
         edges = cut(_round(edges), "stars")
         if _are_stars(edges):

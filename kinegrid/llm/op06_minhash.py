@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut, table
+from kinegrid.llm.common import cut, in_tasks, table
 from kinegrid.llm.components import components
 
 PERMUTATIONS, BAND_ROWS = 138, 6
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
                 ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands))), pa.array(values, pa.binary())], ["doc_id", "n", "node", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURE)
+    return in_tasks(docs.select(F.col("doc_id").cast("long"), "text"), sign, SIGNATURE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     few = count <= SENT_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    sets = cut(texts.mapInArrow(make, "node long, n long, body binary"), "sets")
+    sets = cut(in_tasks(texts, make, "node long, n long, body binary"), "sets")
     return sets.dropDuplicates(["node"]) if sets.count() > count else sets  # more only if rows repeat an id
 
 
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a pair can be linked only if its sizes allow it
     fit = (100 * F.col("n") >= percent * F.col("n_hub")) & (100 * F.col("n_hub") >= percent * F.col("n"))
     both = members.join(hubs, "hub").where(fit)
-    return both.select("hub", "member", "n_hub", "hub_body", "n", "body").mapInArrow(check, "u long, v long")
+    return in_tasks(both.select("hub", "member", "n_hub", "hub_body", "n", "body"), check, "u long, v long")
 
 
 def _with_hubs(keyed: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _with_hubs(keyed: DataFrame) -> DataFrame:
 
     draw = F.xxhash64("node", F.pmod("key", F.lit(DRAWS)))
     placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", draw)
-    return placed.select("key", "node", "doc_id").mapInArrow(stream, "key long, node long, doc_id long" + "".join(f", hub_{k} long" for k in range(HUBS)))
+    return in_tasks(placed.select("key", "node", "doc_id"), stream, "key long, node long, doc_id long" + "".join(f", hub_{k} long" for k in range(HUBS)))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _links_between(open_members: DataFrame, percent: int) -> DataFrame:
             yield links(held)
 
     placed = open_members.select("key", "node", "label", "signature", "n", "body").repartition(F.col("key")).sortWithinPartitions("key")
-    return placed.mapInArrow(stream, "u long, v long")
+    return in_tasks(placed, stream, "u long, v long")
 
 
 def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import set_aside, table
+from kinegrid.llm.common import in_tasks, large, set_aside, table
 
 WINDOW_WORDS = 13
 #: Bytes of window text in one automaton.
@@ -51,21 +51,19 @@ def benchmark_windows(items: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     return texts.mapInArrow(cut, "item string, win binary").groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-_automata: dict = {}
-
-
 def _automaton(key: int, rows: list[tuple[bytes, list[str]]]):
     """One for each worker process and slice."""
-    if key not in _automata:
+
+    def make():
         import ahocorasick
 
-        _automata.clear()
         made = ahocorasick.Automaton()
         for win, items in rows:
             made.add_word(f" {win.decode('latin-1')} ", (len(win) + 2, items))
         made.make_automaton()
-        _automata[key] = made
-    return _automata[key]
+        return made
+
+    return large(("automaton", key), make)
 
 
 def mark(docs: DataFrame, items: DataFrame, words: int = WINDOW_WORDS, window_bytes: int = WINDOW_BYTES) -> DataFrame:
@@ -113,7 +111,7 @@ def _scan(docs: DataFrame, windows) -> DataFrame:
             new = {n_at: pa.array(n_words, pa.int64()), hits_at: pa.array(hits, pa.binary()), items_at: pa.array(met, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(k, c) for k, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return in_tasks(docs, scan, docs.schema)
 
 
 def n_hit() -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import set_aside, table
+from kinegrid.llm.common import in_tasks, set_aside, table
 
 PROFILE, LONGEST = 400, 3
 #: Labelled documents of each language that its profile is learned from, about.
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "_lang", "_score"])
 
     schema = docs.select("*", F.lit("").cast("string").alias("_lang"), F.lit(0.0).alias("_score")).schema
-    return docs.mapInArrow(judge, schema)
+    return in_tasks(docs, judge, schema)
 
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import scratch_path, table
+from kinegrid.llm.common import in_tasks, large, scratch_path, table
 
 BLOCK_IDS = 1 << 16
 #: Distinct space-separated pieces whose ids a worker keeps within a task; all are forgotten together beyond it.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
 _STEM = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)")
@@ -168,14 +168,9 @@ class Encoder:
                 yield self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:]))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return large(("encoder", path), lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
@@ -201,7 +196,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, parts: i
                 yield pa.RecordBatch.from_arrays([pa.array(part[at : at + len(n)].astype(np.int32)), ids.slice(at, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["part", "doc_id", "n", "packed", "crc"])
         encoder(vocabulary).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "part int, doc_id long, n long, packed binary, crc long")
+    return in_tasks(docs.select("doc_id", "text"), encode, "part int, doc_id long, n long, packed binary, crc long")
 
 
 BLOCKS = "part int, block int, start_in_part long, n_ids long, bits int, doc_ids array<long>, doc_n array<long>, packed binary"
@@ -245,7 +240,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     encoded = encode_documents(docs, vocabulary, end_id, parts)
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "crc").mapInArrow(blocks, BLOCKS).write.parquet(path)
+    in_tasks(encoded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "crc"), blocks, BLOCKS).write.parquet(path)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +259,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + offsets[:-1].astype(np.int64)), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "start", "n_tokens", "ids"])
 
-    return _placed(spark, path).select("start", "n_ids", "bits", "doc_ids", "doc_n", "packed").mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
+    return in_tasks(_placed(spark, path).select("start", "n_ids", "bits", "doc_ids", "doc_n", "packed"), read, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -293,7 +288,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(body[4 * (e - n) : 4 * e]) for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(spark, path).select("start", "n_ids", "bits", "doc_ids", "doc_n", "packed").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_tasks(_placed(spark, path).select("start", "n_ids", "bits", "doc_ids", "doc_n", "packed"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_rows(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
