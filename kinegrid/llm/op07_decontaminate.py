@@ -13,6 +13,7 @@ item; repeated documents are judged each. Empty tables: no rows, or nothing hit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
@@ -51,8 +52,8 @@ def benchmark_windows(items: DataFrame, words: int = WINDOW_WORDS) -> DataFrame:
     return texts.mapInArrow(cut, "item string, win binary").groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _automaton(key: int, rows: list[tuple[bytes, list[str]]]):
-    """One for each worker process and slice."""
+def _automaton(key: str, rows: list[tuple[bytes, list[str]]]):
+    """One for each worker process and slice. key: of the slice; no other slice ever has it."""
 
     def make():
         import ahocorasick
@@ -75,18 +76,18 @@ def mark(docs: DataFrame, items: DataFrame, words: int = WINDOW_WORDS, window_by
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
     for k in range(slices):
         part = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == k)
-        out = _scan(out, spark.sparkContext.broadcast([(bytes(r.win), list(r["items"])) for r in part.collect()]))
+        out = _scan(out, spark.sparkContext.broadcast([(bytes(r.win), list(r["items"])) for r in part.collect()]), uuid.uuid4().hex)
     windows.unpersist()
     return out
 
 
-def _scan(docs: DataFrame, windows) -> DataFrame:
+def _scan(docs: DataFrame, windows, key: str) -> DataFrame:
     names = docs.columns
     text, n_at, hits_at, items_at = (names.index(c) for c in ("text", "_n_words", "_hits", "_items"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = windows.value
-        automaton = _automaton(windows._jid if hasattr(windows, "_jid") else id(windows), rows) if rows else None
+        automaton = _automaton(key, rows) if rows else None
         for batch in batches:
             n_words, hits, met = [], [], []
             for row in range(batch.num_rows):

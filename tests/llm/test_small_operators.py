@@ -181,3 +181,12 @@ def test_encoder_equals_library():
     texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
     for text, ids, found in zip(texts, own.library.encode_batch(texts, add_special_tokens=False), own.encode(texts), strict=True):
         assert np.array(ids.ids, "<u4").tobytes() == found, text
+
+
+def test_decontamination_by_one_benchmark_after_another(spark):
+    """A worker that serves several benchmarks in turn scans each with its own windows."""
+    one = docs(spark, [(k, f"alpha{k} beta{k}", "en", "s") for k in range(12)]).coalesce(1)
+    for k in range(12):
+        items = spark.createDataFrame([(k, f"alpha{k} beta{k}")], "item_id long, text string")
+        got = op07_decontaminate._report(op07_decontaminate.mark(one, items)).collect()
+        assert {r.doc_id for r in got if r.contaminated} == {k}
