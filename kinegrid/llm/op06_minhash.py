@@ -182,15 +182,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_hubs(keyed: DataFrame) -> DataFrame:
-    """The members of buckets of two and more, each with its bucket's hubs: key, node, doc_id, hub_0, hub_1. A bucket streams by; its first rows are its hubs."""
-    fields = [("key", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), *((f"hub_{k}", pa.int64()) for k in range(HUBS))]
+    """The members of buckets of two and more, each with its bucket's hubs: key, node, hub_0, hub_1. A bucket streams by; its first rows are its hubs. Neither column has nulls."""
+    fields = [("key", pa.int64()), ("node", pa.int64()), *((f"hub_{k}", pa.int64()) for k in range(HUBS))]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)  # the first rows of the bucket that the last batch ended in
+        held = np.zeros((0, 2), np.int64)  # the first rows of the bucket that the last batch ended in
         empty = np.zeros(0, bool)
         told = empty
         for batch in batches:
-            new = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            new = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)
             rows, done = np.concatenate([held, new]), np.concatenate([told, np.zeros(len(new), bool)])
             if not len(rows):
                 continue
@@ -199,14 +199,14 @@ def _with_hubs(keyed: DataFrame) -> DataFrame:
             first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
             keep = (size > 1) & ~done
             hubs = [rows[np.minimum(first + k, first + size - 1), 1][keep] for k in range(HUBS)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[keep, k] for k in range(3)), *hubs)], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[keep, k] for k in range(2)), *hubs)], schema=pa.schema(fields))
             tail = slice(starts[-1], starts[-1] + HUBS)
             held = rows[tail]
             told = np.full(len(held), sizes[-1] > 1)
 
     draw = F.xxhash64("node", F.pmod("key", F.lit(DRAWS)))
     placed = keyed.repartition(F.col("key")).sortWithinPartitions("key", draw)
-    return in_tasks(placed.select("key", "node", "doc_id"), stream, "key long, node long, doc_id long" + "".join(f", hub_{k} long" for k in range(HUBS)))
+    return in_tasks(placed.select("key", "node"), stream, "key long, node long" + "".join(f", hub_{k} long" for k in range(HUBS)))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -262,11 +262,11 @@ def _links_between(open_members: DataFrame, percent: int) -> DataFrame:
 
 def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """node, label of every node that is linked with a smaller one. signed, nodes: written tables."""
-    keyed = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     members = cut(_with_hubs(keyed), "members")
     pairs = members.select("node", F.explode(F.array(*[f"hub_{k}" for k in range(HUBS)])).alias("hub")).where("node != hub")
     pairs = pairs.select(F.least("node", "hub").alias("hub"), F.greatest("node", "hub").alias("member")).distinct()
-    sets = _sets(docs, cut(members.select("node", "doc_id").distinct(), "wanted"), size)
+    sets = _sets(docs, cut(nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi"), "wanted"), size)
     edges = cut(confirm(pairs, sets, percent), "links")
     labels = components(edges)
     labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))

@@ -107,6 +107,22 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, n, c, k in got if k})
 
 
+def test_near_duplicates_with_null_ids_equal_brute_force(spark):
+    """Null ids, alone in a bucket and as near copies of each other and of rows with ids."""
+    draw = random.Random(4)
+    rows = []
+    for g in range(60):
+        base = [f"v{draw.randrange(4000)}" for _ in range(40)]
+        for k in range(draw.randint(1, 3)):
+            copy = list(base)
+            copy[draw.randrange(40)] = "x"
+            rows.append((None if g % 3 == 0 or (g % 3 == 1 and k == 0) else len(rows), " ".join(copy)))
+    rows += [(None, None), (None, " ")]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in op06_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()]
+    want = [(i, n, None if c == 1 << 60 else c) for i, n, c in near_by_hand(rows, 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op06_minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
