@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut, in_tasks, table
+from kinegrid.llm.common import cut, in_tasks, set_aside, table
 from kinegrid.llm.components import components
 
 PERMUTATIONS, BAND_ROWS = 138, 6
@@ -105,11 +105,16 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     return _mix((rows * _ROW_KEYS).sum(axis=1, dtype=np.uint64)).view(np.int64), (_mix(values.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-SIGNATURE = "doc_id long, n long, node long, bands array<long>, signature binary"
+SIGNATURE = "doc_id long, n long, node long, bands array<long>, signature binary, own long"
+
+
+def _own(text: str = "text") -> Column:
+    """A 64-bit key of the very text, to tell apart rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
-    """doc_id, n (shingles), node (key of the set; null if empty), bands, signature."""
+    """doc_id, n (shingles), node (key of the set; null if empty), bands, signature, own (key of the text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +129,9 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
                     bands.append(keys)
                     values.append(signature)
                 ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands))), pa.array(values, pa.binary())], ["doc_id", "n", "node", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands))), pa.array(values, pa.binary()), part.column(2)], ["doc_id", "n", "node", "bands", "signature", "own"])
 
-    return in_tasks(docs.select(F.col("doc_id").cast("long"), "text"), sign, SIGNATURE)
+    return in_tasks(docs.select(F.col("doc_id").cast("long"), "text", _own().alias("own")), sign, SIGNATURE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -276,11 +281,16 @@ def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent:
     return components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id (smallest id reachable through links), kept (its own id is that)."""
+def _labelled(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: signatures of the rows, nodes with an id each, and label (a node) of every node that is linked with a smaller one."""
     signed = cut(signatures(docs, size), "signatures")
     nodes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
-    labels = cut(linked_nodes(signed, nodes, docs, percent, size), "labels")
+    return signed, nodes, cut(linked_nodes(signed, nodes, docs, percent, size), "labels")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id (smallest id reachable through links), kept (its own id is that)."""
+    signed, nodes, labels = _labelled(docs, percent, size)
     least = nodes.select("node", F.col("doc_id").alias("least"))
     ends = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()).join(least, "node")
     smallest = ends.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -291,11 +301,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """One document of each group, with its own columns: the one with the smallest id (any one of rows that repeat it)."""
-    kept = cut(near_duplicates(docs, percent, size).where("kept").select("doc_id"), "kept")
-    out = docs.join(F.broadcast(kept.distinct()) if kept.count() <= SENT_IDS else kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each group, with its own columns, and all rows without shingles.
+
+    The row with the smallest id stays (null ids last); of rows that share it, the one whose text has the smallest hash.
+    """
+    signed, _, labels = _labelled(docs, percent, size)
+    rows = signed.where("node IS NOT NULL").groupBy("node", "doc_id", "own").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("first")
+    chosen = rows.groupBy("node").agg(first).select("node", "first.doc_id", "first.own", "first.n").join(labels, "node", "left")
+    chosen = chosen.groupBy(F.coalesce("label", "node").alias("label")).agg(first).select("first.doc_id", "first.own", (F.col("first.n") > 1).alias("again"))
+    blank = signed.where("node IS NULL").select("doc_id", "own", F.lit(False).alias("again")).distinct()
+    kept = cut(chosen.unionByName(blank).toDF("_id", "_own", "_again"), "kept")
+    safe, back = set_aside(docs)
+    sent = F.broadcast(kept) if kept.count() <= SENT_IDS else kept
+    out = safe.join(sent, safe["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (_own() == kept["_own"]))
+    once = out.where("NOT _again").select(*back)
+    if not kept.where("_again").limit(1).count():
+        return once
+    whole = F.struct(*[F.col(f"`{c}`") for c in safe.columns])
+    copies = out.where("_again").groupBy("_id", "_own").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*")
+    return once.unionAll(copies.select(*back))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

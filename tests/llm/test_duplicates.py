@@ -123,6 +123,19 @@ def test_near_duplicates_with_null_ids_equal_brute_force(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_drop_near_duplicates_decides_by_row(spark):
+    """Rows that share an id, or have none, go only as copies of a row that stays."""
+    a, b, c, x, y, z = (" ".join(f"{letter}{k}" for k in range(60)) for letter in "abcxyz")
+    rows = [(0, b), (1, b + " more"), (1, a), (2, c), (2, c), (2, c.upper()), (None, x), (None, x + " more"), (None, y), (None, z), (5, z + " more"), (6, " "), (None, None)]
+    for some in (rows, [r for r in rows if r[0] not in (1, 2)]):
+        df = spark.createDataFrame([(i, t, {"k": "v"}) for i, t in some], "doc_id long, text string, more map<string,string>")
+        kept = op06_minhash.drop_near_duplicates(df)
+        assert kept.schema == df.schema
+        got = [(r.doc_id, None if r.text is None else r.text.lower().removesuffix(" more")) for r in kept.collect()]
+        want = [(0, b), (1, a), (2, c), (None, x), (None, y), (5, z), (6, " "), (None, None)]
+        assert sorted(got, key=str) == sorted((w for w in want if w[0] in [i for i, _ in some]), key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op06_minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
