@@ -8,7 +8,7 @@ Documents with the same set are one node from the start. Inside a bucket every n
 hashes that differ among the bands, never all against all. Links are confirmed on the full sets and components are formed.
 Only buckets that still hold several components go on: there the signatures of nodes of different components are compared,
 and those that agree in LIKELY of their values are confirmed on the full sets too, in the same task; no pair leaves it but the
-links. At 0.8 a signature agrees in less about three times in ten thousand million, so no link is lost between the hubs.
+links. A large bucket is cut into blocks that go to many tasks, each with a bounded part of the nodes to compare them with. At 0.8 a signature agrees in less about three times in ten thousand million, so no link is lost between the hubs.
 
 Nulls: a null or blank text has no shingles, is linked with nothing and keeps its own id; a null id is never the smallest id of
 a component that has another. Rows that repeat an id are judged by their own texts. An empty table gives no rows.
@@ -34,6 +34,8 @@ HUBS, DRAWS = 2, 8
 LIKELY = 0.65
 #: Ids sent to every executor to pick documents; beyond it the documents are dealt out by id.
 SENT_IDS = 500_000
+#: Shingles of the members that a task compares at a time in a bucket of several components.
+BLOCK = 1_000_000
 #: Bytes kept of each shingle's hash where two sets are compared.
 KEPT_BYTES = 5
 
@@ -220,49 +222,86 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key", "left_semi")
 
 
-def _links_between(open_members: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between components that share a bucket, one for a node and another component. open_members: key, node, label, signature, n, body.
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """The members of each bucket dealt out as units of bounded size: key, b, c, role, and a member's own columns.
+
+    The open members of a bucket, those outside its largest component, are cut into chunks (c), all its members into blocks (b),
+    by hashes, so that each has about `block` shingles, or 16 times that. A unit is one chunk (role 0) against one block (role 1
+    for open members, 2 for those of the largest component): together the units of a bucket hold every pair.
+    """
+    weight = F.sum(F.col("n") + 64)
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("rows"), weight.alias("w"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "label", "w")).alias("top"), F.sum("w").alias("w"))
+    parts = lambda w, size: F.greatest(F.lit(1), F.ceil(w / F.lit(size))).cast("int")
+    sizes = sizes.select("key", F.col("top.label").alias("top"), parts(F.col("w"), 16 * block).alias("blocks"), parts(F.col("w") - F.col("top.w"), block).alias("chunks"))
+    unit = lambda b, c, role: F.struct(b.cast("int").alias("b"), c.cast("int").alias("c"), F.lit(role).alias("role"))
+    spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    streamed = lambda role: F.transform(each("chunks"), lambda c: unit(spread("block", "blocks"), c, role))
+    held = F.transform(each("blocks"), lambda b: unit(b, spread("chunk", "chunks"), 0))
+    units = F.when(F.col("label") == F.col("top"), streamed(2)).otherwise(F.concat(held, streamed(1)))
+    return members.join(sizes, "key").withColumn("unit", F.explode(units)).select("key", "unit.*", "node", "label", "signature", "n", "body")
+
+
+def _links_between(open_members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links u, v between components that share a bucket, at least one for a node and another component it is linked with. open_members: key, node, label, signature, n, body.
 
     Within a bucket each node outside the largest component is held against the nodes of other components: first by the
-    signatures, then, where LIKELY, on the full sets. Only links leave the task.
+    signatures, then, where LIKELY, on the full sets. A task keeps one chunk of the open members; the rest streams by, and only
+    links leave the task.
     """
 
-    def links(held: list[tuple]) -> pa.RecordBatch:
-        node, label, n = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 3))
-        values = np.stack([np.frombuffer(h[2], np.uint8) for h in held])
-        _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        order = np.lexsort((label, sizes[at]))  # the largest component comes last
-        node, label, n, values = node[order], label[order], n[order], values[order]
-        sets = [_unpacked(held[k][4]) for k in order.tolist()]
+    class Side:
+        def __init__(self, rows: list[tuple]):
+            self.role, self.node, self.label, self.n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
+            self.values = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
+            self.bodies = [r[5] for r in rows]
+
+    def links(chunk: Side, sets: list[np.ndarray], seen: Side) -> pa.RecordBatch:
         found: list[tuple[int, int]] = []
-        for k in np.flatnonzero(label != label[-1]).tolist():
-            other = np.flatnonzero((label[k + 1 :] != label[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))) + k + 1
-            near = other[(values[other] == values[k]).mean(axis=1) >= LIKELY]
-            if not len(near):
-                continue
-            flat = np.concatenate([sets[j] for j in near.tolist()])
-            place = np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)
-            starts = np.concatenate([[0], np.cumsum(n[near])])[:-1]
-            common = np.add.reduceat((sets[k][place] == flat).astype(np.int64), starts)
-            linked = near[100 * common >= percent * (n[k] + n[near] - common)]
-            _, one = np.unique(label[linked], return_index=True)
-            found += [(int(node[k]), int(node[j])) for j in linked[one].tolist()]
+        for k in range(len(sets)):
+            fit = (seen.label != chunk.label[k]) & (100 * np.minimum(seen.n, chunk.n[k]) >= percent * np.maximum(seen.n, chunk.n[k]))
+            other = np.flatnonzero(fit & ((seen.role == 2) | (seen.node > chunk.node[k])))  # a pair of open members meets twice
+            near = other[(seen.values[other] == chunk.values[k]).mean(axis=1) >= LIKELY]
+            linked = []
+            for j in near.tolist():
+                own = _unpacked(seen.bodies[j])
+                place = np.minimum(np.searchsorted(sets[k], own), len(sets[k]) - 1)
+                common = int((sets[k][place] == own).sum())
+                linked.append(100 * common >= percent * (chunk.n[k] + seen.n[j] - common))
+            near = near[np.array(linked, bool)]
+            _, one = np.unique(seen.label[near], return_index=True)
+            found += [(int(chunk.node[k]), int(seen.node[j])) for j in near[one].tolist()]
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        unit, held, chunk, sets, some, weight = None, [], None, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal chunk, sets, held
+            if chunk is None:
+                chunk, sets, held = Side(held), [_unpacked(r[5]) for r in held], []
+            return links(chunk, sets, Side(some))
+
         for batch in batches:
-            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != key:
-                    if held:
-                        yield links(held)
-                    key, held = own, []
-                held.append(row)
-        if held:
-            yield links(held)
-
-    placed = open_members.select("key", "node", "label", "signature", "n", "body").repartition(F.col("key")).sortWithinPartitions("key")
-    return in_tasks(placed, stream, "u long, v long")
+            for at in range(0, batch.num_rows, 500):
+                for *own, role, node, label, signature, n, body in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    if own != unit or weight >= block:
+                        if some:
+                            yield flush()
+                        some, weight = [], 0
+                    if own != unit:
+                        unit, held, chunk = own, [], None
+                    if role == 0:
+                        held.append((role, node, label, signature, n, body))
+                    elif held or chunk:
+                        some.append((role, node, label, signature, n, body))
+                        weight += n + 64
+        if some:
+            yield flush()
+
+    placed = _dealt(open_members, block).repartition(F.col("key"), F.col("b"), F.col("c")).sortWithinPartitions("key", "b", "c", "role")
+    return in_tasks(placed.select("key", "b", "c", "role", "node", "label", "signature", "n", "body"), stream, "u long, v long")
 
 
 def linked_nodes(signed: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:

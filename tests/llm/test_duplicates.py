@@ -150,6 +150,25 @@ def test_links_between_components_of_a_bucket(spark):
     assert op06_minhash._links_between(df, 99).count() == 0
 
 
+def test_links_between_parts_of_a_bucket(spark):
+    """A bucket cut into many small units gives the same links between components as one unit, and no unit holds it whole."""
+    draw = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[draw.randint(0, 6) :] + [f"y{k}"]) for k in range(60)]
+    rows = []
+    for k, t in enumerate(texts):
+        s = op06_minhash.shingle_set(t)
+        rows.append((1, op06_minhash.set_key(s), 1 if k < 40 else k, bytearray(op06_minhash.band_keys(s)[1]), len(s), bytearray(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes())))
+    df = spark.createDataFrame(rows, "key long, node long, label long, signature binary, n long, body binary")
+    label = {r[1]: r[2] for r in rows}
+    found = []
+    for block in (op06_minhash.BLOCK, 300):
+        found.append({tuple(sorted((label[r.u], label[r.v]))) for r in op06_minhash._links_between(df, 80, block).collect()})
+    assert found[0] == found[1] and len(found[0]) > 100
+    units = op06_minhash._dealt(df, 300).groupBy("key", "b", "c").count().collect()
+    assert len(units) > 8 and max(u["count"] for u in units) < 60
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, 200), (300, 100), (7, 7), (400, 399), (398, 400)] + [(k, 500) for k in range(501, 600)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
