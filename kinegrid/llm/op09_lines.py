@@ -1,10 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents are lists of lines. A line is rare if at least two documents hold it, but no more than RARE of them (or RARE_SHARE of
-all documents, if that is more). Every document that holds a rare line is paired with the line's first holder, the one of the
-smallest id: as many pairs as holders, however many there are. A pair is aligned by patience diff. The maximal blocks
-of consecutive lines aligned in both are deleted from the later document, if they hold a rare line; blank lines alone are never
-rare. The first holder keeps its lines, so one copy of every deleted line stays.
+Documents are lists of lines. Every document that holds a line of another document is paired with the line's first holder, the
+one of the smallest id, however many hold the line: at most as many pairs as held lines, and each pair once. Blank lines make no
+pairs. A pair is aligned by patience diff. The maximal blocks of consecutive lines aligned in both are deleted from the later
+document, except blocks of blank lines alone. The first holder keeps its lines, so one copy of every deleted line stays.
 
 Documents with the same text are one: the smallest id's is aligned with others, all lines of the later copies are deleted.
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from kinegrid.llm.common import cut, table
 
-RARE, RARE_SHARE = 100, 0.001
+#: Pairs of one first holder that a task aligns, about.
+FAN = 2000
 LAST_ID = (1 << 63) - 1
 
 
@@ -63,8 +63,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def deleted(first: list, later: list, rare: set) -> list[int]:
-    """Lines of the later document to delete: those of aligned blocks that hold a rare line."""
+def deleted(first: list, later: list) -> list[int]:
+    """Lines of the later document to delete: those of aligned blocks that hold a line that is not blank (0)."""
     out: list[int] = []
     block: list[int] = []
     held, end = False, (-2, -2)
@@ -74,7 +74,7 @@ def deleted(first: list, later: list, rare: set) -> list[int]:
             block, held = [], False
         if j >= 0:
             block.append(j)
-            held |= later[j] in rare
+            held |= later[j] != 0
         end = (i, j)
     return out
 
@@ -88,23 +88,25 @@ def _lined(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"), F.xxhash64(d, text).alias("k"), F.md5(text).alias("same"), lines.alias("lines"), text.alias("text"))
 
 
-def line_deletions(lined: DataFrame, rare: int = RARE, share: float = RARE_SHARE) -> DataFrame:
+def line_deletions(lined: DataFrame, fan: int = FAN) -> DataFrame:
     """k and gone (sorted lines to delete) of every document that loses some by alignment. lined: a written table of documents whose texts differ."""
-    n = lined.count()
     held = lined.select("k", "d", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    rare_lines = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct("d", "k")).alias("f")).where((F.col("holders") > 1) & (F.col("holders") <= max(rare, int(share * n))))
-    rare_lines = rare_lines.select("line", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k"))
-    pairs = held.join(rare_lines, "line").where("d > first_d").groupBy(F.col("k"), F.col("first_k")).agg(F.collect_list("line").alias("rare"))
+    shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct("d", "k")).alias("f")).where("holders > 1")
+    shared = shared.select("line", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k"))
+    pairs = cut(held.join(shared, "line").where("d > first_d").select("k", "first_k").distinct(), "pairs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for rare_of, later, first in zip(*(batch.column(c) for c in (1, 2, 3)), strict=True):
-                found.append(deleted(first.as_py(), later.as_py(), set(rare_of.as_py())))
+            found = [deleted(first.as_py(), later.as_py()) for later, first in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "gone"])
 
     lines = lined.select("k", "lines")
-    both = pairs.join(lines, "k").join(lines.select(F.col("k").alias("first_k"), F.col("lines").alias("first")), "first_k").select("k", "rare", "lines", "first")
+    # a first holder of a great many pairs is sent to several tasks
+    hot = F.broadcast(pairs.groupBy("first_k").count().where(F.col("count") > fan).select("first_k", F.ceil(F.col("count") / fan).alias("tasks")))
+    dealt = pairs.join(hot, "first_k", "left").select("k", "first_k", F.coalesce(F.pmod(F.xxhash64("k", "first_k"), F.col("tasks")), F.lit(0)).alias("task"))
+    firsts = lines.select(F.col("k").alias("first_k"), F.col("lines").alias("first")).join(hot, "first_k", "left")
+    firsts = firsts.select("first_k", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)) - 1)).alias("task"))
+    both = dealt.join(lines, "k").join(firsts, ["first_k", "task"]).select("k", "lines", "first")
     return both.mapInArrow(align, "k long, gone array<int>").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where(F.size("gone") > 0)
 
 

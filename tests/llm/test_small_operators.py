@@ -149,6 +149,14 @@ def test_patience_and_line_dedup(spark):
     assert got == [(1, 2, 0, "four\nown"), (1, 4, 0, text), (2, 4, 2, "zero\nnine"), (3, 4, 4, ""), (4, 0, 0, ""), (5, 0, 0, ""), (6, 1, 1, ""), (6, 3, 0, "\n\n"), (99, 2, 1, "mine")]
 
 
+@pytest.mark.parametrize("fan", [2000, 20])
+def test_line_dedup_of_lines_that_many_hold(spark, fan):
+    """A line goes from all later holders, however many there are, and so do all aligned blocks of a pair."""
+    rows = [(k, f"own {k}\nin all\n\nin all too\nown {k} too" + ("\nof two" if k in (3, 9) else ""), "en", "s") for k in range(150)]
+    got = {r.doc_id: (r.n_removed, r.text) for r in op09_lines.dedup_lines(docs(spark, rows), fan=fan).collect()}
+    assert got == {k: (0, rows[0][1]) if k == 0 else (4, f"own {k}\nown {k} too") if k == 9 else (3, f"own {k}\nown {k} too" + ("\nof two" if k == 3 else "")) for k in range(150)}
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
