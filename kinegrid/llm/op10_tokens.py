@@ -7,7 +7,8 @@ from the block's offsets. Parquet is the container, so the files live wherever S
 written again.
 
 Nulls: a null text is empty and has the end id alone; a null id sorts first. Repeated rows follow one another; ties are in the
-order of their ids' checksum. An empty table gives an empty dataset.
+order of their ids' checksum. An empty table gives an empty dataset. A very long
+text is encoded in chunks; its ids are held whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,22 @@ from pyspark.sql import functions as F
 from kinegrid.llm.common import in_tasks, large, scratch_path, table
 
 BLOCK_IDS = 1 << 16
-#: Distinct space-separated pieces whose ids a worker keeps within a task; all are forgotten together beyond it.
-KEPT_PIECES = 200_000
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
-_STEM = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)")
+#: Distinct words whose ids a worker process keeps, for all its tasks: those met last.
+KEPT_WORDS = 500_000
+#: Bytes of text encoded at a time.
+CHUNK = 2 << 20
+OTHER, LETTER, SPACE, UNSURE = range(4)
+_BYTE = np.random.default_rng(10_050).integers(0, 1 << 63, 256, dtype=np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character below 0x800. Latin, Greek and Cyrillic have the same here and in the library; the rest is unsure."""
+    sure = re.compile("[\t\n\r\x20-\x7e\xa1-\u0377\u037a-\u037f\u0384-\u038a\u038c\u038e-\u03a1\u03a3-\u052f]")
+    return np.array([(LETTER if c.isalnum() else SPACE if c.isspace() else OTHER) if sure.match(c) else UNSURE for c in map(chr, range(0x800))], np.uint8)
+
+
+_KIND = _kinds()
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -62,110 +73,163 @@ def unpack(data: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
     return flat.reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches of the given sizes, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character in UTF-8 data."""
+    kind = _KIND[np.minimum(data, 0x7F)]
+    lead = np.flatnonzero(data >= 0xC0)
+    two = lead[data[lead] < 0xE0]
+    kind[data >= 0x80] = UNSURE
+    kind[two] = kind[two + 1] = _KIND[((data[two] & 0x1F).astype(np.int64) << 6) | (data[two + 1] & 0x3F)]
+    return kind
+
+
+def word_starts(data: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer cuts data; begins: where texts begin, at 0 too. A word keeps its digits and contractions.
+
+    A run of white space before something else gives its last character away: a blank to the word after it, another stands alone.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[begins] = first[n] = True
+    before = np.append(np.uint8(SPACE), kind[:-1])
+    after = np.append(kind[1:], np.uint8(SPACE))
+    quote = np.flatnonzero((data == 39) & (after == LETTER) & ~first[1:])
+    inner = quote[(before[quote] == LETTER) & ~first[quote]]
+    kind[inner] = LETTER
+    new = first[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    blank = np.append(False, data[:-1] == 32) & ~first[:-1]
+    new &= ~(blank & (kind != SPACE))
+    last = (kind == SPACE) & (np.append(kind[1:], np.uint8(SPACE)) != SPACE) & ~first[1:]
+    new |= last
+    lone = quote[(first[quote] | ((kind[quote - 1] == SPACE) & (data[quote - 1] != 32))) & (kind[quote] == OTHER)]
+    new[lone + 1] = False  # a contraction without its word
+    return np.flatnonzero(new)
+
+
 class Encoder:
-    """Encodes texts through the ids of their space-separated pieces.
+    """Encodes texts through the ids of their distinct words, as the byte-level pre-tokenizer cuts them.
 
-    The byte-level pre-tokenizer never joins a lone space or line feed to what stands before it, nor letters and digits to the
-    punctuation after them. So a text's ids are those of its pieces, each with the space before it, and a piece's ids those of
-    its lines' stems and tails. The library encodes each new stem once, many in one text: each begins with a space (or follows
-    a line feed), which marks where its ids begin. Pieces that hold or touch other white space are encoded one by one.
+    Byte-pair merges never cross these words, so a text's ids are those of its words, one after the other. A chunk's distinct
+    words are found by a hash and compared by bytes. The library encodes many new words in one text, where the token of a
+    leading space, or of a line feed put between, marks the next word. The ids are kept in two generations: when the recent one
+    is full it becomes the older one, and what was not met since is forgotten. Texts with other characters than _KIND is sure
+    of, or with a special token, go to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.bits = bits_for(self.library.get_vocab_size())
-        self.begins = {" ": np.zeros(1 << self.bits, bool), "\n": np.zeros(1 << self.bits, bool)}
+        self.spaced = np.zeros(1 << self.bits, bool)
         for token, at in self.library.get_vocab().items():
-            self.begins[" "][at] = token.startswith("\u0120")
-            self.begins["\n"][at] = token == "\u010a"
-        self.feed = self._one("\n")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.stems: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.tails: dict[str, bytes] = {}
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def forget(self) -> None:
-        """Give the memory back: the worker process lives on after the task."""
-        for known in (self.first, self.later, *self.stems.values(), self.tails):
-            known.clear()
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_stems(self, before: str, stems: list[str]) -> None:
-        """Ids of stems that follow a space, or a line feed (whose own ids are left out)."""
-        known, skipped = self.stems[before], 4 if before == "\n" else 0
-        for at in range(0, len(stems), 10_000):
-            part = stems[at : at + 10_000]
-            ids = np.array(self.library.encode(before + before.join(part), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.begins[before][ids])
-            if len(starts) != len(part) or starts[0]:
-                known.update((p, self._one(before + p)[skipped:]) for p in part)
-                continue
-            body, places = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            known.update(zip(part, [body[a + skipped : b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
-        """Ids of pieces that follow a space (before: " ") or begin a text (before: "")."""
-        kind = before or "\n"
-        stems, missing, plans = self.stems[kind], {" ": set(), "\n": set()}, []
-        words = [p for p in pieces if p.isalnum()]
-        rest = [p for p in pieces if not p.isalnum()]
-        bare = [p.rstrip(punctuation) for p in rest]
-        ended = [(p, stem, p[len(stem) :]) for p, stem in zip(rest, bare, strict=True) if stem.isalnum()]
-        for p, stem in zip(rest, bare, strict=True):
-            if not stem.isalnum():
-                if plan := self._plan(p, before, missing):
-                    plans.append((p, plan))
+            self.spaced[at] = token.startswith("\u0120")
+        self.feed = self._ids(["\n"])[0][0]
+        self.most, self.recent, self.older = kept, {}, {}
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        blank = [w.isspace() for w in words]
+        alone = [w for w, b in zip(words, blank, strict=True) if b]
+        for spaced in (True, False):
+            kind = [w for w, b in zip(words, blank, strict=True) if not b and (w[0] == 32) == spaced]
+            for at in range(0, len(kind), 10_000):
+                part = kind[at : at + 10_000]
+                ids = self._ids([(b"".join(part) if spaced else b"\n" + b"\n".join(part)).decode()])[0]
+                starts = np.flatnonzero(self.spaced[ids] if spaced else ids == self.feed)
+                if len(starts) != len(part) or starts[0]:
+                    alone += part
+                    continue
+                body, places, skipped = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)], 0 if spaced else 4
+                self.recent.update(zip(part, [body[a + skipped : b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
+        self.recent.update(zip(alone, [ids.tobytes() for ids in self._ids([w.decode() for w in alone])], strict=True))
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.recent) > self.most // 2:
+            self.older, self.recent = self.recent, {}
+        found = list(map(self.recent.get, words))
+        if None in found:
+            new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+            past = list(map(self.older.get, new))
+            self.recent.update([(w, ids) for w, ids in zip(new, past, strict=True) if ids is not None])
+            self._learn([w for w, ids in zip(new, past, strict=True) if ids is None])
+            found = list(map(self.recent.__getitem__, words))
+        return found
+
+    def _chunk(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of data that begin at starts, and how many each has."""
+        sizes = np.diff(np.append(starts, len(data)))
+        factors = np.full(int(sizes.max()), _FACTOR, np.uint64)
+        factors[0] = 1
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        key = np.add.reduceat(_BYTE[data] * np.multiply.accumulate(factors)[place], starts)
+        order = np.argsort(key)
+        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        first, group = order[new], np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        if (sizes[first][group] != sizes).any() or (data[_stretches(starts[first][group], sizes)] != data).any():
+            first, group = np.arange(len(starts)), np.arange(len(starts))  # two words share a hash
+        body = data.tobytes()
+        gc.disable()  # nothing here makes cycles, and the many strings would be scanned again and again
+        found = self._look_up([body[a:b] for a, b in zip(starts[first].tolist(), (starts + sizes)[first].tolist(), strict=True)])
+        gc.enable()
+        flat, n = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
+        counts = n[group]
+        return flat[_stretches((np.cumsum(n) - n)[group], counts)], counts
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none)."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+            ends = offsets[at : stop + 1] - offsets[at]
+            own = np.flatnonzero(np.diff(ends))
+            ids, cuts = np.zeros(0, "<u4"), np.zeros(stop - at + 1, np.int64)
+            if len(own):
+                data = np.frombuffer(texts.buffers()[2], np.uint8, int(ends[-1]), int(offsets[at]))
+                kind = kinds_of(data)
+                whole = np.maximum.reduceat(kind, ends[own]) == UNSURE
+                if any(x in memoryview(data).tobytes() for x in self.special):
+                    whole |= [any(x in texts[at + k].as_buffer().to_pybytes() for x in self.special) for k in own.tolist()]
+                starts = word_starts(data, kind, ends[own])
+                text_of = np.searchsorted(ends[own], starts, side="right") - 1
+                starts = starts[~whole[text_of] | np.isin(starts, ends[own])]
+                ids, counts = self._words(data, starts, dict.fromkeys(ends[own][whole].tolist()))
+                cuts = np.append(0, np.cumsum(counts))[np.searchsorted(starts, ends)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield ids[a:b]
+            at = stop
+
+    def _words(self, data: np.ndarray, starts: np.ndarray, whole: dict[int, None]) -> tuple[np.ndarray, np.ndarray]:
+        """As _chunk, for any length of data; the words at the places of `whole` are texts for the library."""
+        ids, counts, k = [], [], 0
+        ends = np.append(starts[1:], len(data))
+        limits = sorted({*(np.flatnonzero(np.diff(starts // CHUNK)) + 1).tolist(), *np.searchsorted(starts, list(whole)).tolist(), len(starts)} | {i + 1 for i in np.searchsorted(starts, list(whole)).tolist()})
+        for stop in limits:
+            if stop > k:
+                part = data[starts[k] : ends[stop - 1]]
+                if int(starts[k]) in whole:
+                    ids += self._ids([part.tobytes().decode()])
+                    counts.append(np.array([len(ids[-1])]))
                 else:
-                    known[p] = self._one(before + p)
-        missing[kind].update(words, [stem for _, stem, _ in ended])
-        for k, new in missing.items():
-            self._learn_stems(k, list(new.difference(self.stems[k])))
-        for tail in {tail for _, _, tail in ended}.difference(self.tails):
-            self.tails[tail] = self._one(tail)
-        tails = self.tails
-        known.update(zip(words, map(stems.__getitem__, words), strict=True))
-        known.update([(p, stems[stem] + tails[tail]) for p, stem, tail in ended])
-        for p, plan in plans:
-            known[p] = self.feed.join([self.stems[k][stem] + tails[tail] for k, stem, tail in plan])
-
-    def _plan(self, piece: str, before: str, missing: dict[str, set]) -> list[tuple[str, str, str]]:
-        """Kind, stem and tail of each line of a piece; empty if it must be encoded as a whole."""
-        lines = piece.split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() or " " in x for x in lines) or any(x in piece for x in self.special):
-            return []
-        plan = []
-        for k, line in enumerate(lines):
-            stem, tail = m.groups() if (m := _STEM.fullmatch(line)) else (line, "")
-            kind = " " if before and not k else "\n"
-            missing[kind].add(stem)
-            if tail not in self.tails:
-                self.tails[tail] = self._one(tail)
-            plan.append((kind, stem, tail))
-        return plan
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        for at in range(0, len(texts), 256):
-            gc.disable()  # nothing here makes cycles, and the many strings would be scanned again and again
-            split = [_LONE_SPACE.split(t) if t[:1] == " " or _SPACES.search(t) else t.split(" ") for t in texts[at : at + 256]]
-            for known in (self.first, self.later, *self.stems.values(), self.tails):
-                if len(known) > KEPT_PIECES:
-                    known.clear()
-            self.tails[""] = b""
-            self._learn(self.first, [p for p in {s[0] for s in split} if p not in self.first], "")
-            later: set[str] = set()
-            for s in split:
-                later.update(s[1:])
-            self._learn(self.later, list(later.difference(self.later)), " ")
-            gc.enable()
-            for s in split:
-                yield self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:]))
+                    some, n = self._chunk(part, starts[k:stop] - starts[k])
+                    ids.append(some)
+                    counts.append(n)
+                k = stop
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def encoder(path: str) -> Encoder:
@@ -173,30 +237,35 @@ def encoder(path: str) -> Encoder:
     return large(("encoder", path), lambda: Encoder(path))
 
 
+def _parts(ids: np.ndarray, crc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each document. An id that fills several ranges (its bound repeats) is dealt over them by its checksum, in order."""
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return low + ((crc * (high - low + 1)) >> 32)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
-    """Packed ids of every document: part (a range of ids), doc_id, n, packed, crc. The ranges come from a pass over the ids alone."""
+    """Packed ids of every document: part (a range of ids), doc_id, n, packed, crc. The bounds of the ranges, one number each, come from a pass over the ids alone."""
     parts = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(cuts, np.float64))
+    wanted = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    bounds = np.array(wanted or [], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             ids = batch.column(0)
-            part = np.searchsorted(bounds, np.array([-np.inf if i is None else float(i) for i in ids.to_pylist()]), side="right")
             for at in range(0, batch.num_rows, 1024):
-                texts = [t or "" for t in batch.column(1).slice(at, 1024).to_pylist()]
                 packed, n, crc = [], [], []
-                for found in own.encode(texts):
-                    found += end
-                    n.append(len(found) // 4)
+                for found in own.encode(batch.column(1).slice(at, 1024)):
+                    found = np.append(found, end)
+                    n.append(len(found))
                     crc.append(zlib.crc32(found))
-                    packed.append(pack(np.frombuffer(found, "<u4"), own.bits))
-                yield pa.RecordBatch.from_arrays([pa.array(part[at : at + len(n)].astype(np.int32)), ids.slice(at, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["part", "doc_id", "n", "packed", "crc"])
-        encoder(vocabulary).forget()
+                    packed.append(pack(found, own.bits))
+                some = ids.slice(at, len(n))
+                part = _parts(some.fill_null(-(1 << 63)).to_numpy(), np.array(crc, np.int64), bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), some, pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["part", "doc_id", "n", "packed", "crc"])
 
-    return in_tasks(docs.select("doc_id", "text"), encode, "part int, doc_id long, n long, packed binary, crc long")
+    return in_tasks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id long, n long, packed binary, crc long")
 
 
 BLOCKS = "part int, block int, start_in_part long, n_ids long, bits int, doc_ids array<long>, doc_n array<long>, packed binary"

@@ -184,11 +184,24 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_encoder_equals_library():
     import random
 
-    own, draw = op10_tokens.encoder(op10_tokens.public_vocabulary()), random.Random(5)
-    alphabet = [*"ab .,'\n\t0é_|ß中", " ", "\u0085", " ", "\x1c", "<|endoftext|>", "'s", " the"]
-    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
-    for text, ids, found in zip(texts, own.library.encode_batch(texts, add_special_tokens=False), own.encode(texts), strict=True):
-        assert np.array(ids.ids, "<u4").tobytes() == found, text
+    own, draw = op10_tokens.Encoder(op10_tokens.public_vocabulary(), kept=2000), random.Random(5)
+    alphabet = [*"ab .,'\n\t0é_|ß中", " ", "\u0085", "\x1c", "<|endoftext|>", "'s", " the", "'ll", "\u0301", "\r", "я", "½", "\xa0", "😀"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(6000)]
+    texts += [f"a{c}a{c}{c} {c}b 1{c} '{c} {c}'s{c}\n{c}'" for c in map(chr, range(0x600))]
+    texts += ["word's end 12 " * 250_000, "x" * 3_000_000, None, ""]
+    for text, ids, found in zip(texts, own.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False), own.encode(op10_tokens.pa.array(texts)), strict=True):
+        assert np.array_equal(ids.ids, found), (text or "")[:60]
+
+
+def test_an_id_of_many_rows_is_dealt_over_parts(spark, tmp_path):
+    rows = [(5, f"text {k}", "en", "s") for k in range(400)] + [(k, "other", "en", "s") for k in range(200)]
+    path = (tmp_path / "hot").as_uri()
+    op10_tokens.write_token_files(docs(spark, rows), path, parts=12, block_ids=50)
+    sizes = {r.part: r["count"] for r in spark.read.parquet(path).selectExpr("part", "explode(doc_ids) d").groupBy("part").count().collect()}
+    assert max(sizes.values()) < 150
+    got = op10_tokens.checksums(spark, path).orderBy("start").collect()
+    assert len(got) == 600 and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got[:-1], got[1:], strict=True))
 
 
 def test_decontamination_by_one_benchmark_after_another(spark):
