@@ -36,7 +36,7 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = {k: [float(x) for x in rng.integers(-3, 4, 5) / 64] for k in range(900)}
     vectors[7] = vectors[8]
-    rows = [(k, v) for k, v in vectors.items()] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 5), (1003, [float("inf")] * 5), (1020, [1.0, 2.0]), (5, vectors[5])]
+    rows = [(k, v) for k, v in vectors.items()] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 5), (1003, [float("inf")] * 5), (1020, [1.0, 2.0])]
     from pyspark.sql import functions as F
 
     df = op03_topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
@@ -50,6 +50,32 @@ def test_topk_equals_brute_force(spark):
     assert 1020 not in got and set(got) == set(range(0, 900, 20))
 
 
+@pytest.mark.parametrize("most", [10, 10**4, 10**6, 10**7, 3 * 10**8])
+def test_topk_of_large_numbers_and_repeated_ids(spark, most):
+    """Against Python's integers: large scores, ties across shards, ids on several rows, a hot vector, columns of no interest."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(most)
+    rows = [(int(k) // 2, [int(x) for x in rng.integers(-most, most + 1, 6)]) for k in range(300)] + [(1000 + k, [1, 2, 3, 4, 5, 6]) for k in range(150)] + [(2000, [most] * 6)] * 3
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, v array<long>, cell string")
+    got = {}
+    for r in op03_topk.top_k(df, F.col("vec_id") % 20 == 0, 20, shard_rows=40, block_rows=7, sample=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = {}
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if a != b)[:20]
+            want.setdefault(i, []).extend((n + 1, j, -s) for n, (s, j) in enumerate(best))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_topk_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    empty = op03_topk.whole_numbers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert op03_topk.top_k(empty, F.lit(True)).count() == 0
+
+
 def test_chat_layouts_meet_in_the_same_turns(spark):
     records = [
         '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}',
