@@ -12,6 +12,9 @@ unescaping gives back every character. Loss spans cover the texts of assistant t
 Turns are formatted one by one, without grouping. Reading back streams each conversation's pieces in order and holds one
 piece at a time, so a conversation of any length needs no more memory than its longest turn.
 
+Records that cannot be read come out as those of no known layout: what is not JSON or nested too deep, turn numbers that are no
+64-bit integers, turns that are no objects. Half of a surrogate pair becomes U+FFFD.
+
 Nulls: a null text or role is empty; a null id is a conversation of its own. Turns with the same number follow one another by
 role and text. Empty tables: the given extra conversation, or nothing.
 """
@@ -34,6 +37,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<|im_sep|>", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPED = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _UNESCAPED = re.compile(r"\\([\\.])")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def escape(text: str) -> str:
@@ -102,7 +106,18 @@ def _at(value: object, path: str) -> object:
 
 
 def _text(value: object) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _SURROGATE.sub("\ufffd", text)
+
+
+def _turn(value: object) -> int:
+    if value is None:
+        return 0
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)) or isinstance(value, float) and not value.is_integer():
+        raise ValueError("a turn is numbered by an integer")
+    if not -(1 << 63) <= int(value) < 1 << 63:
+        raise ValueError("a turn's number has 64 bits")
+    return int(value)
 
 
 class Mapper:
@@ -127,10 +142,12 @@ class Mapper:
             return None, []
         if found.each:
             items = _at(record, found.each) or []
+            if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
+                raise ValueError("turns are objects in a list")
             own = [(_text(_at(i, found.role)), _text(_at(i, found.text))) for i in items]
             return found.name, [(k, found.roles.get(r.lower(), r), t) for k, (r, t) in enumerate(own)]
         if found.text:
-            return found.name, [(int(_at(record, found.turn) or 0), _text(_at(record, found.role)), _text(_at(record, found.text)))]
+            return found.name, [(_turn(_at(record, found.turn)), _text(_at(record, found.role)), _text(_at(record, found.text)))]
         merged: list[tuple[str, str]] = []
         for role, path in found.parts:
             value = _at(record, path)
@@ -153,7 +170,7 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
             for conv_id, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     name, turns = mapper.turns(json.loads(record or "null"))
-                except ValueError:
+                except (ValueError, RecursionError):
                     name, turns = None, []
                 rows += [(conv_id, t, r, x, name) for t, r, x in turns] if name else [(conv_id, None, None, None, None)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["conv_id", "turn", "role", "text", "layout"])

@@ -114,6 +114,18 @@ def test_chat_digests(spark, sf):
         assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_chat_records_that_cannot_be_read(spark):
+    turn = '{"role": "user", "text": "x", "turn": %s}'
+    bad = [turn % t for t in ("[1]", '{"a": 1}', "Infinity", "NaN", "1e30", "1.5", '"x"', "true", "9" * 30, "9" * 5000)]
+    bad += ["[" * 5000 + "]" * 5000, '{"a":' * 3000 + "1" + "}" * 3000, '{"messages": ["a", {"role": "u", "content": "c"}]}', '{"messages": {"role": "u", "content": "c"}}', "3", '""']
+    good = [turn % t for t in ("7", "7.0", '"7"', "null")] + ['{"role": "user", "text": "\\ud800x", "turn": 7}']
+    rows = op04_chat.canonical_turns(spark.createDataFrame([(k, r, "y") for k, r in enumerate([*bad, *good])], "conv_id long, record string, role string")).collect()
+    assert sorted(r.conv_id for r in rows) == list(range(len(bad) + len(good)))
+    assert all((r.layout is None) == (r.conv_id < len(bad)) for r in rows)
+    assert [(r.turn, r.text) for r in sorted(rows, key=lambda r: r.conv_id)[len(bad) :]] == [(7, "x"), (7, "x"), (7, "x"), (0, "x"), (7, "\ufffdx")]
+    assert op04_chat.read_back(op04_chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href="/a">A</a></nav>
 <div class="cookie-notice">We use cookies</div>%s<aside>More</aside><div id="comments"><p>Great read thanks a lot for it</p></div><form><input>Mail</form><footer>&copy; 2024</footer></body></html>"""
 
@@ -129,6 +141,39 @@ def test_html_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_weights_are_learned(spark):
+    """Headlines in headers, forms around pages, lists in articles, classes that pages use for content, no labels, clashing columns."""
+    nav = "<nav><ul>" + "".join(f"<li><a href='/{k}'>menu entry {k}</a></li>" for k in range(40)) + "</ul></nav>"
+    body = "<p>" + "plain words of the story " * 8 + "</p>"
+    story = " ".join(["plain words of the story"] * 8)
+    rows = [(k, f"<body>{nav}<div class='teaser-rail'>{'buy this now ' * 20}</div><article><header><h1>Head {k}</h1></header>{body}<div class='related-work'>as others found</div></article><footer>imprint</footer></body>") for k in range(30)]
+    rows += [
+        (100, f"<body><form action='/x'>{nav}<div class='entry-header'><h1>Title</h1></div>{body}<div class='teaser-rail'>{'buy this now ' * 20}</div></form></body>"),
+        (101, f"<body>{nav}<article><ul>" + "".join(f"<li>point {k} of many</li>" for k in range(30)) + "</ul></article></body>"),
+        (102, f"<body>{nav}<article>{body}<div class='teaser-rail'>buy</div>{body}</article></body>"),
+    ]
+    pages = spark.createDataFrame([(i, "u", h, "mine", 3) for i, h in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: r for r in op05_html.extract(pages, op05_html.learn(pages)).collect()}
+    assert got[3].text == f"Head 3 {story} as others found" and (got[3].page_text, got[3].page_n_chars) == ("mine", 3)
+    assert got[100].text == f"Title {story}"
+    assert got[101].text == " ".join(f"point {k} of many" for k in range(30))
+    assert got[102].text == f"{story} {story}"
+    plain = pages.where("page_id = 100")
+    assert op05_html.extract(plain, op05_html.learn(plain)).first().text.startswith(f"Title {story}")
+    empty = spark.createDataFrame([], pages.schema)
+    assert op05_html.extract(empty, op05_html.learn(empty)).count() == 0
+
+
+def test_html_scan_equals_all_runs():
+    import random
+
+    draw = random.Random(9)
+    for _ in range(300):
+        scores = [draw.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(draw.randint(0, 14))]
+        low, high = op05_html.best_run(scores)
+        assert sum(scores[low:high]) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1))])
+
+
 def test_decontamination(spark):
     words = [f"w{k}" for k in range(40)]
     item = " ".join(words[:20])
