@@ -5,14 +5,19 @@ Every byte that a passage of LENGTH bytes covers is removed if the passage also
 1. Documents with the same text are one; only the smallest id's text goes on. The texts are kept as groups of about a megabyte,
    in a bucketed table, so later joins by group move no text.
 2. In each group the passages are cut into runs that share an anchor: the byte string of ANCHOR bytes that is smallest, by its hash,
-   within the passage. The same passage has the same anchor wherever it stands. For each run a group sends a 64-bit record of its
-   anchor and content, once, with the smallest id.
+   within the passage. The same passage has the same anchor wherever it stands. A group is worked on in windows of about a
+   megabyte; a longer text is cut into windows that overlap by a passage, so memory does not grow with groups or texts. For each
+   run a window sends a 64-bit record of its anchor and content, once, with the smallest id.
 3. By anchor, the records tell which runs also occur in a smaller document as they are, and which others share an anchor and
    what stands at one side of it, that is, may share a passage with a run of other content. All the rest is unique.
-4. The bytes of the latter runs go to a suffix array each for a part of the anchors: two-stage sorting, common prefixes of
-   neighbours, and stretches with prefixes of at least LENGTH bytes are one passage, whose smallest id decides. An anchor with a
-   great many contents is dealt out by passage instead, so no anchor lands in one task.
-5. The removed places of each text are united; digests are taken of what is left.
+4. The bytes of the latter runs go to a suffix array each for a part of the anchors: passages whose hash no other document has
+   there are left out, the rest is put in order by two-stage sorting, and stretches with common prefixes of at least LENGTH bytes
+   are one passage, whose smallest id decides. An anchor with a great many contents is dealt out by passage instead, one copy a
+   window, so no anchor lands in one task.
+5. The removed places of each text are united as intervals; digests are taken of what is left.
+
+Copies of whole texts (by MD5) and runs with equal records are taken as equal without a look at their bytes. Of the records of
+one part, some 640,000 for 8 MB of text, two different ones are equal by chance once in about 90 million parts.
 
 Nulls: a null text is empty. A null id counts as larger than all others; rows that share an id remove nothing from one another.
 A text shorter than LENGTH loses nothing. Passages never cross documents. An empty table gives no rows.
@@ -34,8 +39,8 @@ from kinegrid.llm.common import cut, scratch_path, table
 from kinegrid.llm.suffixes import SEPARATOR, common_prefixes, two_stage
 
 LENGTH, ANCHOR = 50, 24
-#: Least and most bytes of text in a group, and groups there are between the two.
-GROUP_LEAST, GROUP_MOST, GROUPS = 1 << 20, 1 << 25, 4096
+#: Least and most bytes of text in a group, and groups there are between the two; bytes of it that are worked on at a time.
+GROUP_LEAST, GROUP_MOST, GROUPS, WINDOW = 1 << 20, 1 << 25, 4096, 1 << 20
 #: Bytes of text for each part of the anchors.
 PART_BYTES = 8 << 20
 #: Contents of one anchor in a suffix array; beyond it they are dealt out by passage.
@@ -134,7 +139,33 @@ class Runs:
         return _mix((self._sums[end] - self._sums[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64))
 
 
-def _records(runs: Runs, ids: np.ndarray, parts: int) -> tuple:
+class Window(Runs):
+    """Runs of some texts of a group, or of a stretch of a long one. docs, offsets: which text each piece is of, and where it begins there."""
+
+    def __init__(self, docs: list[int], offsets: list[int], pieces: list[bytes], ids: np.ndarray, length: int):
+        super().__init__(pieces, length)
+        self.docs, self.offsets = np.array(docs, np.int64), np.array(offsets, np.int64)
+        self.ids = ids[self.docs]
+
+
+def windows(texts: list[bytes], ids: np.ndarray, length: int, size: int = WINDOW) -> Iterator[Window]:
+    """Every passage of the texts lies in one window, and starts in no other."""
+    docs, offsets, pieces, held = [], [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), size):
+            piece = text[at : at + size + length - 1]
+            if pieces and held + len(piece) > size:
+                yield Window(docs, offsets, pieces, ids, length)
+                docs, offsets, pieces, held = [], [], [], 0
+            docs.append(k)
+            offsets.append(at)
+            pieces.append(piece)
+            held += len(piece)
+    if pieces:
+        yield Window(docs, offsets, pieces, ids, length)
+
+
+def _records(runs: Window, parts: int) -> tuple:
     """For each distinct content: its first run (the smallest id's), part and record, in the order they are sent; for each run: its place there."""
     _, first, place = np.unique(runs.content, return_index=True, return_inverse=True)
     part = ((runs.anchor[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -165,7 +196,8 @@ _GROUP = pa.schema([("g", pa.int32()), ("ids", pa.binary()), ("keys", pa.list_(p
 def _texts(sizes: bytes, body: bytes) -> list[bytes]:
     lengths = np.frombuffer(sizes, np.int64)
     flat, ends = _swell(body, np.uint8).tobytes(), np.cumsum(lengths)
-    return [flat[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
+    view = memoryview(flat)
+    return [view[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
 
 
 def _grouped(docs: DataFrame, groups: int, buckets: int) -> str:
@@ -202,7 +234,7 @@ def _grouped(docs: DataFrame, groups: int, buckets: int) -> str:
     return name
 
 
-def _send_records(groups: DataFrame, parts: int, length: int) -> DataFrame:
+def _send_records(groups: DataFrame, parts: int, length: int, window: int) -> DataFrame:
     """p, g, records, sides, ids: what each group has to say to each part of the anchors."""
     schema = pa.schema([("p", pa.int32()), ("g", pa.int32()), ("records", pa.binary()), ("sides", pa.binary()), ("ids", pa.binary())])
 
@@ -210,10 +242,14 @@ def _send_records(groups: DataFrame, parts: int, length: int) -> DataFrame:
         for batch in batches:
             for g, ids, _, sizes, body in zip(*batch.columns, strict=True):
                 ids = np.frombuffer(ids.as_py(), np.int64)
-                runs = Runs(_texts(sizes.as_py(), body.as_py()), length)
-                first, part, record, _ = _records(runs, ids, parts)
-                if len(first):
-                    d, sides, rows = ids[runs.doc[first]], runs.sides[first], []
+                found = []
+                for runs in windows(_texts(sizes.as_py(), body.as_py()), ids, length, window):
+                    first, part, record, _ = _records(runs, parts)
+                    found.append((part, record, runs.sides[first], runs.ids[runs.doc[first]]))
+                part, record, sides, d = (np.concatenate([f[k] for f in found]) for k in range(4))
+                if len(part):
+                    order, rows = np.argsort(part, kind="stable"), []
+                    part, record, sides, d = part[order], record[order], sides[order], d[order]
                     bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         rows.append((int(part[a]), g.as_py(), record[a:b].tobytes(), sides[a:b].tobytes(), _squeeze(np.diff(d[a:b], prepend=0))))
@@ -285,7 +321,7 @@ def _judge(sent: DataFrame, hot: int) -> DataFrame:
 _PLACES = "g int, q int, ids binary, doc binary, at binary, size binary, body binary"
 
 
-def _apply(groups: DataFrame, answers: DataFrame, parts: int, length: int) -> DataFrame:
+def _apply(groups: DataFrame, answers: DataFrame, parts: int, length: int, window: int) -> DataFrame:
     """Two kinds of rows. q null: removed places of a group (doc, at, size). q: runs to compare in part q, with their bytes."""
     schema = pa.schema([("g", pa.int32()), ("q", pa.int32()), *((n, pa.binary()) for n in ("ids", "doc", "at", "size", "body"))])
     answered = answers.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "codes"))).alias("codes"))
@@ -294,48 +330,92 @@ def _apply(groups: DataFrame, answers: DataFrame, parts: int, length: int) -> Da
         for batch in batches:
             for g, ids, sizes, body, codes in zip(*batch.columns, strict=True):
                 ids = np.frombuffer(ids.as_py(), np.int64)
-                runs = Runs(_texts(sizes.as_py(), body.as_py()), length)
-                first, _, _, place = _records(runs, ids, parts)
-                if not len(first):
-                    continue
-                code = np.concatenate([_swell(c["codes"], np.uint8) for c in codes.as_py()])[place]
-                own = ids[runs.doc]
-                behind = own > own[first][place]  # a smaller id of this group has the same content
-                gone = behind | (code == KNOWN)
-                rows = [(g.as_py(), None, None, *_places(runs, runs.first[gone], runs.last[gone] + length), None)]
-                for kind in (COMPARED, DEALT):
-                    at = np.flatnonzero(~behind & (code == kind))
-                    if not len(at):
+                codes = {c["p"]: _swell(c["codes"], np.uint8) for c in codes.as_py()}
+                used = dict.fromkeys(codes, 0)
+                for runs in windows(_texts(sizes.as_py(), body.as_py()), ids, length, window):
+                    first, part, _, place = _records(runs, parts)
+                    if not len(first):
                         continue
-                    begin, end, q = runs.first[at], runs.last[at] + length, runs.anchor[at]
-                    if kind == DEALT:
-                        n = runs.last[at] - begin + 1
-                        begin = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        end = begin + length
-                        q = runs.hashes(begin, end)
-                    q = ((q >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(q, kind="stable")
-                    cuts = np.flatnonzero(np.diff(q[order])) + 1
-                    for some in np.split(order, cuts):
-                        b, e = begin[some], end[some]
-                        n = e - b
-                        inside = np.repeat(b, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        doc, offset, size = _places(runs, b, e)
-                        which = np.searchsorted(runs.begin, b, side="right") - 1
-                        rows.append((g.as_py(), int(q[some[0]]), ids[which].tobytes(), doc, offset, size, _squeeze(runs.data[inside])))
-                yield _row_batch(rows, schema)
+                    code = []
+                    for p, n in zip(*(x.tolist() for x in np.unique_counts(part)), strict=True):
+                        code.append(codes[p][used[p] : used[p] + n])
+                        used[p] += n
+                    yield _row_batch(list(_answered(g.as_py(), runs, first, place, np.concatenate(code)[place], parts)), schema)
 
     joined = groups.select("g", "ids", "sizes", "body").join(answered.hint("shuffle_hash"), "g")
     return joined.select("g", "ids", "sizes", "body", "codes").mapInArrow(apply, _PLACES)
 
 
-def _places(runs: Runs, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    doc = np.searchsorted(runs.begin, begin, side="right") - 1
-    return doc.astype(np.int32).tobytes(), (begin - runs.begin[doc]).astype(np.int64).tobytes(), (end - begin).astype(np.int32).tobytes()
-
-
-def shared_starts(segments: list[bytes] | np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def _answered(g: int, runs: Window, first: np.ndarray, place: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows of a window: the places that are removed, then the runs to compare for each part."""
+    length, own = runs.length, runs.ids[runs.doc]
+    behind = own > own[first][place]  # a smaller id of this window has the same content
+    gone = [np.flatnonzero(behind | (code == KNOWN))]
+    begins, ends = [runs.first[gone[0]]], [runs.last[gone[0]] + length]
+    sent = []
+    for kind in (COMPARED, DEALT):
+        at = np.flatnonzero(~behind & (code == kind))
+        begin, end, q = runs.first[at], runs.last[at] + length, runs.anchor[at]
+        if kind == DEALT and len(at):
+            n = runs.last[at] - begin + 1
+            begin = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            end = begin + length
+            q = runs.hashes(begin, end)
+            _, one, of = np.unique(q, return_index=True, return_inverse=True)  # the first copy has the smallest id
+            copy = (runs.data[begin[one][of][:, None] + np.arange(length)] == runs.data[begin[:, None] + np.arange(length)]).all(axis=1)
+            holder = runs.ids[np.searchsorted(runs.begin, begin, side="right") - 1]
+            later = copy & (holder > holder[one][of])
+            begins.append(begin[later])
+            ends.append(end[later])
+            begin, end, q = begin[~later], end[~later], q[~later]
+        sent.append((begin, end, ((q >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)))
+    yield g, None, None, *_places(runs, np.concatenate(begins), np.concatenate(ends)), None
+    for begin, end, q in sent:
+        order = np.argsort(q, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []:
+            b, e = begin[some], end[some]
+            n = e - b
+            inside = np.repeat(b, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            which = np.searchsorted(runs.begin, b, side="right") - 1
+            yield g, int(q[some[0]]), runs.ids[which].tobytes(), *_places(runs, b, e), _squeeze(runs.data[inside])
+
+
+def _places(runs: Window, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    piece = np.searchsorted(runs.begin, begin, side="right") - 1
+    return runs.docs[piece].astype(np.int32).tobytes(), (begin - runs.begin[piece] + runs.offsets[piece]).astype(np.int64).tobytes(), (end - begin).astype(np.int32).tobytes()
+
+
+def _shared_stretches(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, place in it and size of the stretches of passages whose hash segments of different ids have; no shared passage is left out."""
+    begin = np.cumsum(sizes) - sizes
+    powers, inverse = _power_tables(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * powers[: len(data)], dtype=np.uint64)])
+    n = np.maximum(sizes - length + 1, 0)
+    at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    segment = np.repeat(np.arange(len(sizes)), n)
+    if not len(at):
+        return at, at, at
+    key = (sums[at + length] - sums[at]) * inverse[at]
+    order = np.argsort(key)
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    starts, own = np.flatnonzero(new), ids[segment[order]]
+    shared = np.zeros(len(at), bool)
+    shared[order] = np.repeat(np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts), np.diff(np.append(starts, len(order))))
+    kept = np.flatnonzero(shared)
+    edge = np.append(True, (np.diff(at[kept]) > 1) | (np.diff(segment[kept]) > 0)) if len(kept) else np.zeros(0, bool)
+    first = kept[edge]
+    last = kept[np.append(edge[1:], True)] if len(kept) else first
+    return segment[first], at[first] - begin[segment[first]], at[last] - at[first] + length
+
+
+def shared_starts(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(segment, place in it) of every passage that also starts in a segment of a smaller id, by a suffix array over all of them."""
+    of, place, cut_sizes = _shared_stretches(segments, sizes, ids, length)
+    if not len(of):
+        return of, of
+    at = (np.cumsum(sizes) - sizes)[of] + place
+    segments = segments[np.repeat(at, cut_sizes) + np.arange(cut_sizes.sum()) - np.repeat(np.cumsum(cut_sizes) - cut_sizes, cut_sizes)]
+    sizes, ids = cut_sizes, ids[of]
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     data = np.full(begin[-1], SEPARATOR, np.uint8)
     data[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = segments
@@ -349,7 +429,7 @@ def shared_starts(segments: list[bytes] | np.ndarray, sizes: np.ndarray, ids: np
     starts = np.flatnonzero(~alike) if not alike[0] else np.concatenate([[0], np.flatnonzero(~alike)])
     least = np.minimum.reduceat(ids[segment], starts)
     later = ids[segment] > np.repeat(least, np.diff(np.append(starts, len(order))))
-    return segment[later], order[later] - begin[segment[later]]
+    return of[segment[later]], place[segment[later]] + order[later] - begin[segment[later]]
 
 
 def _compare(runs: DataFrame, length: int) -> DataFrame:
@@ -395,26 +475,30 @@ def _remove(groups: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             for keys, sizes, body, found in zip(*batch.columns, strict=True):
                 texts, found = _texts(sizes.as_py(), body.as_py()), found.as_py() or []
-                begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-                change = np.zeros(begin[-1] + 1, np.int32)
-                for x in found:
-                    at = begin[np.frombuffer(x["doc"], np.int32)] + np.frombuffer(x["at"], np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + np.frombuffer(x["size"], np.int32), -1)
-                gone = np.cumsum(change) > 0
+                doc = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x["doc"], np.int32) for x in found)])
+                start = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["at"], np.int64) for x in found)])
+                end = start + np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x["size"], np.int32) for x in found)])
+                order = np.lexsort((start, doc))
+                doc, start, end = doc[order], start[order], end[order]
+                cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
                 rows = []
-                for key, text, at in zip(keys.as_py(), texts, begin.tolist(), strict=False):
-                    own = gone[at : at + len(text)]
-                    spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
-                    left = np.frombuffer(text, np.uint8)[~own].tobytes() if spans else text
-                    rows.append((key, len(text), int(own.sum()), spans, hashlib.sha256(left).hexdigest()))
+                for key, text, a, b in zip(keys.as_py(), texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    reach = np.maximum.accumulate(end[a:b])
+                    edge = np.append(True, start[a + 1 : b] > reach[:-1]) if b > a else np.zeros(0, bool)
+                    first, last = start[a:b][edge].tolist(), reach[np.append(edge[1:], True)].tolist() if b > a else []
+                    left, at = hashlib.sha256(), 0
+                    for x, y in zip(first, last, strict=True):
+                        left.update(text[at:x])
+                        at = y
+                    left.update(text[at:])
+                    rows.append((key, len(text), sum(last) - sum(first), len(first), left.hexdigest()))
                 yield _row_batch(rows, schema)
 
     joined = groups.select("g", "keys", "sizes", "body").join(gathered.hint("shuffle_hash"), "g", "left")
     return joined.select("keys", "sizes", "body", "places").mapInArrow(remove, _RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int | None = None, part_bytes: int = PART_BYTES, hot: int = HOT_CONTENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int | None = None, part_bytes: int = PART_BYTES, hot: int = HOT_CONTENTS, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text)."""
     if length < ANCHOR:
         raise ValueError(f"passages have {ANCHOR} bytes at least")
@@ -433,8 +517,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int | Non
     name = _grouped(keyed.join(copies, ["d", "key"], "left_anti"), groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
         texts = spark.table(name)
-        answers = cut(_judge(_send_records(texts, parts, length), hot), "answers")
-        applied = cut(_apply(texts, answers, parts, length), "applied")
+        answers = cut(_judge(_send_records(texts, parts, length, window), hot), "answers")
+        applied = cut(_apply(texts, answers, parts, length, window), "applied")
         found = _compare(applied.where("q IS NOT NULL"), length)
         places = applied.where("q IS NULL").select("g", "doc", "at", "size").unionByName(found)
         digests = cut(_remove(texts, cut(places, "places")), "digests")

@@ -53,10 +53,37 @@ def test_repeats_equal_brute_force(spark, hot):
     rows = [(k, " ".join(draw.choice(parts) if draw.random() < 0.4 else word() for _ in range(draw.randint(0, 12)))) for k in range(120)]
     rows += [(200, rows[5][1]), (201, rows[5][1]), (201, rows[5][1]), (202, None), (203, ""), (7, "x" * 300), (8, "x" * 120), (8, "x" * 49), (None, rows[9][1]), (None, parts[0] * 3)]
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, key string").select("doc_id", "text")
-    got = op02_repeats.remove_repeats(df, group_bytes=3000, part_bytes=5000, hot=hot).collect()
+    got = op02_repeats.remove_repeats(df, group_bytes=3000, part_bytes=5000, hot=hot, window=700).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_hand(rows)
 
 
+@pytest.mark.parametrize("size", [64, 300, 1 << 20])
+def test_windows_hold_every_passage_once(size):
+    draw = random.Random(8)
+    texts = [bytes(draw.choice(b"ab ") for _ in range(draw.choice([0, 3, 49, 50, 51, 200, 900]))) for _ in range(40)]
+    found = []
+    for w in op02_repeats.windows([memoryview(t) for t in texts], np.arange(40), 50, size):
+        for a, b in zip(w.first.tolist(), w.last.tolist(), strict=True):
+            piece = int(np.searchsorted(w.begin, a, side="right")) - 1
+            found += [(int(w.docs[piece]), s - int(w.begin[piece]) + int(w.offsets[piece])) for s in range(a, b + 1)]
+            assert w.data[a : b + 50].tobytes() in texts[w.docs[piece]]
+    assert sorted(found) == [(k, s) for k, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
+def test_a_very_long_text_takes_windows():
+    """200 MB of text: the working memory of its windows stays far below what the whole would take."""
+    import tracemalloc
+
+    text = memoryview(np.random.default_rng(3).integers(97, 123, 200 << 20, dtype=np.uint8).tobytes())
+    tracemalloc.start()
+    for k, w in enumerate(op02_repeats.windows([text], np.array([1]), 50)):
+        assert len(w.first) > 10_000
+        if k == 3:
+            break
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+
+
 def test_repeats_of_nothing(spark):
     assert op02_repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
