@@ -93,15 +93,22 @@ def uniform_grid(tracks: DataFrame, hz: float = 10.0) -> DataFrame:
 
 
 def resample(tracks: DataFrame, grid: DataFrame, values: list[str]) -> DataFrame:
-    """Values of the tracks at the grid's times by straight lines between samples; the end segments go on beyond the ends."""
+    """Values of the tracks at the grid's times by straight lines between samples; the end segments go on beyond the ends. One sort of both by time."""
     w = clip_window("ts")
-    segments = tracks.withColumns({"_to": F.lead("ts").over(w), "_first": F.row_number().over(w) == 1, **{f"_{v}": F.lead(v).over(w) for v in values}}).where("_to > ts")
-    last = F.max("ts").over(Window.partitionBy("clip_id")) == F.col("ts")
-    segments = segments.withColumn("_last", last)
-    g, s = grid.alias("g"), segments.alias("s")
-    inside = ((F.col("g.t") >= F.col("s.ts")) | F.col("s._first")) & ((F.col("g.t") < F.col("s._to")) | F.col("s._last"))
-    share = (F.col("g.t") - F.col("s.ts")) / (F.col("s._to") - F.col("s.ts"))
-    return g.join(s, (F.col("g.clip_id") == F.col("s.clip_id")) & inside).select("g.clip_id", "g.i", "g.t", *[(F.col(f"s.{v}") + share * (F.col(f"s._{v}") - F.col(f"s.{v}"))).alias(v) for v in values])
+    ahead = tracks.withColumns({"_to": F.lead("ts").over(w), **{f"_{v}": F.lead(v).over(w) for v in values}}).where("_to > ts")
+    segments = ahead.select("clip_id", F.lit(None).cast("long").alias("i"), F.col("ts").alias("t"), F.struct("ts", "_to", *values, *[f"_{v}" for v in values]).alias("_s"))
+    both = segments.unionByName(grid.select("clip_id", "i", "t"), allowMissingColumns=True)
+    passed = Window.partitionBy("clip_id").orderBy("t", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(F.col("i").isNull(), F.col("_s"))).over(Window.partitionBy("clip_id"))
+    placed = both.withColumn("_s", F.coalesce(F.last("_s", ignorenulls=True).over(passed), first)).where("i IS NOT NULL AND _s IS NOT NULL")
+    share = (F.col("t") - F.col("_s.ts")) / (F.col("_s._to") - F.col("_s.ts"))
+    return placed.select("clip_id", "i", "t", *[(F.col(f"_s.{v}") + share * (F.col(f"_s._{v}") - F.col(f"_s.{v}"))).alias(v) for v in values])
+
+
+def ahead_of(value: str, low: float, high: float, order: str = "t", group: str = "clip_id") -> Column:
+    """An aggregate (SQL) over the rows of a group whose order lies between low and high after the row's own."""
+    end = "UNBOUNDED" if high == float("inf") else f"{high!r}D"
+    return F.expr(f"{value} OVER (PARTITION BY {group} ORDER BY {order} RANGE BETWEEN {low!r}D FOLLOWING AND {end} FOLLOWING)")
 
 
 def overlapping_windows(track: DataFrame, size: int, order: str = "i") -> DataFrame:

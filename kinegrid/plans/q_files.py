@@ -105,7 +105,7 @@ def k08(spark, d):
 
 @query("K10_batch_files", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch, o_orderkey FROM orders")
 def k10(spark, d):
-    return files.in_batches(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 500)
+    return files.in_batches(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 500, place(spark, "ranges"))
 
 
 @query("R01_remaining_items", "SELECT o_orderkey::VARCHAR AS qa_id FROM orders WHERE o_orderkey % 3 <> 0")

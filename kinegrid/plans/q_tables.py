@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinegrid.functions import series as fs
 from kinegrid.operators import selection as sel
 from kinegrid.operators import validation as val
 from kinegrid.operators.features import summary_features
@@ -82,19 +83,14 @@ def j09(spark, d):
 
 @query("J10_forward_range", sql(SERIES, select="SELECT a.clip_id, a.i, round(min(b.t) - a.t, 6) AS gap FROM series a JOIN series b ON a.clip_id = b.clip_id AND b.t BETWEEN a.t + 1e-6 AND a.t + 0.55 WHERE a.accel < -2.5 AND abs(b.yaw_rate) > 0.13 GROUP BY a.clip_id, a.i, a.t"))
 def j10(spark, d):
-    s = ad.series(spark, d)
-    a = s.where("accel < -2.5").select("clip_id", "i", "t")
-    b = s.where("abs(yaw_rate) > 0.13").select(F.col("clip_id").alias("c2"), F.col("t").alias("t2"))
-    found = a.join(b, (F.col("clip_id") == F.col("c2")) & F.col("t2").between(F.col("t") + 1e-6, F.col("t") + 0.55))
-    return found.groupBy("clip_id", "i", "t").agg(F.min("t2").alias("t2")).select("clip_id", "i", r6("gap", F.col("t2") - F.col("t")))
+    s = ad.series(spark, d).withColumn("turn_t", F.when(F.abs("yaw_rate") > 0.13, F.col("t"))).withColumn("t2", fs.ahead_of("min(turn_t)", 1e-6, 0.55))
+    return s.where("accel < -2.5 AND t2 IS NOT NULL").select("clip_id", "i", r6("gap", F.col("t2") - F.col("t")))
 
 
 @query("J11_interval", sql(TRACK, select="SELECT a.clip_id, a.k, count(*) AS frames FROM (SELECT * FROM track WHERE k % 10 = 0) a JOIN track b ON a.clip_id = b.clip_id AND b.ts BETWEEN a.ts AND a.ts + 86400 GROUP BY a.clip_id, a.k"))
 def j11(spark, d):
-    t = ad.track(spark, d)
-    a = t.where("k % 10 = 0").select("clip_id", "k", F.col("ts").alias("t0"))
-    b = t.select(F.col("clip_id").alias("c2"), "ts")
-    return a.join(b, (F.col("clip_id") == F.col("c2")) & F.col("ts").between(F.col("t0"), F.col("t0") + 86400)).groupBy("clip_id", "k").agg(F.count("*").alias("frames"))
+    t = ad.track(spark, d).withColumn("frames", fs.ahead_of("count(*)", 0.0, 86400.0, order="ts"))
+    return t.where("k % 10 = 0").select("clip_id", "k", "frames")
 
 
 @query("J12_exclude_scenes", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")

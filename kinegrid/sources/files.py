@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +58,72 @@ def log_parts(path: F.Column) -> F.Column:
     return F.struct(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("scene"), F.regexp_replace(name, "^logs_|_logs$", "").alias("behaviour"))
 
 
-ARRAYS = "path string, i long, t double, x double, y double, yaw double, speed double, accel double, yaw_rate double, jerk double"
+SIGNALS = ("yaw", "speed", "accel", "yaw_rate", "jerk")
+ARRAYS = "path string, i long, t double, x double, y double, yaw double, speed double, accel double, yaw_rate double, jerk double, problem string"
+
+
+def unpack_arrays(held: DataFrame) -> DataFrame:
+    """Clip arrays of NPZ files (path, content: their bytes, null if there is no file) in long form, a row for each sample. A file that is missing or lacks an array gives one row that names the problem."""
+    kinds = {"path": pa.string(), "i": pa.int64(), **dict.fromkeys(("t", "x", "y", *SIGNALS), pa.float64()), "problem": pa.string()}
+
+    def read(name: str, content: bytes | None) -> dict:
+        if content is None:
+            return {"path": [name], "problem": ["no file"]}
+        try:
+            with np.load(io.BytesIO(content)) as found:
+                position, n = found["position"], len(found["timestamps"])
+                return {"path": [name] * n, "i": np.arange(n), "t": found["timestamps"], "x": position[:, 0], "y": position[:, 1], **{k: found[k] for k in SIGNALS}}
+        except (KeyError, ValueError, IndexError, EOFError, OSError, zipfile.BadZipFile) as problem:
+            return {"path": [name], "problem": [type(problem).__name__]}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                made = read(name.as_py(), content.as_py())
+                n = len(made["path"])
+                columns = [pa.array(np.asarray(made[c], float), t) if c in made and t == pa.float64() else pa.array(made[c], t) if c in made else pa.nulls(n, t) for c, t in kinds.items()]
+                yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    return held.select("path", "content").mapInArrow(unpack, ARRAYS)
 
 
 def read_array_files(spark: SparkSession, path: str) -> DataFrame:
-    """Clip arrays of NPZ files in long form, a row for each sample. The files are opened in the tasks from the bytes that Spark reads."""
+    """The arrays of the NPZ files at path. The files are opened in the tasks from the bytes that Spark reads."""
+    return unpack_arrays(spark.read.format("binaryFile").load(path))
+
+
+def located_arrays(clips: DataFrame, listed: DataFrame, folders: dict[str, str], other: str) -> DataFrame:
+    """clip_id and path: the file that array_ref names in the source's folder (`other` for an unknown source), else <clip_id>.npz in the first folder that has it, else null. listed: the paths there are."""
+    by_source = F.lit(f"{other}/")
+    for source, folder in folders.items():
+        by_source = F.when(F.col("source") == source, F.lit(f"{folder}/")).otherwise(by_source)
+    named = F.when(F.col("array_ref") != "", F.concat(by_source, "array_ref"))
+    each = [F.concat(F.lit(f"{folder}/"), "clip_id", F.lit(".npz")) for folder in dict.fromkeys([*folders.values(), other])]
+    wanted = clips.select("clip_id", F.posexplode(F.array(named, *each)).alias("place", "path")).where("path IS NOT NULL")
+    found = wanted.join(listed.select("path").distinct(), "path").groupBy("clip_id").agg(F.min_by("path", "place").alias("path"))
+    return clips.select("clip_id").join(found, "clip_id", "left")
+
+
+def located_videos(clips: DataFrame, listed: DataFrame) -> DataFrame:
+    """clip_id and path: <scene>_<behaviour>_FPV.mp4 in the scene's folder, else the first name there that holds the behaviour and FPV, else null. listed: scene, name."""
+    both = clips.select("clip_id", "scene", "behaviour").join(listed.select("scene", "name"), "scene")
+    exact = F.col("name") == F.concat_ws("_", "scene", "behaviour", F.lit("FPV.mp4"))
+    near = F.col("name").contains(F.col("behaviour")) & F.col("name").contains("FPV") & F.col("name").endswith(".mp4")
+    best = both.where(exact | near).groupBy("clip_id").agg(F.min(F.struct((~exact).alias("other"), F.concat_ws("/", "scene", "name").alias("path"))).alias("m"))
+    return clips.select("clip_id").join(best.select("clip_id", F.col("m.path").alias("path")), "clip_id", "left")
+
+
+def keeping_unknown(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries of a document that is written again: all new ones, and the existing ones whose keys are not among them."""
+    return new.unionByName(existing.join(new.select(*keys).distinct(), keys, "left_anti"))
 
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                with np.load(io.BytesIO(content)) as held:
-                    position = held["position"]
-                    made = {"path": name, "i": np.arange(len(held["timestamps"])), "t": held["timestamps"], "x": position[:, 0], "y": position[:, 1]}
-                    yield pd.DataFrame(made | {k: held[k] for k in ("yaw", "speed", "accel", "yaw_rate", "jerk")})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, ARRAYS)
+def as_markdown(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """A Markdown table for each group: group, report; rows in the order of their columns."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
+    head = F.lit("| " + " | ".join(columns) + " |\n" + "|---" * len(columns) + "|\n")
+    lines = F.array_sort(F.collect_list(F.struct(*columns, row.alias("row"))))
+    return df.groupBy(group).agg(F.concat(head, F.array_join(F.transform(lines, lambda x: x["row"]), "\n")).alias("report"))
 
 
 def write_split(df: DataFrame, path: str) -> None:
@@ -89,11 +141,13 @@ def as_documents(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("document"))
 
 
-def in_batches(df: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """df with batch: every `rows` rows in order share one. Blocks are numbered apart and joined by their counts."""
+def in_batches(df: DataFrame, order: list[str], rows: int, path: str) -> DataFrame:
+    """df with batch: every `rows` rows in order share one. Blocks are numbered apart, kept as files at path (so that a lost executor changes no number) and joined by their counts."""
     from pyspark.sql.functions import spark_partition_id
 
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", spark_partition_id()).persist()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", spark_partition_id())
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     k = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -25,7 +25,8 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "qa_id"
 
     def store(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        named = (F.col(key).isNotNull()) & (F.col(key).cast("string") != "")
+        new = batch.where(named).dropDuplicates([key]).unionByName(batch.where(~named))  # an item without a key is never skipped
         if _exists(spark, path):
             new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
         new.write.mode("append").parquet(path)

@@ -1,4 +1,7 @@
-"""Answer parsing and scoring on small tables with known results."""
+"""Answer parsing on sentences of its own, scoring on random tables against plain Python."""
+
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -7,45 +10,59 @@ from kinegrid.operators import metrics as m
 
 
 def parsed(spark, texts, choices):
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     return [r.p for r in df.select("k", tx.parse_choice(F.col("t"), choices).alias("p")).orderBy("k").collect()]
 
 
 def test_parse_choice(spark):
-    assert parsed(spark, ["yes", "YES", "yes.", "I would say **no**", "", None, "cannot determine", "Because...\nAnswer: yes"], ["yes", "no"]) == ["yes", "yes", "yes", "no", None, None, None, "yes"]
-    assert parsed(spark, ["no peak", "first half", "there is no peak here", "second_half!"], ["first_half", "second_half", "no_peak"]) == ["no_peak", "first_half", "no_peak", "second_half"]
+    colours = ["dark_red", "red", "blue"]
+    texts = ["Blue", "  BLUE. ", "I think it is **red**", "dark red", "It looks dark red to me", "", None, "hard to say", "It moves and turns.\nAnswer: blue", "redder"]
+    assert parsed(spark, texts, colours) == ["blue", "blue", "red", "dark_red", "dark_red", None, None, None, "blue", None]
 
 
 def test_numbers(spark):
-    df = spark.createDataFrame([("about 42.50 km",), ("-3",), ("none",), ("1e9",)], "t string")
-    assert [r.n for r in df.select(tx.first_number(F.col("t")).alias("n")).collect()] == ["42.50", "-3", None, "1"]
-    values = spark.createDataFrame([(k, v) for k, v in enumerate(["42.0", "3.50", "1234567", "0.00001234", "0", "x", "100000", "0.1234567"])], "k int, v string")
-    got = [r.n for r in values.select("k", tx.short_number(F.col("v")).alias("n")).orderBy("k").collect()]
-    assert got == ["42", "3.5", "1.23457e+06", "1.234e-05", "0", "x", "100000", "0.123457"]
+    df = spark.createDataFrame([("it was -17.25 m",), ("no digits",), ("7 of 9",)], "t string")
+    assert [r.n for r in df.select(tx.first_number(F.col("t")).alias("n")).collect()] == ["-17.25", None, "7"]
+    draw = random.Random(8)
+    values = [f"{draw.uniform(-1, 1) * 10 ** draw.randint(-7, 9):.8f}" for _ in range(200)] + ["word", "12.0"]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", tx.short_number(F.col("v")).alias("n")).orderBy("k").collect()
+    assert [r.n for r in rows[:200]] == [f"{float(v):g}" for v in values[:200]] and [r.n for r in rows[200:]] == ["word", "12"]
 
 
 def test_grouped_answers(spark):
-    df = spark.createDataFrame([("A1: yes\nnoise\n2) no\n1. maybe\n7: x",)], "t string")
-    assert df.select(tx.grouped_answers(F.col("t"), 3).alias("a")).first().a == ["maybe", "no", ""]
-
-
-def scored(spark, pairs):
-    return spark.createDataFrame([("g", *p) for p in pairs], "g string, oracle string, pred string")
-
-
-def test_metrics(spark):
-    df = scored(spark, [("yes", "yes")] * 8 + [("no", "yes")] * 2)
-    r = m.group_metrics(df, ["g"]).first()
-    assert r.accuracy == 0.8 and abs(r.macro_f1 - 0.44444444) < 1e-6 and r.balanced_accuracy == 0.5
-    assert abs(m.macro_f1(m.label_counts(scored(spark, [("a", "a"), ("a", "a"), ("b", "a")]), ["g"]), ["g"]).first().macro_f1 - 0.4) < 1e-12
-    grid = {(r.oracle, r.pred): r.n for r in m.confusion(scored(spark, [("left", "left"), ("left", "straight"), ("right", "right"), ("straight", "straight")]), ["left", "right", "straight", "x"]).collect()}
-    assert grid["left", "straight"] == 1 and grid["right", "right"] == 1 and grid["x", "left"] == 0 and len(grid) == 16
+    df = spark.createDataFrame([("3) third\nA2: second\n9: none\n3. last third",)], "t string")
+    assert df.select(tx.grouped_answers(F.col("t"), 4).alias("a")).first().a == ["", "second", "last third", ""]
+
+
+def by_hand(pairs):
+    """accuracy, macro F1 over all labels seen, balanced accuracy over the labels that occur as oracle."""
+    names = {x for p in pairs for x in p}
+    hit, said, true = Counter(o for o, p in pairs if o == p), Counter(p for _, p in pairs), Counter(o for o, _ in pairs)
+    f1 = [2 * hit[x] / (said[x] + true[x]) for x in names]
+    return sum(hit.values()) / len(pairs), sum(f1) / len(f1), sum(hit[x] / true[x] for x in true) / len(true)
+
+
+def test_metrics_equal_plain_python(spark):
+    draw = random.Random(11)
+    groups = {f"g{k}": [(draw.choice("abcd"[: 1 + k % 4]), draw.choice("abcde"[: 1 + k % 5])) for _ in range(draw.randint(1, 30))] for k in range(20)}
+    df = spark.createDataFrame([(g, o, p) for g, pairs in groups.items() for o, p in pairs], "g string, oracle string, pred string")
+    got = {r.g: (r.accuracy, r.macro_f1, r.balanced_accuracy) for r in m.group_metrics(df, ["g"]).collect()}
+    for g, pairs in groups.items():
+        assert all(abs(x - y) < 1e-6 for x, y in zip(got[g], by_hand(pairs), strict=True)), g
+    everything = [p for pairs in groups.values() for p in pairs]
+    grid = {(r.oracle, r.pred): r.n for r in m.confusion(df, list("abcdef")).collect()}
+    assert grid == {(o, p): Counter(everything)[o, p] for o in "abcdef" for p in "abcdef"}
     both = {(r.scope, r.key): r.accuracy for r in m.multi_group_metrics(df, ["g"]).collect()}
-    assert both == {("global", ""): 0.8, ("g", "g"): 0.8}
-
-
-def test_consistency(spark):
-    answers = spark.createDataFrame([("c1", "a", "yes"), ("c1", "b", "no"), ("c2", "a", "yes"), ("c2", "b", "yes"), ("c3", "a", "no")], "clip_id string, question_id string, answer string")
-    rules = spark.createDataFrame([("r", "a", "eq", "yes", "b", "eq", "yes"), ("s", "a", "eq", "never", "b", "eq", "yes")], m.RULE)
-    r = m.consistency(answers, rules).first()
-    assert (r.rate, r.wemcr, r.mean_compliance, r.coverage, r.mean_violations) == (0.5, 0.25, 0.75, 0.6667, 0.5)
+    assert abs(both["global", ""] - by_hand(everything)[0]) < 1e-6 and len(both) == 21
+
+
+def test_consistency_by_hand(spark):
+    draw = random.Random(13)
+    given = {(f"c{k}", q): draw.choice(["low", "high"]) for k in range(30) for q in ("p", "q", "r") if draw.random() < 0.8}
+    answers = spark.createDataFrame([(c, q, a) for (c, q), a in given.items()], "clip_id string, question_id string, answer string")
+    rules = spark.createDataFrame([("one", "p", "eq", "low", "q", "eq", "high"), ("two", "q", "eq", "high", "r", "eq", "low")], m.RULE)
+    fired = [(c, x, y, v) for c in {c for c, _ in given} for x, u, y, v in (("p", "low", "q", "high"), ("q", "high", "r", "low")) if given.get((c, x)) == u and (c, y) in given]
+    touched, broken = {c for c, *_ in fired}, {c for c, _, y, v in fired if given[c, y] != v}
+    got = m.consistency(answers, rules).first()
+    assert abs(got.rate - (1 - len(broken) / len(touched))) < 1e-3
+    assert abs(got.mean_violations - sum(given[c, y] != v for c, _, y, v in fired) / len(touched)) < 1e-3
