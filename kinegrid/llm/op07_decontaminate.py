@@ -136,8 +136,16 @@ def spans(text: str, hits: bytes) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans of the original in code points."""
-    place = F.udf(lambda text, hits: None if hits is None else [{"start": a, "stop": b} for a, b in spans(text, bytes(hits))], "array<struct<start:int,stop:int>>")
-    return _report(mark(docs.select("doc_id", "text"), items), place("text", "_hits").alias("spans"))
+    report = _report(mark(docs.select("doc_id", "text"), items), "text", "_hits")
+    names = report.columns[:-2]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if hits is None else [{"start": a, "stop": b} for a, b in spans(text, hits)] for text, hits in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, kind)], [*names, "spans"])
+
+    return in_tasks(report, place, report.select(*names, F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans")).schema)
 
 
 def _report(marked: DataFrame, *more) -> DataFrame:

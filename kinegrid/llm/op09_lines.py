@@ -25,6 +25,8 @@ from kinegrid.llm.common import cut, table
 
 #: Pairs of one first holder that a task aligns, about.
 FAN = 2000
+#: First holders of many pairs sent to every executor; beyond it they are joined by a shuffle.
+SENT_FIRSTS = 100_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -92,7 +94,8 @@ def line_deletions(lined: DataFrame, fan: int = FAN) -> DataFrame:
     """k and gone (sorted lines to delete) of every document that loses some by alignment. lined: a written table of documents whose texts differ."""
     held = lined.select("k", "d", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct("d", "k")).alias("f")).where("holders > 1")
-    shared = shared.select("line", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k"))
+    # written first: the join below then has a shuffle of its own, which Spark splits where one line has a great many holders
+    shared = cut(shared.select("line", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k")), "shared")
     pairs = cut(held.join(shared, "line").where("d > first_d").select("k", "first_k").distinct(), "pairs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def line_deletions(lined: DataFrame, fan: int = FAN) -> DataFrame:
 
     lines = lined.select("k", "lines")
     # a first holder of a great many pairs is sent to several tasks
-    hot = F.broadcast(pairs.groupBy("first_k").count().where(F.col("count") > fan).select("first_k", F.ceil(F.col("count") / fan).alias("tasks")))
+    hot = cut(pairs.groupBy("first_k").count().where(F.col("count") > fan).select("first_k", F.ceil(F.col("count") / fan).alias("tasks")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= SENT_FIRSTS else hot
     dealt = pairs.join(hot, "first_k", "left").select("k", "first_k", F.coalesce(F.pmod(F.xxhash64("k", "first_k"), F.col("tasks")), F.lit(0)).alias("task"))
     firsts = lines.select(F.col("k").alias("first_k"), F.col("lines").alias("first")).join(hot, "first_k", "left")
     firsts = firsts.select("first_k", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)) - 1)).alias("task"))

@@ -228,6 +228,77 @@ def test_line_dedup_of_lines_that_many_hold(spark, fan):
     assert got == {k: (0, rows[0][1]) if k == 0 else (4, f"own {k}\nown {k} too") if k == 9 else (3, f"own {k}\nown {k} too" + ("\nof two" if k == 3 else "")) for k in range(150)}
 
 
+def lines_by_hand(rows):
+    """Every pair of documents is looked at; a pair counts if the earlier one is the first holder of a line of the later one."""
+    texts = [(i, [x.strip() and x for x in t.split("\n")]) for i, t in rows]
+    out = {}
+    for j, (i, later) in enumerate(texts):
+        gone = set()
+        for k, (e, first) in enumerate(texts[:j]):
+            if any(x and x in first and not any(x in o for _, o in texts[:k]) for x in later):
+                pairs = op09_lines.patience(first, later)
+                assert all(first[a] == later[b] for a, b in pairs) and pairs == sorted(pairs) and len({a for a, _ in pairs}) == len(pairs)
+                if len(set(first)) == len(first) and len(set(later)) == len(later):  # then the longest common subsequence is the longest rising run
+                    rising = [first.index(x) for x in later if x in first]
+                    best = [1] * len(rising)
+                    for n in range(len(rising)):
+                        best[n] += max([best[q] for q in range(n) if rising[q] < rising[n]], default=0)
+                    assert len(pairs) == max(best, default=0)
+                block = []
+                for a, b in [*pairs, (-9, -9)]:
+                    if not block or (a, b) != (block[-1][0] + 1, block[-1][1] + 1):
+                        gone |= {q for _, q in block} if any(later[q] for _, q in block) else set()
+                        block = []
+                    if a >= 0:
+                        block.append((a, b))
+        out[i] = (len(later), len(gone), "\n".join(x for k, x in enumerate(rows[j][1].split("\n")) if k not in gone))
+    return out
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    import random
+
+    draw = random.Random(12)
+    pool = [f"line {k}" for k in range(60)] + ["", " "]
+    rows = [(k, f"own {k}\n" + "\n".join(draw.choices(pool, k=draw.randint(1, 12))) + (f"\n{chr(10).join(pool[5:9])}" if k % 3 == 0 else "")) for k in range(80)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lines string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op09_lines.dedup_lines(df, fan=5).collect()}
+    assert got == lines_by_hand(rows)
+    assert op09_lines.dedup_lines(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_language_equals_out_of_place_distance(spark):
+    """The judge against the distance as it is written down: ranks of a document's n-grams against each profile's."""
+    import random
+    from collections import Counter
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        padded = " " + " ".join(words) + " " if words else ""
+        found = Counter(c for c in padded if c != " ")
+        for n in (2, 3):
+            found.update(padded[k : k + n] for k in range(len(padded) - n + 1))
+        code = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+        return [g for g, _ in sorted(((code(g), n) for g, n in found.items()), key=lambda x: (-x[1], x[0]))]
+
+    draw = random.Random(4)
+    speak = {la: lambda la=la: " ".join("".join(draw.choice(la) for _ in range(draw.randint(1, 7))) for _ in range(draw.randint(3, 60))) for la in ("abcdeé", "abxyzß", "nmopqы")}
+    texts = [(la, speak[la]()) for la in speak for _ in range(25)]
+    df = docs(spark, [(k, t, la, "s") for k, (la, t) in enumerate(texts)])
+    profiles = op08_language.learn(df, profile=80)
+    for la in speak:
+        total = Counter()
+        for own, t in texts:
+            if own == la:
+                total.update(dict(zip(*(x.tolist() for x in op08_language.ngrams(t)), strict=True)))
+        assert profiles[la] == [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:80]]
+    judge = op08_language.Judge(profiles, 80)
+    for _, t in texts:
+        own = grams(t)[:80]
+        cost = {la: sum(abs(p.index(g) - k) if g in p else 80 for k, g in enumerate(own)) / len(own) for la, p in profiles.items()}
+        assert judge(t)[0] == min(sorted(cost), key=cost.get)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
