@@ -29,8 +29,8 @@ from kinegrid.llm.common import in_tasks, large, scratch_path, table
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker process keeps, for all its tasks: those met last.
 KEPT_WORDS = 500_000
-#: Bytes of text encoded at a time.
-CHUNK = 2 << 20
+#: Bytes of text encoded at a time; the work arrays take about 50 times as much.
+CHUNK = 512 << 10
 OTHER, LETTER, SPACE, UNSURE = range(4)
 _BYTE = np.random.default_rng(10_050).integers(0, 1 << 63, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -172,7 +172,7 @@ class Encoder:
         sizes = np.diff(np.append(starts, len(data)))
         factors = np.full(int(sizes.max()), _FACTOR, np.uint64)
         factors[0] = 1
-        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
         key = np.add.reduceat(_BYTE[data] * np.multiply.accumulate(factors)[place], starts)
         order = np.argsort(key)
         new = np.append(True, key[order[1:]] != key[order[:-1]])
