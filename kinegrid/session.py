@@ -25,12 +25,23 @@ def local_session(cores: int | str = 8, app: str = "kinegrid", **conf: str) -> S
     return spark
 
 
+#: Bytes of rows sent to a Python worker at a time: a task holds several batches, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once for each application; Spark hands the file to every executor."""
+    """Make this package importable in the Python workers, once for each application; Spark hands the file to every executor.
+
+    Batches for the workers are bounded by BATCH_BYTES, unless the session sets a bound of its own: with long texts, Spark's 10,000
+    rows a batch would be as large as these texts.
+    """
     import tempfile
     import zipfile
     from pathlib import Path
 
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_kinegrid_shipped", False):
         return
