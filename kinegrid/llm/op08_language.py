@@ -5,7 +5,7 @@ frequent first. A document's own most frequent n-grams are held against each pro
 two ranks, or PROFILE if the language lacks it, and the language with the smallest sum wins (ties: the smaller name). The
 score is the winner's share when the mean costs are turned into weights that fall off exponentially.
 
-Profiles are learned from about SAMPLE labelled documents of each language, chosen by a hash of their ids; every document,
+Profiles are learned from about SAMPLE labelled documents of each language, chosen by a hash of id and text; every document,
 whole, is then judged in one pass without a shuffle.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null label teaches nothing; a null id hashes as the text
@@ -27,8 +27,8 @@ from kinegrid.llm.common import in_tasks, set_aside, table
 PROFILE, LONGEST = 400, 3
 #: Labelled documents of each language that its profile is learned from, about.
 SAMPLE = 3000
-#: Languages that profiles are kept for: those with the most labelled documents. Their profiles are sent to every worker.
-LANGUAGES = 1000
+#: Profiles are sent to every worker, 5 KB a language. With more labels than this the column holds no languages, and learning raises an error.
+LANGUAGES = 10_000
 SHARPNESS = 30.0
 UNDECIDED = "und"
 _letters: list[np.ndarray] = []
@@ -67,12 +67,14 @@ def _top(codes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, languages: int = LANGUAGES) -> dict[str, list[int]]:
     """Profiles by language from labelled rows (doc_id, text, lang)."""
     labelled = docs.where("lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = [(r["lang"], min(1.0, sample / r["n"])) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()]
     if not sizes:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(draw < F.try_element_at(rate, F.col("lang")))
+    if len(sizes) > languages:
+        raise ValueError(f"lang holds more than {languages} labels")
+    rates = docs.sparkSession.createDataFrame(sizes, "lang string, _rate double")
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.withColumn("_draw", draw).join(F.broadcast(rates), "lang").where("_draw < _rate")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, defaultdict] = defaultdict(lambda: defaultdict(int))
@@ -95,10 +97,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, languag
 class Judge:
     def __init__(self, profiles: dict[str, list[int]], profile: int = PROFILE):
         self.names, self.most = sorted(profiles), profile
-        self.codes = np.unique(np.array([c for own in profiles.values() for c in own], np.int64))
-        self.ranks = np.full((len(self.codes), len(self.names)), -1, np.int64)
-        for k, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.codes, profiles[name]), k] = np.arange(len(profiles[name]))
+        entries = [(code, k, rank) for k, name in enumerate(self.names) for rank, code in enumerate(profiles[name])]
+        codes, language, rank = np.array(sorted(entries), np.int64).reshape(-1, 3).T
+        self.language, self.rank = language.astype(np.int32), rank.astype(np.int32)
+        self.codes, self.at, self.n = np.unique(codes, return_index=True, return_counts=True)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         codes, counts = ngrams(text)
@@ -106,9 +108,11 @@ class Judge:
             return UNDECIDED, 0.0
         own = _top(codes, counts, self.most)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-        known = self.codes[at] == own
-        ranks = self.ranks[at]
-        cost = np.where(known[:, None] & (ranks >= 0), np.abs(ranks - np.arange(len(own))[:, None]), self.most).mean(axis=0) / self.most
+        known = np.flatnonzero(self.codes[at] == own)
+        at, n = self.at[at[known]], self.n[at[known]]
+        entry = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)  # the languages that hold each n-gram
+        spared = self.most - np.abs(self.rank[entry] - np.repeat(known, n))
+        cost = (self.most * len(own) - np.bincount(self.language[entry], spared, len(self.names))) / len(own) / self.most
         best = int(np.argmin(cost))
         return self.names[best], float(1 / np.exp(SHARPNESS * (cost[best] - cost)).sum())
 
