@@ -73,7 +73,21 @@ def t06(spark, d):
     return whole.select("clip_id", F.posexplode(fs.smooth(F.col("s.accel"))).alias("i", "accel")).select("clip_id", F.col("i").cast("long").alias("i"), r6("accel"))
 
 
-@query("T07_derive_chain")
+def _smooth_sql(name: str, of: str, column: str) -> str:
+    return f"""{name} AS (SELECT a.clip_id, a.i, sum(CASE WHEN o = 0 THEN 17.0::DOUBLE WHEN abs(o) = 1 THEN 12.0 ELSE -3.0 END * b.{column}) / 35 AS v
+FROM {of} a CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) q(o) JOIN {of} b ON a.clip_id = b.clip_id AND b.i = CASE WHEN abs(a.i + o) >= 64 THEN 126 - abs(a.i + o) ELSE abs(a.i + o) END GROUP BY a.clip_id, a.i)"""
+
+
+def _slope_sql(name: str, of: str) -> str:
+    return f"{name} AS (SELECT clip_id, i, ({_NEAR.format('v')}) / ({_NEAR.format('i * 0.1::DOUBLE')}) AS v FROM {of} WINDOW w AS (PARTITION BY clip_id ORDER BY i))"
+
+
+_CHAIN = [_smooth_sql("speeds", "series", "speed"), _slope_sql("d1", "speeds"), _smooth_sql("accels", "d1", "v"), _slope_sql("d2", "accels"), _smooth_sql("jerks", "d2", "v")]
+
+
+@query("T07_derive_chain", sql(SERIES, *_CHAIN, select="""
+SELECT s.clip_id, s.i, round(s.i * 0.1::DOUBLE, 6) AS t, round(s.v, 6) + 0 AS speed, round(a.v, 6) + 0 AS accel, round(j.v, 6) + 0 AS jerk
+FROM speeds s JOIN accels a ON s.clip_id = a.clip_id AND s.i = a.i JOIN jerks j ON s.clip_id = j.clip_id AND s.i = j.i"""))
 def t07(spark, d):
     """Speed, smoothed; its slope, smoothed; the slope's slope, smoothed."""
     whole = ad.series(spark, d).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", "t", "speed"))).alias("s"))

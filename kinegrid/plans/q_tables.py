@@ -9,6 +9,7 @@ from kinegrid.functions import series as fs
 from kinegrid.operators import selection as sel
 from kinegrid.operators import validation as val
 from kinegrid.operators.features import summary_features
+from kinegrid.operators.quantiles import quantiles
 from kinegrid.plans.prelude import ANSWERS, CLASSES, FEATURES, SERIES, TRACK, sql
 from kinegrid.registry import query
 from kinegrid.sources import adapters as ad
@@ -269,8 +270,10 @@ def w12(spark, d):
 
 @query("A11_distribution", sql(FEATURES, select="SELECT count(*) AS n, round(avg(max_speed), 6) AS mean, round(stddev_pop(max_speed), 6) AS std, round(min(max_speed), 6) AS min, round(quantile_cont(max_speed, 0.05), 6) AS p5, round(quantile_cont(max_speed, 0.5), 6) AS p50, round(quantile_cont(max_speed, 0.95), 6) AS p95, round(max(max_speed), 6) AS max FROM features"))
 def a11(spark, d):
-    v = F.col("max_speed")
-    return features(spark, d).agg(F.count("*").alias("n"), r6("mean", F.avg(v)), r6("std", F.stddev_pop(v)), r6("min", F.min(v)), *[r6(f"p{p}", F.percentile(v, p / 100)) for p in (5, 50, 95)], r6("max", F.max(v)))
+    f, v = features(spark, d), F.col("max_speed")
+    one = f.agg(F.count("*").alias("n"), r6("mean", F.avg(v)), r6("std", F.stddev_pop(v)), r6("min", F.min(v)), r6("max", F.max(v)))
+    places = quantiles(f, "max_speed", {f"p{p}": p / 100 for p in (5, 50, 95)})
+    return one.crossJoin(F.broadcast(places)).select("n", "mean", "std", "min", *map(r6, places.columns), "max")
 
 
 @query("A12_class_balance", sql(ANSWERS, select="SELECT question_id, answer, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY question_id), 6) AS fraction FROM answers GROUP BY question_id, answer"))
@@ -332,7 +335,8 @@ def a20(spark, d):
 @query("A21_items_per_clip", "SELECT round(avg(n), 6) AS mean, round(median(n), 6) AS median, min(n) AS min, max(n) AS max FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def a21(spark, d):
     n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return n.agg(r6("mean", F.avg("n")), r6("median", F.median("n")), F.min("n").alias("min"), F.max("n").alias("max"))
+    one = n.agg(r6("mean", F.avg("n")), F.min("n").alias("min"), F.max("n").alias("max"))
+    return one.crossJoin(F.broadcast(quantiles(n, "n", {"median": 0.5}))).select("mean", r6("median"), "min", "max")
 
 
 @query("A22_composition", "SELECT p_type AS behaviour, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS fraction FROM part GROUP BY p_type")
@@ -352,10 +356,7 @@ def a23(spark, d):
 @query("A24_latency_summary", "SELECT event_type, max(CASE WHEN k = n // 2 THEN value END) AS median, max(CASE WHEN k = floor(0.95 * n)::BIGINT THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def a24(spark, d):
     """The upper median and the 95th percentile as picked places, not interpolated."""
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1
-    placed = table(spark, d, "events").select("event_type", "value", k.alias("k"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
-    at = lambda place: F.max(F.when(F.col("k") == place, F.col("value")))
-    return placed.groupBy("event_type").agg(at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(0.95) * F.col("n"))).alias("p95"))
+    return quantiles(table(spark, d, "events"), "value", {"median": 0.5, "p95": 0.95}, by=("event_type",), between=False)
 
 
 @query("A29_sign_convention", sql(SERIES, select=", g AS (SELECT clip_id, avg(yaw_rate) AS m, arg_max(speed, i) - arg_min(speed, i) AS dd, max(abs(yaw_rate)) AS a FROM series GROUP BY clip_id), t AS (SELECT * FROM g ORDER BY a DESC, clip_id LIMIT 50) SELECT count(*) AS n, count(*) FILTER (WHERE sign(m) = sign(dd)) AS agree FROM t"))
@@ -367,15 +368,15 @@ def a29(spark, d):
 @query("A30_equal_frequency", sql(FEATURES, select=", q AS (SELECT quantile_cont(min_accel, 0.25) AS a, quantile_cont(min_accel, 0.5) AS b, quantile_cont(min_accel, 0.75) AS c FROM features) SELECT CASE WHEN min_accel < a THEN 0 WHEN min_accel < b THEN 1 WHEN min_accel < c THEN 2 ELSE 3 END AS class, count(*) AS n FROM features, q GROUP BY class"))
 def a30(spark, d):
     f = features(spark, d).select("min_accel")
-    cuts = f.agg(F.percentile("min_accel", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c"))
-    label = F.when(F.col("min_accel") < F.col("c")[0], 0).when(F.col("min_accel") < F.col("c")[1], 1).when(F.col("min_accel") < F.col("c")[2], 2).otherwise(3)
+    cuts = quantiles(f, "min_accel", {"a": 0.25, "b": 0.5, "c": 0.75})
+    label = F.when(F.col("min_accel") < F.col("a"), 0).when(F.col("min_accel") < F.col("b"), 1).when(F.col("min_accel") < F.col("c"), 2).otherwise(3)
     return f.crossJoin(F.broadcast(cuts)).groupBy(label.alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("A31_threshold_table", sql(FEATURES, select=", q AS (SELECT p, quantile_cont(max_speed, p) AS v FROM features, (VALUES (0.1::DOUBLE), (0.5), (0.9)) k(p) GROUP BY p) SELECT p, count(*) FILTER (WHERE max_speed < v) AS below, count(*) FILTER (WHERE max_speed >= v) AS above FROM features, q GROUP BY p").replace("quantile_cont(max_speed, p) AS v FROM features, (VALUES (0.1::DOUBLE), (0.5), (0.9)) k(p) GROUP BY p", "CASE p WHEN 0.1 THEN a WHEN 0.5 THEN b ELSE c END AS v FROM (SELECT quantile_cont(max_speed, 0.1) AS a, quantile_cont(max_speed, 0.5) AS b, quantile_cont(max_speed, 0.9) AS c FROM features), (VALUES (0.1::DOUBLE), (0.5), (0.9)) k(p)"))
 def a31(spark, d):
     f = features(spark, d).select("max_speed")
-    cuts = f.agg(*[F.percentile("max_speed", p).alias(f"v{k}") for k, p in enumerate((0.1, 0.5, 0.9))])
+    cuts = quantiles(f, "max_speed", {f"v{k}": p for k, p in enumerate((0.1, 0.5, 0.9))})
     cuts = cuts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"v{k}").alias("v")) for k, p in enumerate((0.1, 0.5, 0.9))])).alias("x")).select("x.p", "x.v")
     below = F.col("max_speed") < F.col("v")
     return f.crossJoin(F.broadcast(cuts)).groupBy("p").agg(F.count_if(below).alias("below"), F.count_if(~below).alias("above"))
@@ -402,7 +403,7 @@ def a39(spark, d):
 
 @query("A41_plot_range", sql(FEATURES, select="SELECT round(quantile_cont(max_speed, 0.01) - 0.1 * greatest(abs(quantile_cont(max_speed, 0.01)), abs(quantile_cont(max_speed, 0.99))), 6) AS low, round(quantile_cont(max_speed, 0.99) + 0.1 * greatest(abs(quantile_cont(max_speed, 0.01)), abs(quantile_cont(max_speed, 0.99))), 6) AS high FROM features"))
 def a41(spark, d):
-    g = features(spark, d).agg(F.percentile("max_speed", 0.01).alias("a"), F.percentile("max_speed", 0.99).alias("b"))
+    g = quantiles(features(spark, d), "max_speed", {"a": 0.01, "b": 0.99})
     margin = 0.1 * F.greatest(F.abs("a"), F.abs("b"))
     return g.select(r6("low", F.col("a") - margin), r6("high", F.col("b") + margin))
 
