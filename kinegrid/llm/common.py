@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _own: list[str] = []
 _large: dict = {}
+_settings: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +81,28 @@ def _give_back() -> None:
         trim(0)
 
 
-def in_tasks(df: DataFrame, work: Callable, schema) -> DataFrame:
-    """mapInArrow, after which the worker gives its free memory back."""
+#: glibc's mallopt: arrays from this many bytes on go back to the system as soon as they are freed, and all threads share one heap.
+_M_MMAP_THRESHOLD, _M_ARENA_MAX, _MAPPED_BYTES = -3, -8, 1 << 20
+
+
+def _stay_lean() -> None:
+    """Arrow and numpy in this worker process hold no memory that is free; done once for each process."""
+    if "lean" in _settings:
+        return
+    _settings.add("lean")
+    pa.set_memory_pool(pa.system_memory_pool())
+    if option := getattr(ctypes.CDLL(None), "mallopt", None):
+        option(_M_MMAP_THRESHOLD, _MAPPED_BYTES)
+        option(_M_ARENA_MAX, 1)
+
+
+def in_tasks(df: DataFrame, work: Callable, schema, keeps: bool = False) -> DataFrame:
+    """mapInArrow, after which the worker gives its free memory back. keeps: the work uses large(); other work drops what a worker kept."""
 
     def run(batches):
+        _stay_lean()
+        if not keeps:
+            _large.clear()
         yield from work(batches)
         _give_back()
 

@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, windows, key: str) -> DataFrame:
             new = {n_at: pa.array(n_words, pa.int64()), hits_at: pa.array(hits, pa.binary()), items_at: pa.array(met, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(k, c) for k, c in enumerate(batch.columns)], names=names)
 
-    return in_tasks(docs, scan, docs.schema)
+    return in_tasks(docs, scan, docs.schema, keeps=True)
 
 
 def n_hit() -> Column:

@@ -86,7 +86,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE, languag
         for lang, own in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
-    grams = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = in_tasks(chosen.select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
     profiles: dict[str, list[int]] = defaultdict(list)
     for r in ranked.orderBy("lang", "rank").collect():

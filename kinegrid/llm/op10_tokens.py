@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from kinegrid.llm.common import in_tasks, large, scratch_path, table
 
 BLOCK_IDS = 1 << 16
-#: Distinct words whose ids a worker process keeps, for all its tasks: those met last.
-KEPT_WORDS = 500_000
+#: Distinct words whose ids a task keeps: those met last.
+KEPT_WORDS = 250_000
 #: Bytes of text encoded at a time; the work arrays take about 50 times as much.
 CHUNK = 512 << 10
 OTHER, LETTER, SPACE, UNSURE = range(4)
@@ -188,6 +188,10 @@ class Encoder:
         counts = n[group]
         return flat[_stretches((np.cumsum(n) - n)[group], counts)], counts
 
+    def forget(self) -> None:
+        """Drop the words kept; the vocabulary stays."""
+        self.recent, self.older = {}, {}
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
         texts = texts.fill_null("").cast(pa.large_string())
@@ -264,8 +268,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, parts: i
                 some = ids.slice(at, len(n))
                 part = _parts(some.fill_null(-(1 << 63)).to_numpy(), np.array(crc, np.int64), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), some, pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(crc, pa.int64())], ["part", "doc_id", "n", "packed", "crc"])
+        own.forget()
 
-    return in_tasks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id long, n long, packed binary, crc long")
+    return in_tasks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id long, n long, packed binary, crc long", keeps=True)
 
 
 BLOCKS = "part int, block int, start_in_part long, n_ids long, bits int, doc_ids array<long>, doc_n array<long>, packed binary"
