@@ -26,7 +26,7 @@ def local_session(cores: int | str = 8, app: str = "kinegrid", **conf: str) -> S
 
 
 #: Bytes of rows sent to a Python worker at a time: a task holds several batches, in the JVM and in Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
