@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from kinegrid.llm import op01_mix, op02_repeats, op03_topk, op04_chat, op05_html, op06_minhash, op07_decontaminate, op08_language, op09_lines, op10_tokens, op11_audit, op12_search
+from kinegrid.llm import op01_mix, op02_repeats, op03_topk, op04_chat, op05_html, op06_minhash, op07_decontaminate, op08_language, op09_lines, op10_tokens, op11_audit, op12_search, op13_toxicity
 from kinegrid.session import ship
 
-_MODULES = (op01_mix, op02_repeats, op03_topk, op04_chat, op05_html, op06_minhash, op07_decontaminate, op08_language, op09_lines, op10_tokens, op11_audit, op12_search)
+_MODULES = (op01_mix, op02_repeats, op03_topk, op04_chat, op05_html, op06_minhash, op07_decontaminate, op08_language, op09_lines, op10_tokens, op11_audit, op12_search, op13_toxicity)
 
 
 def _shipped(query: Callable) -> Callable:

@@ -9,7 +9,7 @@ from kinegrid.llm import registry
 
 def test_all_operators_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{k}_" for k in range(1, 11)} <= {n[: n.index("_") + 1] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{k}_" for k in range(1, 14)} <= {n[: n.index("_") + 1] for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def test_queries_with_sql(spark, sf, duck):
