@@ -6,8 +6,8 @@ term weighs (1 + ln tf) * (1 + ln((N + 1) / (df + 1))), with N and df counted ov
 entry with their votes.
 
 Entries are sorted by their heaviest terms and dealt into blocks of BLOCK; each term's postings keep the largest weight of every
-block. A query adds those up to a bound for each block, visits blocks best bound first, and stops when no block left can hold an entry as near as
-its NEAREST-th vote. The score is the toxic share of these votes, each weighed by its squared cosine and by the share of its class that
+block. A query adds those up to a bound for each block, visits blocks best bound first, a few at a time, and stops when no block left can hold an entry as
+near as its NEAREST-th vote. The score is the toxic share of these votes, each weighed by its squared cosine and by the share of its class that
 was drawn, so it estimates the rate of toxic documents; the nearest examples are its evidence.
 
 Examples are at most about SAMPLE documents of each class, drawn by a hash of the id; every document, whole, is scored in one pass.
@@ -34,6 +34,8 @@ from kinegrid.llm.op12_search import count_terms
 SAMPLE, TERMS = 10_000, 20_000
 SIGNIFICANT, SEEN, BACKGROUND = 20.0, 3, 3.0
 NEAREST, THRESHOLD, BLOCK, EVIDENCE = 15, 0.3, 64, 3
+#: Blocks that are visited together at first; twice as many each time after.
+WAVE = 4
 #: Scores of vectors that a task has met last.
 KEPT = 50_000
 
@@ -125,7 +127,7 @@ class Index:
         self.head_block, self.head_most = (self.of[heads] // block, np.maximum.reduceat(self.weight, heads)) if len(heads) else (heads, heads)
         self.head_at, self.head_end = heads, np.append(heads[1:], len(terms))
         self.list_at = np.searchsorted(terms[heads], np.arange(n + 1))
-        self.n_blocks = -(-len(vectors) // block)
+        self.n_blocks, self.inside = -(-len(vectors) // block), np.arange(block)
 
     def vector(self, held) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, of length 1. The background term is the last."""
@@ -136,28 +138,34 @@ class Index:
     def nearest(self, held, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The entries of the k nearest votes, nearest first (ties: the entry that stands first), and their cosines."""
         terms, weight = self.vector(held)
-        lists = [np.arange(self.list_at[t], self.list_at[t + 1]) for t in terms]
+        lists = [slice(self.list_at[t], self.list_at[t + 1]) for t in terms]
         bound = np.zeros(self.n_blocks)
         for heads, w in zip(lists, weight, strict=True):
             bound[self.head_block[heads]] += w * self.head_most[heads]
-        found, cosines, kth = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] * (1 + 1e-9) < kth:
-                break
-            cosine = np.zeros(self.block)
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order] * (1 + 1e-9)
+        cosine, open_ = np.zeros(self.n_blocks * self.block), np.zeros(self.n_blocks, bool)
+        found, at, wave, kth = np.zeros(0, np.int64), 0, WAVE, -1.0
+        while at < self.n_blocks and bound[at] >= kth:
+            own = order[at : at + wave]
+            own = own[: int(np.searchsorted(-bound[at : at + wave], -kth, side="right"))]
+            open_[:], open_[own] = False, True
             for heads, w in zip(lists, weight, strict=True):
-                at = np.searchsorted(self.head_block[heads], b)
-                if at < len(heads) and self.head_block[heads[at]] == b:
-                    rows = slice(self.head_at[heads[at]], self.head_end[heads[at]])
-                    cosine[self.of[rows] - b * self.block] += w * self.weight[rows]
-            own = np.arange(b * self.block, min((b + 1) * self.block, len(self.ids)))
-            found, cosines = np.append(found, own), np.append(cosines, cosine[: len(own)])
-            order = np.lexsort((found, -cosines))
-            upto = int(np.searchsorted(np.cumsum(self.votes[found[order]].sum(1)), k)) + 1
-            found, cosines = found[order[:upto]], cosines[order[:upto]]
-            if upto <= len(order):
-                kth = float(cosines[-1]) if self.votes[found].sum() >= k else -1.0
-        return found, cosines
+                held_here = np.flatnonzero(open_[self.head_block[heads]]) + heads.start
+                size = self.head_end[held_here] - self.head_at[held_here]
+                rows = np.arange(size.sum()) + np.repeat(self.head_at[held_here] - (np.cumsum(size) - size), size)
+                cosine[self.of[rows]] += w * self.weight[rows]
+            at, wave = at + len(own), 2 * wave
+            new = (own[:, None] * self.block + self.inside).ravel()
+            found = np.concatenate([found, new[new < len(self.ids)]])
+            # Each entry has a vote at least, so the k nearest entries hold k votes.
+            if len(found) > k:
+                found = found[cosine[found] >= np.partition(cosine[found], -k)[-k]]
+            found = found[np.lexsort((found, -cosine[found]))]
+            upto = int(np.searchsorted(np.cumsum(self.votes[found].sum(1)), k)) + 1
+            kth = float(cosine[found[upto - 1]]) if upto <= len(found) else -1.0
+            found = found[:upto]
+        return found, cosine[found]
 
     def score(self, held, k: int = NEAREST) -> tuple[float, list]:
         """The toxic share of the nearest votes, and the ids of the nearest examples."""
