@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from kinegrid.operators import batching
 from kinegrid.registry import query
 from kinegrid.sources import files
 from kinegrid.sources.adapters import table
+from kinegrid.sources.shared import place
 from kinegrid.streaming import incremental
 
-_own: list[str] = []
-
-
-def place(spark, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local session without it gets a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _own:
-            _own.append(Path(tempfile.mkdtemp(prefix="kinegrid-files-")).as_uri())
-        shared = _own[0]
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("S01_clip_index", "SELECT user_id::VARCHAR AS clip_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def s01(spark, d):
     """A JSON-lines index in which the last record of a clip counts."""
@@ -108,6 +93,36 @@ def k10(spark, d):
     return files.in_batches(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 500, place(spark, "ranges"))
 
 
+_FILES = """
+WITH RECURSIVE req AS MATERIALIZED (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, CASE WHEN o_orderkey % 501 = 0 THEN 9000 ELSE 60 + (o_orderkey * 7919) % 400 END AS bytes FROM orders),
+sums AS MATERIALIZED (SELECT k, bytes, sum(bytes) OVER (ORDER BY k)::BIGINT AS upto FROM req),
+cut AS MATERIALIZED (SELECT s.k, greatest(s.k + 1, least(coalesce(x.k, s.k + 40), s.k + 40)) AS next, count(*) OVER () AS n FROM sums s ASOF LEFT JOIN sums x ON s.upto - s.bytes + 8000 < x.upto),
+files AS (SELECT k::BIGINT AS k, CASE WHEN bytes > 8000 THEN 1 ELSE 0 END::BIGINT AS batch FROM req WHERE k = 0 UNION ALL SELECT c.next::BIGINT, f.batch + 1 FROM files f JOIN cut c ON c.k = f.k WHERE c.next < c.n)
+"""
+
+
+@query("K10_batches_by_size", _FILES + """
+SELECT r.id, f.batch FROM req r ASOF JOIN files f ON r.k >= f.k""")
+def k10_by_size(spark, d):
+    """Request files of at most 8,000 bytes and 40 requests, filled in order."""
+    key = F.col("o_orderkey")
+    size = F.when(key % 501 == 0, 9000).otherwise(60 + (key * 7919) % 400)
+    requests = table(spark, d, "orders").select(key.alias("id"), size.alias("bytes"))
+    return batching.next_fit(requests, ["id"], F.col("bytes"), 8000, 40).select("id", "batch")
+
+
+@query("K10_batch_sizes", _FILES + """
+SELECT f.batch, count(*) AS requests, sum(r.bytes)::BIGINT AS bytes FROM req r ASOF JOIN files f ON r.k >= f.k GROUP BY f.batch""")
+def k10_sizes(spark, d):
+    """The files themselves: written by batch, read again, and counted."""
+    path, key = place(spark, "requests"), F.col("o_orderkey")
+    size = F.when(key % 501 == 0, 9000).otherwise(60 + (key * 7919) % 400)
+    lines = table(spark, d, "orders").select(key.alias("id"), F.rpad(key.cast("string"), size.cast("int"), ".").alias("line"))
+    batching.next_fit(lines, ["id"], F.octet_length("line"), 8000, 40).repartition("batch").write.partitionBy("batch").option("maxRecordsPerFile", 40).json(path)
+    back = spark.read.schema("id long, line string, batch long").json(path)
+    return back.groupBy("batch").agg(F.count("*").alias("requests"), F.sum(F.octet_length("line")).cast("long").alias("bytes"))
+
+
 @query("R01_remaining_items", "SELECT o_orderkey::VARCHAR AS qa_id FROM orders WHERE o_orderkey % 3 <> 0")
 def r01(spark, d):
     items = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("qa_id"))

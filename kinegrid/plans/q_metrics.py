@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinegrid.operators import metrics as m
+from kinegrid.operators.agreement import kendall_tau
 from kinegrid.plans.prelude import ANSWERS, CLASSES, FEATURES, sql
 from kinegrid.registry import query
 from kinegrid.sources import adapters as ad
@@ -127,14 +128,22 @@ def a25(spark, d):
 
 @query("A26_kendall_tau", sql(CLASSES, select="""
 , s AS (SELECT model, avg((oracle = pred)::INT) AS a, count(*) AS b FROM classes GROUP BY model), p AS (SELECT sign(x.a - y.a) * sign(x.b - y.b) AS s FROM s x JOIN s y ON x.model < y.model)
-SELECT round((count(*) FILTER (WHERE s > 0) - count(*) FILTER (WHERE s < 0))::DOUBLE / nullif(count(*) FILTER (WHERE s <> 0), 0), 6) AS tau FROM p"""))
+SELECT round(CASE WHEN count(*) FILTER (WHERE s <> 0) = 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER (WHERE s > 0) - count(*) FILTER (WHERE s < 0))::DOUBLE / count(*) FILTER (WHERE s <> 0) END, 6) AS tau FROM p"""))
 def a26(spark, d):
-    """Two rankings of the models; there are few models, and each pair of them is compared once."""
+    """Two rankings of the models, by accuracy and by number of answers."""
     s = m.accuracy(ad.classes(spark, d), ["model"])
-    x, y = s.select(F.col("model").alias("mx"), F.col("accuracy").alias("ax"), F.col("n").alias("bx")), s.select(F.col("model").alias("my"), F.col("accuracy").alias("ay"), F.col("n").alias("by"))
-    sign = F.signum(F.col("ax") - F.col("ay")) * F.signum((F.col("bx") - F.col("by")).cast("double"))
-    pairs = x.join(F.broadcast(y), F.col("mx") < F.col("my")).select(sign.alias("s"))
-    return pairs.agg(r6("tau", (F.count_if(F.expr("s > 0")) - F.count_if(F.expr("s < 0"))) / F.nullif(F.count_if(F.expr("s <> 0")), F.lit(0))))
+    return kendall_tau(s.select("model", F.col("accuracy").alias("rank")), s.select("model", F.col("n").alias("rank")), "model").select(r6("tau"))
+
+
+@query("A26_part_rankings", """
+WITH s AS (SELECT p_partkey, p_retailprice::DOUBLE AS a, p_size AS b FROM part), p AS (SELECT sign(x.a - y.a) * sign(x.b - y.b) AS s FROM s x JOIN s y ON x.p_partkey < y.p_partkey)
+SELECT round((count(*) FILTER (WHERE s > 0) - count(*) FILTER (WHERE s < 0))::DOUBLE / count(*) FILTER (WHERE s <> 0), 6) AS tau, count(*) FILTER (WHERE s > 0) AS concordant, count(*) FILTER (WHERE s < 0) AS discordant FROM p""")
+def a26_parts(spark, d):
+    """All parts ranked by price and by size: many ties, pairs counted as inversions."""
+    part = ad.table(spark, d, "part")
+    one, two = part.select("p_partkey", F.col("p_retailprice").cast("double").alias("rank")), part.select("p_partkey", F.col("p_size").alias("rank"))
+    out = kendall_tau(one, two, "p_partkey")
+    return out.select(r6("tau"), F.col("concordant").cast("long").alias("concordant"), F.col("discordant").cast("long").alias("discordant"))
 
 
 @query("A27_relative_change", sql(FEATURES, select="""

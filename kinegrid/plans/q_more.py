@@ -6,17 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinegrid.functions import series as fs
+from kinegrid.operators import chains, rules
 from kinegrid.operators import metrics as m
-from kinegrid.operators import rules
 from kinegrid.operators.features import summary_features
 from kinegrid.operators.inference import infer
 from kinegrid.operators.validation import config_errors
 from kinegrid.plans.prelude import ANSWERS, CLASSES, FEATURES, SERIES, TRACK, sql
-from kinegrid.plans.q_files import place
 from kinegrid.registry import query
 from kinegrid.sources import adapters as ad
 from kinegrid.sources import files
 from kinegrid.sources.adapters import table
+from kinegrid.sources.shared import place
 
 
 def r6(name: str, column=None):
@@ -61,10 +61,40 @@ def d16(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("n_requests"), F.round(F.sum(v), 4).alias("total_s"), r6("mean_s", F.avg(v)), F.min(v).alias("min_s"), F.max(v).alias("max_s"), r6("throughput", F.count("*") / F.sum(v)))
 
 
-@query("S08_linked_samples", "SELECT user_id AS scene, event_id AS sample, row_number() OVER (PARTITION BY user_id ORDER BY events.ts, event_id) - 1 AS place FROM events")
+_LINKS = """links AS (SELECT user_id AS scene, event_id AS sample, CASE WHEN event_id % 97 = 0 THEN -event_id ELSE coalesce(lead(event_id) OVER w, CASE WHEN user_id % 10 = 0 THEN first_value(event_id) OVER w END) END AS next
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY md5(event_id::VARCHAR), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def linked(spark, d):
+    """Samples that name the next one of their scene, in an order of their own; some links are broken, some scenes are rings."""
+    w = Window.partitionBy("user_id").orderBy(F.md5(F.col("event_id").cast("string").cast("binary")), "event_id")
+    ring = F.when(F.col("user_id") % 10 == 0, F.first("event_id").over(w))
+    following = F.when(F.col("event_id") % 97 == 0, -F.col("event_id")).otherwise(F.coalesce(F.lead("event_id").over(w), ring))
+    return table(spark, d, "events").select(F.col("user_id").alias("scene"), F.col("event_id").alias("sample"), following.alias("next"))
+
+
+@query("S08_linked_samples", "WITH RECURSIVE " + _LINKS + """,
+before AS (SELECT next AS sample, min(sample) AS before FROM links WHERE next IS NOT NULL GROUP BY next),
+walk AS (SELECT sample, sample AS head, 0::BIGINT AS place FROM links WHERE sample NOT IN (SELECT sample FROM before)
+  UNION ALL SELECT b.sample, w.head, w.place + 1 FROM walk w JOIN before b ON b.before = w.sample WHERE b.sample IN (SELECT sample FROM links))
+SELECT l.sample, w.head, w.place, CASE WHEN l.next IS NULL THEN 'last' WHEN l.next NOT IN (SELECT sample FROM links) THEN 'missing' WHEN b.before <> l.sample THEN 'taken' ELSE 'next' END AS link
+FROM links l LEFT JOIN walk w ON l.sample = w.sample LEFT JOIN before b ON b.sample = l.next""")
 def s08(spark, d):
-    """A scene's samples in order; the links of the source are their order in time."""
-    return table(spark, d, "events").select(F.col("user_id").alias("scene"), F.col("event_id").alias("sample"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("place"))
+    """Places of the samples along their links, from each chain's first; samples on a ring have none."""
+    return chains.chain_places(linked(spark, d))
+
+
+@query("S08_scene_chains", "WITH RECURSIVE " + _LINKS + """,
+before AS (SELECT next AS sample, min(sample) AS before FROM links WHERE next IS NOT NULL GROUP BY next),
+walk AS (SELECT sample, sample AS head, 0::BIGINT AS place FROM links WHERE sample NOT IN (SELECT sample FROM before)
+  UNION ALL SELECT b.sample, w.head, w.place + 1 FROM walk w JOIN before b ON b.before = w.sample WHERE b.sample IN (SELECT sample FROM links))
+SELECT l.scene, count(DISTINCT w.head) AS chains, coalesce(max(w.place) + 1, 0) AS longest, count(*) FILTER (WHERE w.sample IS NULL) AS on_rings FROM links l LEFT JOIN walk w ON l.sample = w.sample GROUP BY l.scene""")
+def s08_chains(spark, d):
+    """What a walk over each scene would meet: its chains, the longest of them, and samples that no walk from a first sample reaches."""
+    links = linked(spark, d)
+    placed = links.join(chains.chain_places(links), "sample")
+    longest = F.coalesce(F.max("place") + 1, F.lit(0))
+    return placed.groupBy("scene").agg(F.count_distinct("head").alias("chains"), longest.alias("longest"), F.count_if(F.col("head").isNull()).alias("on_rings"))
 
 
 @query("S10_question_config", "SELECT * FROM (VALUES ('braking', 'longitudinal', 'emergency,moderate,low,none', FALSE), ('stops', 'temporal', 'yes,no', TRUE)) q(question_id, category, choices, temporal)")

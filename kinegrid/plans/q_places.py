@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kinegrid.plans.prelude import CLASSES, SERIES, sql
-from kinegrid.plans.q_files import place
+from kinegrid.sources.shared import place
 from kinegrid.registry import query
 from kinegrid.sources import adapters as ad
 from kinegrid.sources import files
