@@ -105,10 +105,36 @@ def resample(tracks: DataFrame, grid: DataFrame, values: list[str]) -> DataFrame
     return placed.select("clip_id", "i", "t", *[(F.col(f"_s.{v}") + share * (F.col(f"_s._{v}") - F.col(f"_s.{v}"))).alias(v) for v in values])
 
 
-def ahead_of(value: str, low: float, high: float, order: str = "t", group: str = "clip_id") -> Column:
-    """An aggregate (SQL) over the rows of a group whose order lies between low and high after the row's own."""
-    end = "UNBOUNDED" if high == float("inf") else f"{high!r}D"
-    return F.expr(f"{value} OVER (PARTITION BY {group} ORDER BY {order} RANGE BETWEEN {low!r}D FOLLOWING AND {end} FOLLOWING)")
+def with_next(df: DataFrame, event: Column, name: str, low: float, high: float, order: str = "t", group: str = "clip_id") -> DataFrame:
+    """df with the earliest time at which the event holds between low and high after the row's own time, both included; null if there is none.
+
+    Rows and events of a group are put in one order from the last to the first, the rows moved on by low, and the event met last is carried
+    along: one sort and one pass, however wide the gap.
+    """
+    at = F.col(order)
+    own = F.array(F.struct((at + low).alias("_at"), F.lit(None).cast("double").alias("_event")))
+    events = F.when(event, F.array(F.struct(at.cast("double").alias("_at"), at.cast("double").alias("_event")))).otherwise(F.array().cast("array<struct<_at:double,_event:double>>"))
+    both = df.withColumn("_m", F.explode(F.concat(own, events))).select(*df.columns, "_m._at", "_m._event")
+    # at the same time an event comes before the rows that look for it
+    passed = Window.partitionBy(group).orderBy(F.desc("_at"), F.col("_event").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(name, F.last("_event", ignorenulls=True).over(passed)).where("_event IS NULL")
+    return found.withColumn(name, F.when(F.col(name) <= at + high, F.col(name))).select(*df.columns, name)
+
+
+def count_inside(spans: DataFrame, points: DataFrame, key: str, begin: str, end: str, time: str, group: str = "clip_id") -> DataFrame:
+    """group, key and points: how many points of the group lie between begin and end of each span, both included, and the places of the first and last (from 0; null if none).
+
+    Ends of spans and points are put in one order with a running count; a span's points are those counted at its end and not at its begin. The
+    cost does not depend on how long the spans are. A span has at most one row for each key.
+    """
+    ends = F.explode(F.array(F.struct(F.col(begin).cast("double").alias("_at"), F.lit(0).alias("_kind")), F.struct(F.col(end).cast("double").alias("_at"), F.lit(2).alias("_kind"))))
+    marks = spans.select(group, key, ends.alias("_m")).select(group, key, "_m._at", "_m._kind")
+    both = marks.unionByName(points.select(group, F.col(time).cast("double").alias("_at"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    passed = Window.partitionBy(group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("_n", F.count(F.when(F.col("_kind") == 1, 1)).over(passed)).where("_kind <> 1")
+    low, high = (F.max(F.when(F.col("_kind") == k, F.col("_n"))) for k in (0, 2))
+    n = F.greatest(high - low, F.lit(0))
+    return counted.groupBy(group, key).agg(n.alias("points"), F.when(high > low, low).alias("first"), F.when(high > low, high - 1).alias("last"))
 
 
 def overlapping_windows(track: DataFrame, size: int, order: str = "i") -> DataFrame:

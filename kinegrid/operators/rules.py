@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinegrid.functions.series import ahead_of, clip_window, stop_go_cycles
+from kinegrid.functions.series import clip_window, stop_go_cycles, with_next
 from kinegrid.operators.features import aggregate, known
 
 RULES: dict[str, Callable] = {}
@@ -111,8 +111,8 @@ def lateral_threshold(series: DataFrame, threshold: float = 2.0, how: str = "max
 def sequential_event(series: DataFrame, first: dict, second: dict, gap: tuple[float, float] = (0.0, 2.0)) -> DataFrame:
     """Whether a second event begins within the gap after a first one, ends included, not at the same time. Evidence: the earliest first time and the gap to its earliest second."""
     begins, follows = (compare(F.col(c["signal"]), c["operator"], c["threshold"]) for c in (first, second))
-    timed = series.withColumn("_second", F.when(follows, F.col("t"))).withColumn("t2", ahead_of("min(_second)", float(max(gap[0], 1e-6)), float(gap[1])))
-    found = timed.groupBy("clip_id").agg(F.min(F.when(begins & F.col("t2").isNotNull(), F.struct(F.col("t").alias("t1"), "t2"))).alias("m"))
+    timed = series.select("clip_id", "t", begins.alias("_begins"), follows.alias("_follows"))
+    found = with_next(timed, F.col("_follows"), "t2", float(max(gap[0], 1e-6)), float(gap[1])).groupBy("clip_id").agg(F.min(F.when(F.col("_begins") & F.col("t2").isNotNull(), F.struct(F.col("t").alias("t1"), "t2"))).alias("m"))
     return found.select("clip_id", F.col("m.t1").alias("first_t"), (F.col("m.t2") - F.col("m.t1")).alias("gap"), yes_no(F.col("m").isNotNull()).alias("answer"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinegrid.operators import bootstrap as bs
 from kinegrid.operators import metrics as m
 from kinegrid.operators.agreement import kendall_tau
 from kinegrid.plans.prelude import ANSWERS, CLASSES, FEATURES, sql
@@ -159,20 +160,43 @@ def a27(spark, d):
     return n.where("factor <> 1.0").crossJoin(F.broadcast(base)).agg(r6("max_change", F.max(change)), r6("mean_change", F.avg(change)))
 
 
-@query("A28_bootstrap", sql(CLASSES, select="""
-, clip AS (SELECT clip_id, sum((oracle = pred)::INT) AS hit, count(*) AS n FROM classes GROUP BY clip_id), drawn AS (SELECT b, c.*, ('0x' || substr(md5(b || ':' || clip_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM clip c CROSS JOIN generate_series(1, 20) g(b)),
-w AS (SELECT *, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS k FROM drawn),
-s AS (SELECT b, sum(hit * k)::DOUBLE / sum(n * k) AS acc FROM w GROUP BY b) SELECT round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.5), 6) AS mid, round(quantile_cont(acc, 0.975), 6) AS high FROM s"""))
+_SCORED = """scored AS (SELECT q.model, clip_id, question_id, answer AS oracle, CASE WHEN (clip_id * 7 + length(question_id) * 3 + q.shift) % 5 = 0 THEN CASE question_id WHEN 'status' THEN 'O' WHEN 'priority' THEN '1-URGENT' ELSE 'high' END ELSE answer END AS pred
+  FROM answers CROSS JOIN (VALUES ('a', 0), ('b', 2)) q(model, shift))"""
+_REPLICATES = sql(ANSWERS, _RULES, _SCORED, select="""
+, checks AS (SELECT a.model, a.clip_id, r.name, NOT (CASE WHEN r.then_op = 'eq' THEN b.pred = r.then_val ELSE b.pred <> r.then_val END) AS violated
+  FROM rules r JOIN scored a ON a.question_id = r.if_qid AND (CASE WHEN r.if_op = 'eq' THEN a.pred = r.if_val ELSE a.pred <> r.if_val END) JOIN scored b ON b.model = a.model AND b.clip_id = a.clip_id AND b.question_id = r.then_qid),
+drawn AS (SELECT clip_id, b, ('0x' || substr(md5((b // 4) || ':' || clip_id), 1 + 8 * (b % 4)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT clip_id FROM scored) CROSS JOIN generate_series(0, 19) g(b)),
+w AS (SELECT clip_id, b, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS k FROM drawn),
+recall AS (SELECT model, b, oracle, sum(k * (oracle = pred)::INT)::DOUBLE / nullif(sum(k), 0) AS r FROM scored JOIN w USING (clip_id) GROUP BY model, b, oracle),
+bacc AS (SELECT model, b, coalesce(avg(r), 0) AS balanced_accuracy FROM recall GROUP BY model, b),
+clip AS (SELECT model, clip_id, bool_or(violated) AS bad FROM checks GROUP BY model, clip_id),
+rate AS (SELECT model, b, round(coalesce(sum(CASE WHEN bad THEN 0 ELSE k END)::DOUBLE / nullif(sum(k), 0), 0), 4) AS rate FROM clip JOIN w USING (clip_id) GROUP BY model, b),
+used AS (SELECT model, b, name, sum(k) AS k FROM checks JOIN w USING (clip_id) GROUP BY model, b, name),
+cover AS (SELECT model, b, count(*) FILTER (WHERE k > 0)::DOUBLE / (SELECT count(*) FROM rules) AS c FROM used GROUP BY model, b),
+replicates AS (SELECT model, b AS replicate, balanced_accuracy, round(rate * c, 4) AS wpcr FROM bacc JOIN rate USING (model, b) JOIN cover USING (model, b))
+""")
+
+
+def scored(spark, d):
+    """Answers of two models to the questions on each customer's first order; a fifth of them are changed."""
+    models = spark.createDataFrame([("a", 0), ("b", 2)], "model string, shift int")
+    other = F.when(F.col("question_id") == "status", "O").when(F.col("question_id") == "priority", "1-URGENT").otherwise("high")
+    changed = (F.col("clip_id") * 7 + F.length("question_id") * 3 + F.col("shift")) % 5 == 0
+    both = ad.answers(spark, d).crossJoin(F.broadcast(models))
+    return both.select("model", "clip_id", "question_id", F.col("answer").alias("oracle"), F.when(changed, other).otherwise(F.col("answer")).alias("pred"))
+
+
+@query("A28_bootstrap", _REPLICATES + ", long AS (SELECT model, 'balanced_accuracy' AS metric, balanced_accuracy AS v FROM replicates UNION ALL SELECT model, 'wpcr', wpcr FROM replicates) SELECT model, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM long GROUP BY model, metric")
 def a28(spark, d):
-    """Clips are resampled by Poisson weights drawn from a hash of replicate and clip, so no rows are copied about."""
-    clip = ad.classes(spark, d).groupBy("clip_id").agg(F.sum((F.col("oracle") == F.col("pred")).cast("long")).alias("hit"), F.count("*").alias("n"))
-    drawn = clip.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("clip_id").cast("string"))), 1, 8), 16, 10).cast("long") / 4294967296.0
-    k = F.lit(5)
-    for weight, bound in reversed(list(enumerate((0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015)))):
-        k = F.when(F.col("u") < bound, weight).otherwise(k)
-    s = drawn.withColumn("u", u).withColumn("k", k).groupBy("b").agg((F.sum(F.col("hit") * F.col("k")) / F.sum(F.col("n") * F.col("k"))).alias("acc"))
-    return s.agg(*[r6(n, F.percentile("acc", p)) for n, p in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    """Clips are resampled by draws from a hash of replicate and clip; no row is copied for a replicate."""
+    return bs.bootstrap(scored(spark, d), RULES, 20).select("model", "metric", *map(r6, ("mean", "low", "high")))
+
+
+@query("A36_replicates", _REPLICATES + "SELECT model, replicate, round(balanced_accuracy, 6) AS balanced_accuracy, wpcr FROM replicates")
+def a36_replicates(spark, d):
+    """Both statistics of every replicate."""
+    found = bs.replicate_metrics(bs.replicate_sums(bs.clip_cells(scored(spark, d), RULES), 20))
+    return found.select("model", F.col("replicate").cast("long").alias("replicate"), r6("balanced_accuracy"), "wpcr")
 
 
 @query("W04_leaderboard", sql(CLASSES, select=_counts("model") + f"SELECT row_number() OVER (ORDER BY b DESC, model) AS rank, model, n, round(b, 6) AS balanced_accuracy FROM (SELECT model, sum(n_oracle)::BIGINT AS n, avg(CASE WHEN n_oracle > 0 THEN tp::DOUBLE / n_oracle END) AS b FROM counts GROUP BY model)"))

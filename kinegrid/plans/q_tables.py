@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinegrid.functions import series as fs
+from kinegrid.operators import rules
 from kinegrid.operators import selection as sel
 from kinegrid.operators import validation as val
 from kinegrid.operators.features import summary_features
@@ -84,14 +85,34 @@ def j09(spark, d):
 
 @query("J10_forward_range", sql(SERIES, select="SELECT a.clip_id, a.i, round(min(b.t) - a.t, 6) AS gap FROM series a JOIN series b ON a.clip_id = b.clip_id AND b.t BETWEEN a.t + 1e-6 AND a.t + 0.55 WHERE a.accel < -2.5 AND abs(b.yaw_rate) > 0.13 GROUP BY a.clip_id, a.i, a.t"))
 def j10(spark, d):
-    s = ad.series(spark, d).withColumn("turn_t", F.when(F.abs("yaw_rate") > 0.13, F.col("t"))).withColumn("t2", fs.ahead_of("min(turn_t)", 1e-6, 0.55))
+    s = fs.with_next(ad.series(spark, d).select("clip_id", "i", "t", "accel", "yaw_rate"), F.abs("yaw_rate") > 0.13, "t2", 1e-6, 0.55)
     return s.where("accel < -2.5 AND t2 IS NOT NULL").select("clip_id", "i", r6("gap", F.col("t2") - F.col("t")))
 
 
 @query("J11_interval", sql(TRACK, select="SELECT a.clip_id, a.k, count(*) AS frames FROM (SELECT * FROM track WHERE k % 10 = 0) a JOIN track b ON a.clip_id = b.clip_id AND b.ts BETWEEN a.ts AND a.ts + 86400 GROUP BY a.clip_id, a.k"))
 def j11(spark, d):
-    t = ad.track(spark, d).withColumn("frames", fs.ahead_of("count(*)", 0.0, 86400.0, order="ts"))
-    return t.where("k % 10 = 0").select("clip_id", "k", "frames")
+    """Frames of the day after every tenth sample of a track."""
+    track = ad.track(spark, d).select("clip_id", "k", "ts")
+    spans = track.where("k % 10 = 0").withColumn("end", F.col("ts") + 86400)
+    return fs.count_inside(spans, track, "k", "ts", "end", "ts").select("clip_id", "k", F.col("points").alias("frames"))
+
+
+@query("J11_frame_places", sql(TRACK, select="SELECT a.clip_id, a.k, min(b.k) AS first, max(b.k) AS last FROM track a LEFT JOIN track b ON a.clip_id = b.clip_id AND b.ts BETWEEN a.ts + 1000 AND a.ts + 700000 GROUP BY a.clip_id, a.k"))
+def j11_places(spark, d):
+    """The first and last frame of a span that begins after the sample, for every sample; spans may be empty."""
+    track = ad.track(spark, d).select("clip_id", "k", "ts")
+    spans = track.select("clip_id", "k", (F.col("ts") + 1000).alias("begin"), (F.col("ts") + 700000).alias("end"))
+    return fs.count_inside(spans, track, "k", "begin", "end", "ts").select("clip_id", "k", "first", "last")
+
+
+@query("L10_open_gap", sql(SERIES, select="""
+, p AS (SELECT a.clip_id, min(a.t) AS t1 FROM series a JOIN series b ON a.clip_id = b.clip_id AND b.t >= a.t + 1.5 WHERE a.accel < -2.0 AND b.accel > 2.0 GROUP BY a.clip_id)
+SELECT c.clip_id, round(t1, 6) AS first_t, round((SELECT min(b.t) FROM series b WHERE b.clip_id = c.clip_id AND b.accel > 2.0 AND b.t >= t1 + 1.5) - t1, 6) AS gap, CASE WHEN p.clip_id IS NULL THEN 'no' ELSE 'yes' END AS answer FROM (SELECT DISTINCT clip_id FROM series) c LEFT JOIN p ON c.clip_id = p.clip_id"""))
+def l10_open(spark, d):
+    """A gap of at least 1.5 s without an end."""
+    rule = rules.rule_named("sequential_event")
+    found = rule(ad.series(spark, d), {"signal": "accel", "operator": "less_than", "threshold": -2.0}, {"signal": "accel", "operator": "greater_than", "threshold": 2.0}, (1.5, float("inf")))
+    return found.select("clip_id", r6("first_t"), r6("gap"), "answer")
 
 
 @query("J12_exclude_scenes", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")

@@ -108,3 +108,58 @@ def test_above_counts_the_bounds_below(spark):
         bounds = [float(2 * k) for k in range(n)]
         for r in df.select("v", above(F.col("v"), bounds).alias("a"), above(F.col("v"), bounds, True).alias("b")).collect():
             assert (r.a, r.b) == (sum(b < r.v for b in bounds), sum(b <= r.v for b in bounds))
+
+
+def test_bootstrap_equals_copied_clips(spark):
+    from hashlib import md5
+
+    from kinegrid.operators import bootstrap as bs
+
+    draw = random.Random(2)
+    rules = [("one", "p", "eq", "x", "q", "eq", "y"), ("two", "q", "neq", "y", "p", "neq", "z"), ("never", "p", "eq", "w", "q", "eq", "y")]
+    rows = [(m, c, q, draw.choice("xyz"), draw.choice("xyz")) for m in "ab" for c in range(12) for q in "pq" if draw.random() < 0.9]
+    df = spark.createDataFrame(rows, "model string, clip_id long, question_id string, oracle string, pred string")
+    got = {(r.model, r.replicate): (r.balanced_accuracy, r.wpcr) for r in bs.replicate_metrics(bs.replicate_sums(bs.clip_cells(df, rules), 9)).collect()}
+    for model in "ab":
+        for b in range(9):
+            copies = []
+            for c in range(12):
+                u = int(md5(f"{b // 4}:{c}".encode()).hexdigest()[8 * (b % 4) : 8 * (b % 4) + 8], 16) / 2**32
+                copies += [[r for r in rows if r[0] == model and r[1] == c]] * sum(u >= x for x in bs.POISSON)
+            flat = [r for clip in copies for r in clip]
+            recalls = [sum(r[4] == r[3] for r in flat if r[3] == label) / sum(r[3] == label for r in flat) for label in {r[3] for r in flat}]
+            checked, used = [], set()
+            for clip in copies:
+                own, found = {r[2]: r[4] for r in clip}, []
+                for name, p, op, x, q, op2, y in rules:
+                    if p in own and q in own and (own[p] == x) == (op == "eq"):
+                        found.append((own[q] == y) != (op2 == "eq"))
+                        used.add(name)
+                if found:
+                    checked.append(any(found))
+            rate = round(checked.count(False) / len(checked), 4)
+            assert got[model, b] == pytest.approx((sum(recalls) / len(recalls), round(rate * len(used) / 3, 4)), abs=1e-4)
+
+
+def test_next_events_and_counts_inside(spark):
+    from kinegrid.functions.series import count_inside, with_next
+
+    draw = random.Random(9)
+    rows = [(c, k, draw.randrange(0, 30) / 4, draw.random() < 0.4) for c in range(5) for k in range(30)]
+    df = spark.createDataFrame(rows, "clip_id long, k long, t double, e boolean")
+    for low, high in ((0.0, 2.0), (0.5, 0.5), (1.0, float("inf")), (3.0, 1.0)):
+        got = {(r.clip_id, r.k): r.x for r in with_next(df, F.col("e"), "x", low, high).collect()}
+        assert got == {(c, k): min((u for d, _, u, e in rows if d == c and e and t + low <= u <= t + high), default=None) for c, k, t, _ in rows}
+        spans = df.withColumns({"a": F.col("t") + low, "b": F.col("t") + high})
+        counts = {(r.clip_id, r.k): r.points for r in count_inside(spans, df, "k", "a", "b", "t").collect()}
+        assert counts == {(c, k): sum(d == c and t + low <= u <= t + high for d, _, u, _ in rows) for c, k, t, _ in rows}
+
+
+def test_a_clip_of_a_million_samples_and_an_open_gap(spark):
+    from kinegrid.operators.rules import sequential_event
+
+    clip = spark.range(1_000_000).selectExpr("1L AS clip_id", "id AS i", "id * 0.1D AS t", "CASE WHEN id = 10 THEN -9.0D ELSE 0.0D END AS accel", "CASE WHEN id = 999990 THEN 1.0D ELSE 0.0D END AS yaw_rate")
+    first, second = {"signal": "accel", "operator": "less_than", "threshold": -5.0}, {"signal": "yaw_rate", "operator": "greater_than", "threshold": 0.5}
+    r = sequential_event(clip, first, second, (0.0, float("inf"))).first()
+    assert (r.answer, r.first_t) == ("yes", 1.0) and r.gap == pytest.approx(99998.0)
+    assert sequential_event(clip, first, second, (0.0, 99997.0)).first().answer == "no"
