@@ -1,14 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Documents are lists of lines. Every document that holds a line of another document is paired with the line's first holder, the
-one of the smallest id, however many hold the line: at most as many pairs as held lines, and each pair once. Blank lines make no
-pairs. A pair is aligned by patience diff. The maximal blocks of consecutive lines aligned in both are deleted from the later
-document, except blocks of blank lines alone. The first holder keeps its lines, so one copy of every deleted line stays.
+Documents are lists of lines. Overlapping documents are found by the lines they share: first by rare ones (at most RARE holders), each
+later holder with the line's first holder; then, for lines that no alignment has deleted, by any shared line in the same way; and what is still left is
+tried with every other earlier holder, the nearest first, twice as many in each round. So a line stays only if no earlier document that holds it
+aligns it, which is what aligning all pairs would give; a document whose lines go early is spared most of these pairs. Blank lines
+make no pairs. A pair is aligned by patience diff. The maximal blocks of consecutive lines aligned in both are deleted from the later
+document, except blocks of blank lines alone; a blank line goes with a block of a pair that was aligned. The first holder keeps its
+lines, so one copy of every deleted line stays.
 
 Documents with the same text are one: the smallest id's is aligned with others, all lines of the later copies are deleted.
+Lines are compared by 64-bit hashes (in 1e12 different lines some 30,000 pairs clash, and a clash can delete a line only where it aligns); rows and texts
+by 128 bits.
 
 Nulls: a null text is empty and has no lines. A null id counts as larger than all others. Rows that share an id are not aligned
-with one another. An empty table gives no rows.
+with one another. A long text is one row of line hashes, aligned in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut, table
+from kinegrid.llm.common import cut, global_rank, table
 
-#: Pairs of one first holder that a task aligns, about.
+#: Holders of a line up to which it is rare.
+RARE = 16
+#: Pairs of one earlier document that a task aligns, about.
 FAN = 2000
-#: First holders of many pairs sent to every executor; beyond it they are joined by a shuffle.
+#: Earlier documents of many pairs sent to every executor; beyond it they are joined by a shuffle.
 SENT_FIRSTS = 100_000
 LAST_ID = (1 << 63) - 1
 
@@ -87,31 +94,76 @@ def _lined(docs: DataFrame) -> DataFrame:
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     hashed = F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.xxhash64(x)))
     lines = F.when(text == "", F.array().cast("array<long>")).otherwise(hashed)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"), F.xxhash64(d, text).alias("k"), F.md5(text).alias("same"), lines.alias("lines"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"), F.unhex(F.md5(F.concat_ws(":", d.cast("string"), text))).alias("k"), F.unhex(F.md5(text)).alias("same"), lines.alias("lines"), text.alias("text"))
 
 
-def line_deletions(lined: DataFrame, fan: int = FAN) -> DataFrame:
-    """k and gone (sorted lines to delete) of every document that loses some by alignment. lined: a written table of documents whose texts differ."""
-    held = lined.select("k", "d", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct("d", "k")).alias("f")).where("holders > 1")
-    # written first: the join below then has a shuffle of its own, which Spark splits where one line has a great many holders
-    shared = cut(shared.select("line", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k")), "shared")
-    pairs = cut(held.join(shared, "line").where("d > first_d").select("k", "first_k").distinct(), "pairs")
+def _aligned(pairs: DataFrame, lines: DataFrame, fan: int) -> DataFrame:
+    """k and gone (lines to delete) of each pair (k, first_k) that has any. The earlier document stands before its pairs, once in a task; one of a great many pairs goes to several tasks."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list = []
         for batch in batches:
-            found = [deleted(first.as_py(), later.as_py()) for later, first in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "gone"])
-
-    lines = lined.select("k", "lines")
-    # a first holder of a great many pairs is sent to several tasks
-    hot = cut(pairs.groupBy("first_k").count().where(F.col("count") > fan).select("first_k", F.ceil(F.col("count") / fan).alias("tasks")), "hot")
+            found: list[tuple] = []
+            for later, k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not later:
+                    first = own.as_py()
+                elif gone := deleted(first, own.as_py()):
+                    found.append((k, gone))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([g for _, g in found], pa.list_(pa.int32()))], ["k", "gone"])
+
+    counts = pairs.groupBy("first_k").agg(F.ceil(F.count("*") / fan).alias("tasks"))
+    hot = cut(counts.where("tasks > 1"), "hot")
     hot = F.broadcast(hot) if hot.count() <= SENT_FIRSTS else hot
     dealt = pairs.join(hot, "first_k", "left").select("k", "first_k", F.coalesce(F.pmod(F.xxhash64("k", "first_k"), F.col("tasks")), F.lit(0)).alias("task"))
-    firsts = lines.select(F.col("k").alias("first_k"), F.col("lines").alias("first")).join(hot, "first_k", "left")
-    firsts = firsts.select("first_k", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)) - 1)).alias("task"))
-    both = dealt.join(lines, "k").join(firsts, ["first_k", "task"]).select("k", "lines", "first")
-    return both.mapInArrow(align, "k long, gone array<int>").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where(F.size("gone") > 0)
+    later = dealt.join(lines, "k").select("first_k", "task", F.lit(True).alias("later"), "k", "lines")
+    firsts = lines.withColumnRenamed("k", "first_k").join(counts, "first_k").select("first_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(False).alias("later"), F.col("first_k").alias("k"), "lines")
+    both = firsts.unionByName(later).repartition("first_k", "task").sortWithinPartitions("first_k", "task", "later")
+    return both.select("later", "k", "lines").mapInArrow(align, "k binary, gone array<int>")
+
+
+def line_deletions(lined: DataFrame, fan: int = FAN, rare: int = RARE) -> DataFrame:
+    """k and gone (sorted lines to delete) of every document that loses some by alignment. lined: a written table of documents whose texts differ."""
+    held = lined.select("k", "d", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct("d", "k")).alias("f")).where("holders > 1")
+    # written first: the join below then has a shuffle of its own, which Spark splits where one line has a great many holders
+    shared = cut(shared.select("line", "holders", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k")), "shared")
+    anchors = cut(held.join(shared, "line"), "anchors")
+    later, lines = anchors.where("d > first_d"), lined.select("k", "lines")
+    gone = lined.sparkSession.createDataFrame([], "k binary, gone array<int>")
+    tried: DataFrame | None = None
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal gone, tried
+        new = pairs.select("k", "first_k").distinct()
+        new = cut(new if tried is None else new.join(tried, ["k", "first_k"], "left_anti"), "pairs")
+        tried = new if tried is None else tried.unionByName(new)
+        found = gone.unionByName(_aligned(new, lines, fan)).groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+        gone = cut(found, "gone")
+
+    def left() -> DataFrame:
+        """Shared lines of later documents that are still there: k, line."""
+        kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("int")))
+        some = later.select("k").distinct().join(lines, "k").join(gone, "k", "left")
+        rest = some.select("k", F.explode(F.array_distinct(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))).alias("line"))
+        return later.join(rest, ["k", "line"], "left_semi")
+
+    add(later.where(F.col("holders") <= rare))
+    add(left())
+    waiting = cut(left().where("holders > 2").select("k", "line"), "left")
+    if not waiting.limit(1).count():
+        return gone
+    # The holders of a line stand one after the other, by id: those before a document are its other partners.
+    placed = cut(global_rank(anchors.join(waiting.select("line").distinct(), "line", "left_semi").select("line", "d", "k"), ["line", "d", "k"]), "holders")
+    reach = 1
+    while True:
+        here = placed.join(waiting, ["k", "line"], "left_semi").select("k", "d", "line", F.explode(F.sequence(F.lit(reach), F.lit(2 * reach - 1))).alias("_back"), "rank")
+        before = placed.select("line", F.col("rank").alias("_at"), F.col("k").alias("first_k"), F.col("d").alias("_d"))
+        pairs = cut(here.withColumn("_at", F.col("rank") - F.col("_back")).join(before, ["line", "_at"]).select("k", "line", "first_k", (F.col("_d") < F.col("d")).alias("earlier")), "partners")
+        if not pairs.limit(1).count():
+            return gone
+        add(pairs.where("earlier"))
+        waiting = cut(waiting.join(left().select("k", "line"), ["k", "line"], "left_semi"), "left")
+        reach *= 2
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:

@@ -229,13 +229,13 @@ def test_line_dedup_of_lines_that_many_hold(spark, fan):
 
 
 def lines_by_hand(rows):
-    """Every pair of documents is looked at; a pair counts if the earlier one is the first holder of a line of the later one."""
+    """Every pair of documents that share a line is aligned. Blank lines are left out: they go with the block of a pair that was aligned."""
     texts = [(i, [x.strip() and x for x in t.split("\n")]) for i, t in rows]
     out = {}
     for j, (i, later) in enumerate(texts):
         gone = set()
         for k, (e, first) in enumerate(texts[:j]):
-            if any(x and x in first and not any(x in o for _, o in texts[:k]) for x in later):
+            if any(x and x in first for x in later):
                 pairs = op09_lines.patience(first, later)
                 assert all(first[a] == later[b] for a, b in pairs) and pairs == sorted(pairs) and len({a for a, _ in pairs}) == len(pairs)
                 if len(set(first)) == len(first) and len(set(later)) == len(later):  # then the longest common subsequence is the longest rising run
@@ -251,7 +251,7 @@ def lines_by_hand(rows):
                         block = []
                     if a >= 0:
                         block.append((a, b))
-        out[i] = (len(later), len(gone), "\n".join(x for k, x in enumerate(rows[j][1].split("\n")) if k not in gone))
+        out[i] = (len(later), [x for k, x in enumerate(later) if x and k not in gone])
     return out
 
 
@@ -262,11 +262,30 @@ def test_line_dedup_equals_all_pairs(spark):
     pool = [f"line {k}" for k in range(60)] + ["", " "]
     rows = [(k, f"own {k}\n" + "\n".join(draw.choices(pool, k=draw.randint(1, 12))) + (f"\n{chr(10).join(pool[5:9])}" if k % 3 == 0 else "")) for k in range(80)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lines string")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op09_lines.dedup_lines(df, fan=5).collect()}
-    assert got == lines_by_hand(rows)
+    for rare in (16, 3):
+        got = {r.doc_id: (r.n_lines, [x for x in r.text.split("\n") if x.strip()]) for r in op09_lines.dedup_lines(df, fan=5, rare=rare).collect()}
+        assert got == lines_by_hand(rows)
     assert op09_lines.dedup_lines(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_line_dedup_of_blocks_in_another_order(spark):
+    """A block that two later documents share goes, though its lines' first holder has them in another order; and so in shuffled copies."""
+    import random
+
+    draw = random.Random(3)
+    falling, rising = [f"l{k}" for k in range(5, -1, -1)], [f"l{k}" for k in range(6)]
+    rows = [(1, "\n".join(falling)), (2, "\n".join(rising)), (3, "\n".join(rising) + "\nown"), (4, "a\nb"), (5, "b\na"), (6, "b\na\nx")]
+    rows += [(10 + k, "\n".join(draw.sample([f"s{n}" for n in range(9)], 9))) for k in range(14)]
+    got = {r.doc_id: (r.n_lines, [x for x in r.text.split("\n") if x]) for r in op09_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_by_hand(rows) and got[3] == (7, ["own"]) and got[6] == (3, ["x"])
+
+
+def test_line_dedup_of_a_long_text(spark):
+    long = "\n".join(f"line {k}" for k in range(60_000))
+    rows = [(1, long), (2, "first\n" + long + "\nlast")]
+    assert {r.doc_id: r.text for r in op09_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: long, 2: "first\nlast"}
+
+
 def test_language_equals_out_of_place_distance(spark):
     """The judge against the distance as it is written down: ranks of a document's n-grams against each profile's."""
     import random
