@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max inverted indexes, distance-weighted votes.
 
-The vocabulary is the terms that go with the label (chi-square of SIGNIFICANT or more, SEEN examples at least) and one term of weight
-BACKGROUND that every text holds: without it a text with one chance hit would be as near to toxic texts as one with many. A
+The vocabulary is the terms that go with the label (LIFT times as frequent among toxic examples as among clean ones, chi-square of SIGNIFICANT or
+more, SEEN examples at least) and one term of weight BACKGROUND that every text holds: without it a text with one chance hit would be as near to toxic texts as one with many. A
 term weighs (1 + ln tf) * (1 + ln((N + 1) / (df + 1))), with N and df counted over all documents. Examples with equal vectors are one
 entry with their votes.
 
@@ -32,7 +32,7 @@ from kinegrid.llm.op12_search import count_terms
 
 #: Examples of each class, about; terms of the vocabulary at most (the most significant).
 SAMPLE, TERMS = 10_000, 20_000
-SIGNIFICANT, SEEN, BACKGROUND = 20.0, 3, 3.0
+SIGNIFICANT, LIFT, SEEN, BACKGROUND = 20.0, 4.0, 3, 3.0
 NEAREST, THRESHOLD, BLOCK, EVIDENCE = 15, 0.3, 64, 3
 #: Blocks that are visited together at first; twice as many each time after.
 WAVE = 4
@@ -56,7 +56,7 @@ def draw_examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     return cut(rows.select("doc_id", "text", "toxic"), "examples").repartition(spark.sparkContext.defaultParallelism), rates
 
 
-def choose_terms(examples: DataFrame, significant: float = SIGNIFICANT, seen: int = SEEN, most: int = TERMS) -> list[str]:
+def choose_terms(examples: DataFrame, significant: float = SIGNIFICANT, lift: float = LIFT, seen: int = SEEN, most: int = TERMS) -> list[str]:
     """The terms whose presence goes with the label, most significant first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def choose_terms(examples: DataFrame, significant: float = SIGNIFICANT, seen: in
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     square = F.lit(float(n0 + n1)) * (b * (n0 - a) - a * (n1 - b)) ** 2
     chosen = terms.where(F.col("a") + F.col("b") >= seen).withColumn("chi", square / F.greatest(F.lit(1.0), (a + b) * (n0 + n1 - a - b) * float(n0) * float(n1)))
-    return [r["term"] for r in chosen.where(F.col("chi") >= significant).orderBy(F.desc("chi"), "term").limit(most).select("term").collect()]
+    return [r["term"] for r in chosen.where((F.col("chi") >= significant) & (b * float(n0) >= lift * a * float(n1))).orderBy(F.desc("chi"), "term").limit(most).select("term").collect()]
 
 
 def _held(text: str | None, number: dict[bytes, int]) -> list[tuple[int, int]]:

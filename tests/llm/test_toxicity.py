@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinegrid.llm.op12_search import count_terms
-from kinegrid.llm.op13_toxicity import BACKGROUND, NEAREST, SEEN, SIGNIFICANT, Index, drop_toxic, learn, op13_toxicity, rate
+from kinegrid.llm.op13_toxicity import BACKGROUND, LIFT, NEAREST, SEEN, SIGNIFICANT, Index, drop_toxic, learn, op13_toxicity, rate
 
 DOCS = "doc_id long, text string, lang string, _score string, _evidence string"
 
@@ -80,7 +80,7 @@ def test_query_against_a_plain_version(spark, sf):
     for t in set(seen[0]) | set(seen[1]):
         a, b = seen[0][t], seen[1][t]
         chi = (n0 + n1) * (b * (n0 - a) - a * (n1 - b)) ** 2 / max(1, (a + b) * (n0 + n1 - a - b) * n0 * n1)
-        if a + b >= SEEN and chi >= SIGNIFICANT:
+        if a + b >= SEEN and chi >= SIGNIFICANT and b * n0 >= LIFT * a * n1:
             chosen.append(t)
     chosen.sort(key=bytes.decode)
     idf = [1 + math.log((len(docs) + 1) / (sum(t in c for c in counts.values()) + 1)) for t in chosen]
