@@ -9,10 +9,11 @@ the order of this bound, best first, and stops when the bound falls below its k-
 Queries travel in blocks. Each block first searches one shard of its own cell. The k-th scores found there are held against the
 boxes of all shards, and only the queries whose bound reaches their k-th score go on to a shard.
 
-Score ties go to the smaller id; a query's own row is no candidate, other rows with its id are. Vectors that are null, empty or
-hold null or non-finite components take no part. Vectors of different length are not compared. Scores are exact; components
-or scores that 64 bits cannot hold raise an error. Rows that repeat an id count each; a repeated query is answered for each of
-its rows. Empty tables give no rows.
+Score ties go to the smaller id; a query's own row is no candidate, other rows with its id are. A row with a null id is a candidate
+that comes last among equal scores (2**63 - 1 stands for it, and comes back as null). Vectors that are null, empty or
+hold null or non-finite components take no part, nor do those with a component that 64 bits cannot hold once scaled. Vectors of
+different length are not compared. Scores are exact up to 2**62; beyond, they stay at that. Rows that repeat an id count each; a repeated query is
+answered for each of its rows. A long vector makes its shard as much larger. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +31,18 @@ from kinegrid.llm.common import cut, in_tasks, table
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 256
 #: Vectors that the cells are fitted on, about, and cells at most.
 SAMPLE, CELLS = 20_000, 1024
-#: Boxes of shards that a block of queries is held against at a time.
-BOXES = 4096
-NONE = -(1 << 62)
+#: Boxes of shards that a block of queries is held against at a time, and bytes of boxes that are sent to every executor.
+BOXES, SENT_BYTES = 4096, 16 << 20
+NONE, NO_ID = -(1 << 62), (1 << 63) - 1
 
 
 def whole_numbers(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """vec_id and v, the components as floor(scale * x); rows that take no part are left out."""
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    whole = lambda e: F.when(F.abs(F.lit(scale) * e) < float(1 << 62), F.floor(F.lit(scale) * e)).otherwise(F.raise_error(F.lit("a component does not fit in 64 bits")).cast("long"))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+    fits = F.forall(x, lambda e: F.abs(F.lit(scale) * e) < float(1 << 62))
+    whole = F.transform(x, lambda e: F.floor(F.lit(scale) * e))
+    return vectors.where(x.isNotNull() & (F.size(x) > 0) & finite & fits).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -109,9 +111,7 @@ class Tree:
                     score = queries[group] @ self.whole[at].T
                 else:  # Python's integers have no bound
                     score = queries[group].astype(object) @ self.whole[at].astype(object).T
-                    if max(map(abs, score.ravel())) >= 1 << 62:
-                        raise OverflowError("an inner product does not fit in 64 bits")
-                    score = score.astype(np.int64)
+                    score = np.clip(score, NONE + 1, -NONE).astype(np.int64)
                 score[self.rows[at][None, :] == rows[group][:, None]] = NONE
                 pool = np.concatenate([best[group], score], axis=1)
                 ranks = np.concatenate([at_rank[group], np.broadcast_to(self.rank[at], score.shape)], axis=1)
@@ -246,7 +246,7 @@ def _search(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return in_tasks(both.repartition("dim", "cell", "sub").sortWithinPartitions("dim", "cell", "sub", "kind"), run, ANSWER)
 
 
-def _reached(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
+def _reached(blocks: DataFrame, boxes: DataFrame, sent_bytes: int) -> DataFrame:
     """The queries that have to go on, in blocks for one shard each: those whose bound reaches their floor. boxes: dim, chunk, and a chunk's shards and boxes as bytes."""
     schema = pa.schema([*((n, pa.int32()) for n in ("dim", "cell", "sub")), *((n, pa.binary()) for n in ("rows", "ids", "points", "floor"))])
 
@@ -264,13 +264,21 @@ def _reached(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
                         made.append((dim, shard["cell"], shard["sub"], *(x[at].tobytes() for x in (rows, ids, points, floor))))
                 yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    both = blocks.join(boxes, "dim").select("dim", "rows", "ids", "points", "floor", F.struct("cell", "sub").alias("home"), "shards", "sides")
+    # all blocks have one length of vector as a rule, so small boxes go to every executor, and others to each of the parts that the blocks are dealt into
+    size = boxes.agg(F.sum(F.aggregate("sides", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b)))).first()[0] or 0
+    if size <= sent_bytes:
+        both = blocks.join(F.broadcast(boxes), "dim")
+    else:
+        parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("dim", "cell", "block"), F.lit(parts)).cast("int"))
+        both = dealt.join(boxes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["dim", "part"])
+    both = both.select("dim", "rows", "ids", "points", "floor", F.struct("cell", "sub").alias("home"), "shards", "sides")
     return in_tasks(both, route, "dim int, cell int, sub int, rows binary, ids binary, points binary, floor binary")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, sample: int = SAMPLE, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row of vectors (vec_id, v) that is_query holds for, against all other rows."""
-    vectors = cut(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim"), is_query.alias("asks")), "vectors")
+    vectors = cut(vectors.select(F.monotonically_increasing_id().alias("row"), F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
     n = vectors.count()
     chosen = vectors.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(1, n)) * (1 << 30))).select("v", "dim").limit(2 * sample).collect()
     counts = defaultdict(int)
@@ -304,9 +312,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = S
     level = cut(blocks.groupBy("dim", "cell", "block").cogroup(kth.groupBy("dim", "cell", "block")).applyInArrow(floors, "dim int, cell int, block int, rows binary, ids binary, points binary, sub int, floor binary"), "floors")
     boxes = trees.select("dim", F.struct("cell", "sub").alias("shard"), "box").withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(max(1, n // shard_rows // BOXES))))
     boxes = boxes.groupBy("dim", "chunk").agg(F.collect_list(F.struct("shard", "box")).alias("b")).select("dim", F.col("b.shard").alias("shards"), F.col("b.box").alias("sides"))
-    answers = first.unionByName(_search(trees, _reached(level, boxes), k))
+    answers = first.unionByName(_search(trees, _reached(level, cut(boxes, "boxes"), sent_bytes), k))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vec_id = F.when(F.col("vec_id") != NO_ID, F.col("vec_id"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", vec_id.alias("vec_id"), "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +329,6 @@ ORACLE_SQL = {
 WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.w) = len(c.w)),
-k AS (SELECT *, row_number() OVER (PARTITION BY s.r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+k AS (SELECT *, row_number() OVER (PARTITION BY s.r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""",
 }

@@ -5,12 +5,13 @@ elements) is left out from the start. Words score positive and tags negative, an
 the largest sum: the content region. Its words, without the tags, are the text.
 
 The weights come from labelled pages: those whose authors marked the content with one article or main element. Over about
-SAMPLE of them, chosen by a hash of page_id, tags are counted inside the marked element, and outside where nothing else tells
+SAMPLE of them, chosen by a hash of page_id and page, tags are counted inside the marked element, and outside where nothing else tells
 an element apart. The words outside are counted for the outermost element around them that does not hold the marked one, the words inside for all elements between,
 by the elements' features (name, classes, id, role). An element whose features stand outside is boilerplate: entering it costs
 as much as its odds say, its words count nothing and are no part of the text, even within the region. Before any page is seen,
 features that say so themselves (FURNITURE) count as seen outside PRIOR times; pages that use them for content overrule that.
-A page's own header inside its article, and a boilerplate element that holds an article or, as a form, most of the page, are content.
+A page's own header inside its article, and a boilerplate element that holds an article, or most of the page and is a form, or most of
+the page and its h1 and is known by its own word alone, are content.
 
 Blocks are joined by one blank; line breaks and block elements end a block, inline elements do not. Nulls: a null page is
 empty. A page without text gives the empty string; an unclosed element ends with its parent, a broken tag at the end of a page
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from kinegrid.llm.common import table
 
-#: Labelled pages that the scores are learned from, about, and tags that get a score of their own.
-SAMPLE, TAGS = 2000, 500
+#: Labelled pages that the scores are learned from, about, and tags (and features) that get a score of their own.
+SAMPLE, TAGS = 2000, 50_000
 #: Costs a tag at least and at most; a tag never seen; how much an even chance of lying outside counts.
 LEAST, MOST, UNSEEN, STRENGTH = 0.05, 60.0, 0.2, 5.0
 #: Words that a feature of FURNITURE counts as seen outside before any page; odds (log) below which an element is boilerplate.
@@ -78,12 +79,12 @@ def announced(feature: str) -> bool:
 
 
 class Page:
-    """Tokens (name or "", text or "/", element) and elements (features, parent, under a mark, holds a mark, words)."""
+    """Tokens (name or "", text or "/", element) and elements (features, parent, under a mark, holds a mark, words, holds an h1)."""
 
     def __init__(self, page: str):
         self.tokens: list[tuple[str, str, int]] = []
         self.features: list[tuple[str, ...]] = [()]
-        self.parent, self.marked, self.holds, self.words = [-1], [False], [False], [0]
+        self.parent, self.marked, self.holds, self.words, self.titled = [-1], [False], [False], [0], [False]
         stack: list[tuple[str, int]] = []
         unshown = at = element = 0
 
@@ -140,12 +141,14 @@ class Page:
         for k in range(len(self.parent) - 1, 0, -1):
             self.words[self.parent[k]] += self.words[k]
             self.holds[self.parent[k]] |= self.holds[k]
+            self.titled[self.parent[k]] |= self.titled[k]
 
     def _add(self, own: tuple[str, ...], parent: int, name: str) -> int:
         self.features.append(own)
         self.parent.append(parent)
         self.marked.append(self.marked[parent] or name in MARKS)
         self.holds.append(name in MARKS)
+        self.titled.append(name == "h1")
         self.words.append(0)
         return len(self.parent) - 1
 
@@ -158,7 +161,8 @@ class Page:
                 continue
             own = [f for f in self.features[k] if not (f == "header" and self.marked[up])]
             low = min((odds.get(f, PRIOR_ODDS if announced(f) else 0.0) for f in own), default=0.0)
-            wraps = self.holds[k] or "form" in own and 2 * self.words[k] >= self.words[0]
+            learned = any(f in odds for f in own)
+            wraps = self.holds[k] or ("form" in own or self.titled[k] and not learned) and 2 * self.words[k] >= self.words[0]
             out.append(low if low < OUTSIDE and not wraps else 0.0)
         return out
 
@@ -202,7 +206,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE, tags: int = TAGS) -> dict[tupl
     """Weights by (kind, name): costs of tags (negative), the worth of a word, odds of features. At most `tags` of each kind, the most frequent."""
     whole = pages.where("html IS NOT NULL")
     n = whole.count()
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("null"))), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "html"), F.lit(1 << 30)) / float(1 << 30)
     chosen = whole.where(draw < F.lit(min(1.0, sample / max(1, n)))).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,29 @@ def test_topk_of_large_numbers_and_repeated_ids(spark, most):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_topk_with_null_ids_and_numbers_that_do_not_fit(spark):
+    """Against the query's own SQL; blocks routed with the boxes sent, and with the boxes dealt out."""
+    import random
+
+    import duckdb
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    draw = random.Random(6)
+    rows = [(k if k % 9 else None, [float(draw.randrange(-3, 4)) / 64 for _ in range(5)]) for k in range(600)] + [(None, [1.0] * 5), (20, None), (40, [None, 1.0]), (60, [float("nan")]), (700, [])]
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame({"vec_id": pd.array([i for i, _ in rows], "Int64"), "embedding": [v for _, v in rows]}))
+    con.execute("CREATE VIEW embeddings AS SELECT vec_id, embedding::DOUBLE[] AS embedding FROM rows")
+    want = sorted(con.execute(op03_topk.ORACLE_SQL["op3_topk"]).fetchall(), key=str)
+    df = spark.createDataFrame([*rows, (80, [1e20] * 5)], "vec_id long, embedding array<double>")
+    for sent in (16 << 20, 0):
+        got = op03_topk.top_k(op03_topk.whole_numbers(df), F.col("vec_id") % 20 == 0, 20, shard_rows=50, block_rows=4, sent_bytes=sent).collect()
+        assert sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in got), key=str) == want
+    assert any(w[2] is None for w in want)
+    large = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 5]), (2, [-(2**40), 1])], "vec_id long, v array<long>")
+    assert [(r.vec_id, r.score) for r in op03_topk.top_k(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1 << 62), (2, 1 - (1 << 62))]
+
+
 def test_topk_of_nothing(spark):
     from pyspark.sql import functions as F
 
@@ -164,6 +187,18 @@ def test_html_weights_are_learned(spark):
     assert op05_html.extract(empty, op05_html.learn(empty)).count() == 0
 
 
+def test_html_of_a_page_called_like_furniture_and_of_many_features(spark):
+    own = "<div class='social'><h1>Social history</h1><p>" + "Villages and towns changed over the years. " * 9 + "</p></div><nav>Home</nav>"
+    lone = spark.createDataFrame([(1, "u", own)], "page_id long, url string, html string")
+    assert op05_html.extract(lone, op05_html.learn(lone)).first().text.startswith("Social history Villages")
+    many = [(k, "u", f"<div class='box{k}'><p>outside words of page {k} stand here</p></div><article class='a{k}'><h1>Inside {k}</h1><p>{'some words of the story ' * 5}</p></article><div class='box{k % 700}'>more outside</div>") for k in range(700)]
+    pages = spark.createDataFrame(many, "page_id long, url string, html string")
+    weights = op05_html.learn(pages)
+    assert sum(kind == "feature" for kind, _ in weights) > 600
+    got = op05_html.extract(pages, weights).collect()
+    assert all(r.text == f"Inside {r.page_id} " + " ".join(["some words of the story"] * 5) for r in got)
+
+
 def test_html_scan_equals_all_runs():
     import random
 
