@@ -10,7 +10,7 @@ from kinegrid.operators import batching
 from kinegrid.registry import query
 from kinegrid.sources import files
 from kinegrid.sources.adapters import table
-from kinegrid.sources.shared import place
+from kinegrid.sources.shared import cut, place
 from kinegrid.streaming import incremental
 
 @query("S01_clip_index", "SELECT user_id::VARCHAR AS clip_id, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -147,7 +147,27 @@ def r03(spark, d):
     for _ in range(2):
         rows.write.mode("append").parquet(source)
         incremental.append_new(spark.readStream.schema(rows.schema).parquet(source), out, place(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("qa_id", "event_type")
+
+
+@query("R02_stream_groups", """
+WITH items AS (SELECT l_orderkey AS clip_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS qa_id, l_linestatus FROM lineitem)
+SELECT clip_id, count(*) AS stored, (count(*) FILTER (WHERE again))::BIGINT AS asked_again FROM (SELECT DISTINCT clip_id, qa_id, bool_or(l_linestatus <> 'F') OVER (PARTITION BY clip_id) AS again FROM items) GROUP BY clip_id""")
+def r02_stream(spark, d):
+    """Some answers are stored when the run breaks off; groups that lack any are asked again as a whole, and what was stored stays once."""
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip_id"), key.alias("qa_id"), "l_linestatus")
+    source, out, progress = place(spark, "arrivals"), place(spark, "stored"), place(spark, "progress")
+    arrive = lambda rows: rows.write.mode("append").parquet(source)
+    run = lambda: incremental.append_new(spark.readStream.schema("clip_id long, qa_id string").parquet(source), out, progress, by="clip_id").awaitTermination()
+    arrive(items.where("l_linestatus = 'F'").select("clip_id", "qa_id"))
+    run()
+    again = cut(incremental.open_groups(items.select("clip_id", "qa_id").distinct(), out), "again")
+    arrive(again)
+    run()
+    stored = spark.read.parquet(out).groupBy("clip_id").agg(F.count("*").alias("stored"))
+    asked = again.groupBy("clip_id").agg(F.count("*").alias("n"))
+    return stored.join(asked, "clip_id", "left").select("clip_id", "stored", F.coalesce("n", F.lit(0)).cast("long").alias("asked_again"))
 
 
 @query("X_stream_windows", "SELECT epoch_us(time_bucket(INTERVAL '1 day', events.ts)) AS start_us, count(*) AS n, round(avg((event_type = 'click')::INT), 6) AS accuracy FROM events GROUP BY start_us")

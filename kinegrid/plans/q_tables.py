@@ -185,19 +185,47 @@ def u05(spark, d):
     return _tags(spark, d).groupBy("a", "b", "c").agg(F.count("*").alias("n"))
 
 
-_SAMPLE = _TAGS + """, sizes AS (SELECT a, b, c, count(*) AS size FROM tags GROUP BY a, b, c), q AS (SELECT *, least(size, least(size, 5) + floor(greatest(200 - sum(least(size, 5)) OVER (), 0) * size / sum(size) OVER ())) AS quota FROM sizes),
-r AS (SELECT t.*, row_number() OVER (PARTITION BY a, b, c ORDER BY ('0x' || substr(md5('42:' || clip_id), 1, 8))::BIGINT, clip_id) AS k FROM tags t), sample AS (SELECT r.clip_id FROM r JOIN q ON r.a = q.a AND r.b = q.b AND r.c = q.c WHERE k <= quota)"""
+def _sampled(rows: str, total: str, least: int) -> str:
+    """WITH clauses for the stratified sample of a table with clip_id, a, b, c."""
+    return f"""sizes AS (SELECT a, b, c, count(*) AS size FROM {rows} GROUP BY a, b, c),
+q AS (SELECT *, least(size, least(size, {least}) + floor(greatest({total} - sum(least(size, {least})) OVER (), 0) * size / sum(size) OVER ())) AS quota FROM sizes),
+r AS (SELECT t.*, ('0x' || substr(md5('42:' || clip_id), 1, 8))::BIGINT AS draw, row_number() OVER (PARTITION BY a, b, c ORDER BY ('0x' || substr(md5('42:' || clip_id), 1, 8))::BIGINT, clip_id) AS k FROM {rows} t),
+m AS (SELECT r.clip_id, r.draw, k <= quota AS held FROM r JOIN q ON r.a = q.a AND r.b = q.b AND r.c = q.c),
+sample AS (SELECT clip_id FROM m QUALIFY row_number() OVER (ORDER BY held DESC, draw, clip_id) <= {total})"""
 
 
-@query("U06_stratified_sample", sql(ANSWERS, select=_SAMPLE + " SELECT clip_id FROM sample"))
+@query("U06_stratified_sample", sql(ANSWERS, select=_TAGS + ", " + _sampled("tags", "200", 5) + " SELECT clip_id FROM sample"))
 def u06(spark, d):
     return sel.stratified_sample(_tags(spark, d), "clip_id", ["a", "b", "c"], 200, 5).select("clip_id")
 
 
-@query("U07_build_splits", sql(ANSWERS, select=_SAMPLE + " SELECT t.clip_id, CASE WHEN s.clip_id IS NULL THEN 'train' ELSE 'val' END AS split FROM tags t LEFT JOIN sample s ON t.clip_id = s.clip_id"))
+@query("U06_trimmed_sample", sql(ANSWERS, select=_TAGS + ", " + _sampled("tags", "21", 5) + " SELECT clip_id FROM sample"))
+def u06_trimmed(spark, d):
+    """The bins' least alone pass the total."""
+    return sel.stratified_sample(_tags(spark, d), "clip_id", ["a", "b", "c"], 21, 5).select("clip_id")
+
+
+_ELIGIBLE = _TAGS + ", eligible AS (SELECT tags.* FROM tags JOIN customer ON clip_id = c_custkey WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0))"
+_SPLIT = """ SELECT clip_id, 'val' AS split FROM sample UNION ALL SELECT clip_id, 'train' FROM (SELECT clip_id FROM eligible WHERE clip_id NOT IN (SELECT clip_id FROM sample)
+  QUALIFY row_number() OVER (ORDER BY ('0x' || substr(md5('42-train:' || clip_id), 1, 8))::BIGINT, clip_id) <= {train})"""
+
+
+def _split_inputs(spark, d):
+    clips = table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), F.col("c_nationkey").alias("scene"))
+    return clips, _tags(spark, d), table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("scene"))
+
+
+@query("U07_build_splits", sql(ANSWERS, select=_ELIGIBLE + ", " + _sampled("eligible", "100", 4) + _SPLIT.format(train=150)))
 def u07(spark, d):
-    tags = _tags(spark, d)
-    return sel.split(tags, "clip_id", sel.stratified_sample(tags, "clip_id", ["a", "b", "c"], 200, 5)).select("clip_id", "split")
+    """Customers of all regions but one, those without orders left out; 100 for validation and 150 for training."""
+    clips, tags, excluded = _split_inputs(spark, d)
+    return sel.build_splits(clips, tags, ["a", "b", "c"], 100, 150, 4, excluded=excluded)
+
+
+@query("U07_ratio_splits", sql(ANSWERS, select=_ELIGIBLE + ", target AS (SELECT floor(count(*) * 0.2::DOUBLE)::BIGINT AS n FROM eligible), " + _sampled("eligible", "(SELECT n FROM target)", 10) + _SPLIT.format(train="(SELECT count(*) FROM eligible)")))
+def u07_ratio(spark, d):
+    clips, tags, excluded = _split_inputs(spark, d)
+    return sel.build_splits(clips, tags, ["a", "b", "c"], 0, 0, 10, ratio=0.2, excluded=excluded)
 
 
 @query("U08_imbalance", sql(ANSWERS, select=", n AS (SELECT question_id, answer, count(*) AS n FROM answers GROUP BY question_id, answer) SELECT question_id, round(max(o), 6) AS imbalance FROM (SELECT question_id, abs(n::DOUBLE / sum(n) OVER w - 1.0::DOUBLE / count(*) OVER w) AS o FROM n WINDOW w AS (PARTITION BY question_id)) GROUP BY question_id"))
@@ -205,9 +233,37 @@ def u08(spark, d):
     return sel.imbalance(ad.answers(spark, d)).select("question_id", r6("imbalance"))
 
 
-@query("U09_balanced_subset")
+#: One pick a step; the state is what has been chosen, with counts by class and source kept as lists.
+_GREEDY = sql(ANSWERS, select=""",
+class AS (SELECT question_id, answer, row_number() OVER (ORDER BY question_id, answer) AS c, dense_rank() OVER (ORDER BY question_id) AS q FROM (SELECT DISTINCT question_id, answer FROM answers)),
+fair AS (SELECT list(1.0::DOUBLE / k ORDER BY c) AS fair, list(q ORDER BY c) AS question, max(q) AS n_q, max(c) AS n_c FROM (SELECT *, count(*) OVER (PARTITION BY q) AS k FROM class)),
+pool AS MATERIALIZED (SELECT clip_id, any_value(source) AS source, ('0x' || substr(md5('42:' || clip_id), 1, 8))::BIGINT AS draw, list(c ORDER BY q) AS own FROM answers JOIN class USING (question_id, answer) GROUP BY clip_id),
+g AS (SELECT 0 AS pick, NULL::BIGINT AS last, []::BIGINT[] AS chosen, list_transform(fair, lambda x: 0) AS n, 0 AS real FROM fair
+  UNION ALL
+  SELECT pick + 1, b.clip_id, list_append(chosen, b.clip_id), list_transform(range(1, n_c + 1), lambda i: n[i] + (CASE WHEN list_contains(b.own, i) THEN 1 ELSE 0 END)), real + (b.source = 'real')::INT
+  FROM (SELECT pick, chosen, n, real, n_c, arg_max({'clip_id': clip_id, 'own': own, 'source': source}, {'fits': fits, 'helps': helps, 'draw': -draw, 'id': -clip_id}) AS b
+    FROM (SELECT s.*, p.clip_id, p.own, p.source, p.draw, (p.own[worst] = wanted)::INT AS fits,
+        round(list_sum(list_transform(p.own, lambda c: CASE WHEN question[c] = worst THEN 0 ELSE greatest(lack[c], 0) END)), 9) AS helps
+      FROM (SELECT *, list_position(asked, list_max(asked)) AS wanted
+          FROM (SELECT *, list_transform(range(1, n_c + 1), lambda i: CASE WHEN question[i] = worst THEN lack[i] ELSE -9 END) AS asked
+          FROM (SELECT *, list_position(off, list_max(off)) AS worst
+            FROM (SELECT *, list_transform(range(1, n_q + 1), lambda k: CASE WHEN pick = 0 THEN 1.0 ELSE round(list_max(list_transform(range(1, n_c + 1), lambda i: CASE WHEN question[i] = k THEN abs(n[i]::DOUBLE / pick - fair[i]) ELSE 0 END)), 9) END) AS off,
+                    list_transform(range(1, n_c + 1), lambda i: round(fair[i] - n[i]::DOUBLE / greatest(pick, 1), 9)) AS lack
+                  FROM g, fair WHERE pick < {size})))) s
+      JOIN pool p ON NOT list_contains(s.chosen, p.clip_id) AND (p.source <> 'real' OR s.real < {real}) AND (p.source = 'real' OR s.pick - s.real < {simulated})) GROUP BY pick, chosen, n, real, n_c))
+SELECT last AS clip_id, pick FROM g WHERE pick > 0""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("U09_balanced_subset", _GREEDY.replace("{size}", "100").replace("{real}", "100").replace("{simulated}", "100"))
 def u09(spark, d):
-    return sel.balanced_subset(ad.answers(spark, d), 100)
+    """A hundred clips with even answers, picked one by one; the queues are longer than the table's classes, as the SQL looks at all."""
+    return sel.balanced_subset(ad.answers(spark, d), 100, candidates=1_000_000)
+
+
+@query("U09_source_caps", _GREEDY.replace("{size}", "60").replace("{real}", "15").replace("{simulated}", "60"))
+def u09_caps(spark, d):
+    """Three quarters of the picks stay open to simulated clips."""
+    return sel.balanced_subset(ad.answers(spark, d), 60, candidates=1_000_000, least={"simulated": 0.75})
 
 
 @query("U10_selection_report", sql(ANSWERS, select="SELECT source, count(DISTINCT clip_id) AS clips, count(DISTINCT answer) AS answers FROM answers GROUP BY source"))

@@ -20,18 +20,55 @@ def remaining_groups(items: DataFrame, done: DataFrame, group: str = "clip_id",
     return items.join(open_groups, group, "left_semi")
 
 
-def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "qa_id") -> StreamingQuery:
-    """Append each micro-batch's rows whose key is not stored. Keys are dropped within a batch and against the stored rows, so a batch that is run again adds nothing."""
+#: Folders of a store. A row's folder follows from a hash, so a reader of some keys opens only their folders.
+BUCKETS = 256
 
-    def store(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+
+def _bucketed(rows: DataFrame, by: str, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col(by).cast("string"), F.lit(""))), F.lit(buckets)).cast("int"))
+
+
+def store(rows: DataFrame, path: str, by: str = "qa_id", buckets: int = BUCKETS) -> None:
+    """Append rows to the store, in the folders that `by` names."""
+    _bucketed(rows, by, buckets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def touched(rows: DataFrame, path: str, by: str = "qa_id", buckets: int = BUCKETS) -> DataFrame | None:
+    """What is stored in the folders that rows fall into, None without a store. Those folders' numbers, at most `buckets`, are all that the driver sees."""
+    spark = rows.sparkSession
+    if not _exists(spark, path):
+        return None
+    numbers = [r.bucket for r in _bucketed(rows.select(by), by, buckets).select("bucket").distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(numbers))
+
+
+def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "qa_id", by: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Append each micro-batch's rows whose key is not stored. Keys are dropped within a batch and against the folders it falls into, so a batch that is run again adds nothing.
+
+    by: the column whose hash names the folder, the key as a rule; a group's id keeps the group together, and then keys are told apart within groups.
+    """
+    place = by or key
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        same = [key] if place == key else [place, key]
         named = (F.col(key).isNotNull()) & (F.col(key).cast("string") != "")
-        new = batch.where(named).dropDuplicates([key]).unionByName(batch.where(~named))  # an item without a key is never skipped
-        if _exists(spark, path):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+        new = batch.where(named).dropDuplicates(same).unionByName(batch.where(~named))  # an item without a key is never skipped
+        stored = touched(new, path, place, buckets)
+        if stored is not None:
+            new = new.join(stored.select(*same).distinct(), same, "left_anti")
+        store(new, path, place, buckets)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def open_groups(items: DataFrame, path: str, group: str = "clip_id", key: str = "qa_id", buckets: int = BUCKETS) -> DataFrame:
+    """Items of the groups of which the store (kept by group) lacks any: what is to be asked again. Only the folders of these groups are read."""
+    stored = touched(items, path, group, buckets)
+    if stored is None:
+        return items
+    held = stored.select(group, key).distinct().withColumn("_held", F.lit(True))
+    lacking = items.join(held, [group, key], "left").groupBy(group).agg(F.bool_and(F.coalesce("_held", F.lit(False))).alias("_all")).where("NOT _all")
+    return items.join(lacking.select(group), group, "left_semi")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
