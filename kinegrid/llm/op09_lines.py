@@ -2,9 +2,9 @@
 
 Documents are lists of lines. Overlapping documents are found by the lines they share: first by rare ones (at most RARE holders), each
 later holder with the line's first holder; then, for lines that no alignment has deleted, by any shared line in the same way; and what is still left is
-tried with every other earlier holder, the nearest first, twice as many in each round. So a line stays only if no earlier document that holds it
-aligns it, which is what aligning all pairs would give; a document whose lines go early is spared most of these pairs. Blank lines
-make no pairs. A pair is aligned by patience diff. The maximal blocks of consecutive lines aligned in both are deleted from the later
+tried with every other earlier holder, the nearest first, twice as many in each round. So a shared line is deleted nowhere in a document only if no earlier document that holds it
+aligns it, as if all pairs were aligned; a document whose lines go early is spared most of these pairs. (Where a document repeats a line, a
+deleted place is enough.) Blank lines make no pairs. A pair is aligned by patience diff. The maximal blocks of consecutive lines aligned in both are deleted from the later
 document, except blocks of blank lines alone; a blank line goes with a block of a pair that was aligned. The first holder keeps its
 lines, so one copy of every deleted line stays.
 
@@ -98,7 +98,7 @@ def _lined(docs: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, lines: DataFrame, fan: int) -> DataFrame:
-    """k and gone (lines to delete) of each pair (k, first_k) that has any. The earlier document stands before its pairs, once in a task; one of a great many pairs goes to several tasks."""
+    """k, gone (lines to delete) and hit (their hashes) of each pair (k, first_k) that has any. The earlier document stands before its pairs, once in a task; one of a great many pairs goes to several tasks."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: list = []
@@ -107,9 +107,10 @@ def _aligned(pairs: DataFrame, lines: DataFrame, fan: int) -> DataFrame:
             for later, k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if not later:
                     first = own.as_py()
-                elif gone := deleted(first, own.as_py()):
-                    found.append((k, gone))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([g for _, g in found], pa.list_(pa.int32()))], ["k", "gone"])
+                elif gone := deleted(first, own := own.as_py()):
+                    found.append((k, gone, list({own[j] for j in gone})))
+            columns = [pa.array([f[n] for f in found], t) for n, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "gone", "hit"])
 
     counts = pairs.groupBy("first_k").agg(F.ceil(F.count("*") / fan).alias("tasks"))
     hot = cut(counts.where("tasks > 1"), "hot")
@@ -118,7 +119,7 @@ def _aligned(pairs: DataFrame, lines: DataFrame, fan: int) -> DataFrame:
     later = dealt.join(lines, "k").select("first_k", "task", F.lit(True).alias("later"), "k", "lines")
     firsts = lines.withColumnRenamed("k", "first_k").join(counts, "first_k").select("first_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(False).alias("later"), F.col("first_k").alias("k"), "lines")
     both = firsts.unionByName(later).repartition("first_k", "task").sortWithinPartitions("first_k", "task", "later")
-    return both.select("later", "k", "lines").mapInArrow(align, "k binary, gone array<int>")
+    return both.select("later", "k", "lines").mapInArrow(align, "k binary, gone array<int>, hit array<long>")
 
 
 def line_deletions(lined: DataFrame, fan: int = FAN, rare: int = RARE) -> DataFrame:
@@ -128,42 +129,36 @@ def line_deletions(lined: DataFrame, fan: int = FAN, rare: int = RARE) -> DataFr
     # written first: the join below then has a shuffle of its own, which Spark splits where one line has a great many holders
     shared = cut(shared.select("line", "holders", F.col("f.d").alias("first_d"), F.col("f.k").alias("first_k")), "shared")
     anchors = cut(held.join(shared, "line"), "anchors")
-    later, lines = anchors.where("d > first_d"), lined.select("k", "lines")
-    gone = lined.sparkSession.createDataFrame([], "k binary, gone array<int>")
-    tried: DataFrame | None = None
+    lines, parts, tried = lined.select("k", "lines"), [], []
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal gone, tried
+    def left_after(waiting: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The shared lines (k, line, ...) that aligning the pairs that are new has not deleted anywhere."""
         new = pairs.select("k", "first_k").distinct()
-        new = cut(new if tried is None else new.join(tried, ["k", "first_k"], "left_anti"), "pairs")
-        tried = new if tried is None else tried.unionByName(new)
-        found = gone.unionByName(_aligned(new, lines, fan)).groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-        gone = cut(found, "gone")
-
-    def left() -> DataFrame:
-        """Shared lines of later documents that are still there: k, line."""
-        kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("int")))
-        some = later.select("k").distinct().join(lines, "k").join(gone, "k", "left")
-        rest = some.select("k", F.explode(F.array_distinct(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))).alias("line"))
-        return later.join(rest, ["k", "line"], "left_semi")
-
-    add(later.where(F.col("holders") <= rare))
-    add(left())
-    waiting = cut(left().where("holders > 2").select("k", "line"), "left")
-    if not waiting.limit(1).count():
-        return gone
-    # The holders of a line stand one after the other, by id: those before a document are its other partners.
-    placed = cut(global_rank(anchors.join(waiting.select("line").distinct(), "line", "left_semi").select("line", "d", "k"), ["line", "d", "k"]), "holders")
-    reach = 1
-    while True:
-        here = placed.join(waiting, ["k", "line"], "left_semi").select("k", "d", "line", F.explode(F.sequence(F.lit(reach), F.lit(2 * reach - 1))).alias("_back"), "rank")
+        for t in tried:
+            new = new.join(t, ["k", "first_k"], "left_anti")
+        tried.append(cut(new, "pairs"))
+        parts.append(cut(_aligned(tried[-1], lines, fan), "aligned"))
+        hit = parts[-1].select("k", F.explode("hit").alias("line"))
+        return cut(waiting.join(hit, ["k", "line"], "left_anti"), "left")
+
+    waiting = anchors.where("d > first_d")
+    waiting = left_after(waiting, waiting.where(F.col("holders") <= rare))
+    waiting = left_after(waiting, waiting).where("holders > 2").select("k", "line")
+    if waiting.limit(1).count():
+        # The holders of a line stand one after the other, by id: those before a document are its other partners.
+        held = anchors.join(waiting.select("line").distinct(), "line", "left_semi").select("line", "d", "k")
+        placed, reach = cut(global_rank(held, ["line", "d", "k"]), "holders"), 1
         before = placed.select("line", F.col("rank").alias("_at"), F.col("k").alias("first_k"), F.col("d").alias("_d"))
-        pairs = cut(here.withColumn("_at", F.col("rank") - F.col("_back")).join(before, ["line", "_at"]).select("k", "line", "first_k", (F.col("_d") < F.col("d")).alias("earlier")), "partners")
-        if not pairs.limit(1).count():
-            return gone
-        add(pairs.where("earlier"))
-        waiting = cut(waiting.join(left().select("k", "line"), ["k", "line"], "left_semi"), "left")
-        reach *= 2
+        while True:
+            here = placed.join(waiting, ["k", "line"], "left_semi").select("k", "d", "line", F.explode(F.sequence(F.lit(reach), F.lit(2 * reach - 1))).alias("_back"), "rank")
+            pairs = cut(here.withColumn("_at", F.col("rank") - F.col("_back")).join(before, ["line", "_at"]).select("k", "first_k", (F.col("_d") < F.col("d")).alias("earlier")), "partners")
+            if not pairs.limit(1).count():
+                break
+            waiting, reach = left_after(waiting, pairs.where("earlier")), 2 * reach
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
