@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinegrid.functions import series as fs
 from kinegrid.operators import chains, rules
 from kinegrid.operators import metrics as m
+from kinegrid.operators.calibration import calibrate
 from kinegrid.operators.features import summary_features
 from kinegrid.operators.inference import infer
 from kinegrid.operators.validation import config_errors
@@ -239,12 +240,43 @@ def t20(spark, d):
     return one.unionByName(two, allowMissingColumns=True)
 
 
-@query("A35_calibration", sql(FEATURES, select="SELECT 'max_speed' AS feature, count(*) FILTER (WHERE max_speed < 11) AS below, count(*) FILTER (WHERE max_speed >= 11) AS above FROM features UNION ALL SELECT 'max_abs_jerk', count(*) FILTER (WHERE max_abs_jerk < 6.5), count(*) FILTER (WHERE max_abs_jerk >= 6.5) FROM features"))
+CALIBRATED = {
+    "braking": {"name": "multi_threshold_classification", "params": {"feature": "min_accel", "thresholds": [-3.3, -2.9, -2.6], "labels": ["emergency", "moderate", "low", "none"]}},
+    "fast": {"name": "threshold_classification", "params": {"feature": "max_speed", "threshold": 11.0, "below": "slow", "above": "fast"}},
+    "turn": {"name": "yaw_rate_sign_with_deadzone", "params": {"positive": 0.14, "negative": -0.14}},
+    "trend": {"name": "trend_classification", "params": {"positive": 0.1, "negative": -0.1}},
+    "harsh": {"name": "or_threshold_event", "params": {"conditions": [{"feature": "max_abs_jerk", "operator": "greater_than", "threshold": 6.5}, {"feature": "min_accel", "operator": "less_than", "threshold": -3.0}]}},
+    "lateral": {"name": "lateral_accel_threshold", "params": {"threshold": 1.0}},
+    "kmh": {"name": "feature_conversion", "params": {"feature": "max_speed", "factor": 3.6}},
+    "halves": {"name": "half_comparison", "params": {}},
+}
+_LONG = """
+v AS (SELECT clip_id, unnest([
+  {'q': 'braking', 'k': 'class', 'v': min_accel, 'l': CASE WHEN min_accel < -3.3 THEN 'emergency' WHEN min_accel < -2.9 THEN 'moderate' WHEN min_accel < -2.6 THEN 'low' ELSE 'none' END},
+  {'q': 'fast', 'k': 'class', 'v': max_speed, 'l': CASE WHEN max_speed < 11 THEN 'slow' ELSE 'fast' END},
+  {'q': 'turn', 'k': 'class', 'v': signed_max_yaw_rate, 'l': CASE WHEN signed_max_yaw_rate > 0.14 THEN 'left' WHEN signed_max_yaw_rate < -0.14 THEN 'right' ELSE 'straight' END},
+  {'q': 'trend', 'k': 'class', 'v': mean_accel, 'l': CASE WHEN mean_accel > 0.1 THEN 'accelerating' WHEN mean_accel < -0.1 THEN 'decelerating' ELSE 'steady' END},
+  {'q': 'harsh/0', 'k': 'more', 'v': max_abs_jerk, 'l': CASE WHEN max_abs_jerk > 6.5 THEN 'yes' ELSE 'no' END},
+  {'q': 'harsh/1', 'k': 'less', 'v': min_accel, 'l': CASE WHEN min_accel < -3.0 THEN 'yes' ELSE 'no' END},
+  {'q': 'lateral', 'k': 'class', 'v': max_lateral_accel, 'l': CASE WHEN max_lateral_accel > 1.0 THEN 'yes' ELSE 'no' END},
+  {'q': 'kmh', 'k': 'class', 'v': max_speed * 3.6::DOUBLE, 'l': NULL}], recursive := true) FROM features),
+h AS (SELECT clip_id, sqrt(avg(CASE WHEN i < 32 THEN accel * accel END)) AS a, sqrt(avg(CASE WHEN i >= 32 THEN accel * accel END)) AS b FROM series GROUP BY clip_id),
+labels AS (SELECT q, 'balance' AS part, l FROM v WHERE l IS NOT NULL
+  UNION ALL SELECT 'harsh', 'combined', CASE WHEN max_abs_jerk > 6.5 OR min_accel < -3.0 THEN 'yes' ELSE 'no' END FROM features
+  UNION ALL SELECT 'halves', 'balance', CASE WHEN greatest(a, b) < 1e-9 OR abs(a - b) / greatest(a, b) < 0.2 THEN 'similar' WHEN a > b THEN 'first_half' ELSE 'second_half' END FROM h),
+tried AS (SELECT * FROM (SELECT DISTINCT q, k FROM v) JOIN (VALUES ('class', 10), ('class', 25), ('class', 50), ('class', 75), ('class', 90), ('more', 70), ('more', 80), ('more', 85), ('more', 90), ('more', 95), ('less', 5), ('less', 10), ('less', 15), ('less', 20), ('less', 30)) t(k, p) USING (k)),
+cuts AS (SELECT q, k, p, o[1 + floor(p / 100.0::DOUBLE * (len(o) - 1))::INT] AS lo, o[1 + ceil(p / 100.0::DOUBLE * (len(o) - 1))::INT] AS hi, p / 100.0::DOUBLE * (len(o) - 1) - floor(p / 100.0::DOUBLE * (len(o) - 1)) AS s FROM tried JOIN (SELECT q, list(v ORDER BY v) AS o FROM v GROUP BY q) USING (q)),
+t AS (SELECT c.q, c.k, c.p, c.lo + (c.hi - c.lo) * c.s AS threshold, count(*) FILTER (WHERE v.v < c.lo + (c.hi - c.lo) * c.s) AS below, count(*) FILTER (WHERE v.v > c.lo + (c.hi - c.lo) * c.s) AS above, count(*) AS total FROM cuts c JOIN v ON v.q = c.q GROUP BY c.q, c.k, c.p, c.lo, c.hi, c.s)
+SELECT q AS question, part, l AS label, NULL::INT AS p, NULL::DOUBLE AS threshold, count(*) AS n, sum(count(*)) OVER (PARTITION BY q, part)::BIGINT AS total FROM labels GROUP BY q, part, l
+UNION ALL SELECT q, 'below', NULL, p, round(threshold, 6), below, total FROM t WHERE k = 'class' UNION ALL SELECT q, 'above', NULL, p, round(threshold, 6), total - below, total FROM t WHERE k = 'class'
+UNION ALL SELECT q, 'yes', NULL, p, round(threshold, 6), CASE k WHEN 'less' THEN below ELSE above END, total FROM t WHERE k <> 'class'"""
+
+
+@query("A35_calibration", sql(FEATURES, select="," + _LONG))
 def a35(spark, d):
-    """Class counts of threshold rules, all features in one aggregation."""
-    limits = {"max_speed": 11.0, "max_abs_jerk": 6.5}
-    one = features(spark, d).agg(F.array(*[F.struct(F.lit(f).alias("feature"), F.count_if(F.col(f) < t).alias("below"), F.count_if(F.col(f) >= t).alias("above")) for f, t in limits.items()]).alias("x"))
-    return one.select(F.inline("x"))
+    """Balance and sensitivity of seven kinds of rules, all features in one sorted pass, and of a rule over the series."""
+    out = calibrate(CALIBRATED, features(spark, d), ad.series(spark, d))
+    return out.select("question", "part", "label", "p", r6("threshold"), "n", "total")
 
 
 @query("A36_replicate_metrics", sql(CLASSES, select="""
