@@ -28,20 +28,25 @@ def aggregate(value: Column, how: str, order: Column | None = None) -> Column:
     raise ValueError(f"unknown aggregation {how}")
 
 
-def summary_features(series: DataFrame) -> DataFrame:
-    """Twelve features of each clip in one aggregation; the heading change adds up the turn of every step but the first."""
+def feature_aggregates() -> dict[str, Column]:
+    """The twelve features of a clip, each as an aggregate; the heading change adds up the turn of every step but the first."""
     speed, accel, yaw_rate, jerk = (F.col(c) for c in ("speed", "accel", "yaw_rate", "jerk"))
-    return series.groupBy("clip_id").agg(
-        F.max(speed).alias("max_speed"),
-        F.avg(speed).alias("mean_speed"),
-        F.min(accel).alias("min_accel"),
-        F.max(accel).alias("max_accel"),
-        F.avg(accel).alias("mean_accel"),
-        F.max(F.abs(yaw_rate)).alias("max_abs_yaw_rate"),
-        aggregate(yaw_rate, "abs_max").alias("signed_max_yaw_rate"),
-        F.max(F.abs(jerk)).alias("max_abs_jerk"),
-        F.percentile(F.abs(jerk), 0.95).alias("p95_abs_jerk"),
-        F.avg(F.abs(jerk)).alias("mean_abs_jerk"),
-        F.max(speed * F.abs(yaw_rate)).alias("max_lateral_accel"),
-        F.sum(F.when(F.col("i") > 0, F.abs(yaw_rate) * 0.1).otherwise(0.0)).alias("total_heading_change"),
-    )
+    return {
+        "max_speed": F.max(speed),
+        "mean_speed": F.avg(speed),
+        "min_accel": F.min(accel),
+        "max_accel": F.max(accel),
+        "mean_accel": F.avg(accel),
+        "max_abs_yaw_rate": F.max(F.abs(yaw_rate)),
+        "signed_max_yaw_rate": aggregate(yaw_rate, "abs_max"),
+        "max_abs_jerk": F.max(F.abs(jerk)),
+        "p95_abs_jerk": F.percentile(F.abs(jerk), 0.95),
+        "mean_abs_jerk": F.avg(F.abs(jerk)),
+        "max_lateral_accel": F.max(speed * F.abs(yaw_rate)),
+        "total_heading_change": F.sum(F.when(F.col("i") > 0, F.abs(yaw_rate) * 0.1).otherwise(0.0)),
+    }
+
+
+def summary_features(series: DataFrame) -> DataFrame:
+    """All features of each clip in one aggregation."""
+    return series.groupBy("clip_id").agg(*[c.alias(n) for n, c in feature_aggregates().items()])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from kinegrid.operators import rules
 from kinegrid.operators.features import summary_features
+from kinegrid.operators.labelling import label_clips
 from kinegrid.plans.prelude import ANSWERS, FEATURES, SERIES, sql
-from kinegrid.registry import FLAGSHIP, query
+from kinegrid.registry import FLAGSHIP, query, sql_of
 from kinegrid.sources import adapters as ad
 
 BRAKING = ([-3.3, -2.9, -2.6], ["emergency", "moderate", "low", "none"])
@@ -213,3 +214,45 @@ def f12(spark, d):
 @query("F13_evidence_switch", sql(FEATURES, select="SELECT clip_id, CASE WHEN clip_id % 2 = 0 THEN round(min_accel, 6) END AS evidence FROM features"))
 def f13(spark, d):
     return features(spark, d).select("clip_id", F.when(F.col("clip_id") % 2 == 0, F.round("min_accel", 6)).alias("evidence"))
+
+
+def _condition(signal: str, operator: str, threshold: float, **more) -> dict:
+    return {"signal": signal, "operator": operator, "threshold": threshold, **more}
+
+
+#: The fourteen rules as the queries above apply them one by one; the last accepts two of its four classes only.
+CONFIGURED = [
+    {"id": "L01_yaw_rate_sign", "rule": "yaw_rate_sign_with_deadzone", "params": {"positive": 0.14, "negative": -0.14}},
+    {"id": "L02_threshold_event", "rule": "threshold_event", "params": _condition("accel", "less_than", -3.0)},
+    {"id": "L03_or_threshold_event", "rule": "or_threshold_event", "params": {"conditions": [_condition("jerk", "greater_than", 6.5), _condition("accel", "less_than", -3.2, how="min")], "yes": "aggressive", "no": "normal"}},
+    {"id": "L04_feature_conversion", "rule": "feature_conversion", "params": {"feature": "max_speed", "factor": 3.6, "decimals": 2}},
+    {"id": "L05_threshold_classification", "rule": "threshold_classification", "params": {"feature": "mean_speed", "threshold": 4.0, "below": "below", "above": "above"}},
+    {"id": "L06_trend", "rule": "trend_classification", "params": {"dead": 0.05}},
+    {"id": "L07_range_check", "rule": "range_check", "params": {"feature": "max_speed", "low": 10.0, "high": 13.0}},
+    {"id": "L08_dominant_axis", "rule": "dominant_axis_comparison", "params": {"ratio": 0.25}},
+    {"id": "L09_lateral_threshold", "rule": "lateral_accel_threshold", "params": {"threshold": 1.0}},
+    {"id": "L10_sequential_event", "rule": "sequential_event", "params": {"first": _condition("accel", "less_than", -2.5), "second": _condition("yaw_rate", "abs_greater_than", 0.13), "gap": (0.0, 0.45)}},
+    {"id": "L11_peak_half", "rule": "peak_half_detection", "params": {"least": 11.0}},
+    {"id": "L12_stop_and_go", "rule": "stop_and_go_detection", "params": {"stop": 1.0, "go": 6.0, "least": 5}},
+    {"id": "L13_half_comparison", "rule": "half_comparison", "params": {}},
+    {"id": "L14_multi_threshold", "rule": "multi_threshold_classification", "params": {"feature": "min_accel", "thresholds": BRAKING[0], "labels": BRAKING[1]}, "choices": ["emergency", "none"]},
+]
+
+
+def _fused() -> str:
+    """The single rules' SQL, one after the other."""
+    answer = lambda name: "printf('%.2f', answer)" if name.startswith("L04") else "answer"
+    reject = lambda q: f"coalesce({answer(q['id'])} NOT IN ({', '.join(repr(c) for c in q['choices'])}), TRUE)" if "choices" in q else "answer IS NULL"
+    return " UNION ALL ".join(f"SELECT clip_id, '{q['id']}' AS question_id, {answer(q['id'])} AS answer, {reject(q)} AS rejected FROM ({sql_of(q['id'])})" for q in CONFIGURED)
+
+
+@query("X01_fused_labels", _fused())
+def x01(spark, d):
+    """All fourteen rules by one grouping of the series, with the answers that are none of the choices marked."""
+    series = ad.series(spark, d)
+    return label_clips(series, lambda: summary_features(series), CONFIGURED).drop("evidence")
+
+
+@query("X01_rejects", f"SELECT question_id, count(*) AS clips, count(*) FILTER (WHERE rejected) AS rejected FROM ({_fused()}) GROUP BY question_id")
+def x01_rejects(spark, d):
+    return x01(spark, d).groupBy("question_id").agg(F.count("*").alias("clips"), F.count_if("rejected").alias("rejected"))

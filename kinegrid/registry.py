@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for the SQL of one that is made of it."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     """Import every module of queries once."""
     from importlib import import_module
