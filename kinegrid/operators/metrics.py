@@ -47,18 +47,36 @@ def group_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("n_oracle").alias("n"), (F.sum("tp") / F.sum("n_oracle")).alias("accuracy"), F.coalesce(F.avg(recall), F.lit(0.0)).alias("balanced_accuracy"), F.avg(f1()).alias("macro_f1"))
 
 
-def multi_group_metrics(df: DataFrame, groupings: list[str]) -> DataFrame:
-    """The metrics overall and by each of the groupings: (scope, key, ...). The pairs are counted once for all of them."""
-    pairs = df.groupBy(*groupings, "oracle", "pred").agg(F.count("*").alias("n"))
-    scopes = F.explode(F.array(F.struct(F.lit("global").alias("scope"), F.lit("").alias("key")), *[F.struct(F.lit(g).alias("scope"), F.col(g).cast("string").alias("key")) for g in groupings]))
-    cube = pairs.withColumn("g", scopes).groupBy(F.col("g.scope").alias("scope"), F.col("g.key").alias("key"), "oracle", "pred").agg(F.sum("n").alias("n"))
+def multi_group_metrics(df: DataFrame, groupings: list[str], temporal: list[str] | None = None, choices: dict[str, list[str]] | None = None) -> DataFrame:
+    """n, accuracy, balanced_accuracy and macro_f1 overall, by each of the groupings and over the temporal questions: (scope, key, ...).
+
+    The labels of a group are those that occur in it on either side; those of a question that has choices are its choices, whether they
+    occur or not: others count in n and accuracy alone. The pairs are counted once for all scopes. Groups without a row are left out, the temporal one
+    too.
+    """
+    spark = df.sparkSession
+    by = list(dict.fromkeys([*groupings, *(["question_id"] if temporal is not None or choices else [])]))
+    pairs = df.groupBy(*by, "oracle", "pred").agg(F.count("*").alias("n"))
+    scope = lambda name, key: F.struct(F.lit(name).alias("scope"), key.cast("string").alias("key"))
+    scopes = [scope("global", F.lit("")), *[scope(g, F.col(g)) for g in groupings]]
+    if temporal is not None:
+        scopes.append(F.when(F.col("question_id").isin(temporal), scope("temporal", F.lit(""))))
+    cube = pairs.withColumn("g", F.explode(F.array_compact(F.array(*scopes)))).groupBy(F.col("g.scope").alias("scope"), F.col("g.key").alias("key"), "oracle", "pred").agg(F.sum("n").alias("n"))
+    right = F.sum(F.when(F.col("oracle") == F.col("pred"), F.col("n")).otherwise(0))
+    whole = cube.groupBy("scope", "key").agg(F.sum("n").alias("n"), (right / F.sum("n")).alias("accuracy"))
     sides = F.explode(F.array(F.struct(F.col("oracle").alias("label"), F.lit(True).alias("o")), F.struct(F.col("pred").alias("label"), F.lit(False).alias("o"))))
     same = F.col("oracle") == F.col("pred")
-    counts = cube.withColumn("s", sides).groupBy("scope", "key", F.col("s.label").alias("label")).agg(
-        F.sum(F.when(same & F.col("s.o"), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("s.o"), F.col("n")).otherwise(0)).alias("n_oracle"), F.sum(F.when(~F.col("s.o"), F.col("n")).otherwise(0)).alias("n_pred")
-    )
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    counts = cube.withColumn("s", sides).groupBy("scope", "key", F.col("s.label").alias("label")).agg(total(same & F.col("s.o")).alias("tp"), total(F.col("s.o")).alias("n_oracle"), total(~F.col("s.o")).alias("n_pred"))
+    if choices:
+        listed = spark.createDataFrame([("question_id", q, label) for q, own in choices.items() for label in own], "scope string, key string, label string")
+        fixed = listed.select("scope", "key").distinct().withColumn("_fixed", F.lit(True))
+        free = counts.join(F.broadcast(fixed), ["scope", "key"], "left_anti")
+        there = F.broadcast(listed).join(whole.select("scope", "key"), ["scope", "key"])
+        counts = free.unionByName(there.join(counts, ["scope", "key", "label"], "left").na.fill(0, ["tp", "n_oracle", "n_pred"]))
     recall = F.col("tp") / F.nullif("n_oracle", F.lit(0))
-    return counts.groupBy("scope", "key").agg(F.sum("n_oracle").alias("n"), (F.sum("tp") / F.sum("n_oracle")).alias("accuracy"), F.coalesce(F.avg(recall), F.lit(0.0)).alias("balanced_accuracy"), F.avg(f1()).alias("macro_f1"))
+    scored = counts.groupBy("scope", "key").agg(F.coalesce(F.avg(recall), F.lit(0.0)).alias("balanced_accuracy"), F.avg(f1()).alias("macro_f1"))
+    return whole.join(scored, ["scope", "key"]).select("scope", "key", "n", "accuracy", "balanced_accuracy", "macro_f1")
 
 
 def confusion(df: DataFrame, labels: list[str]) -> DataFrame:

@@ -67,12 +67,22 @@ def _scope(name: str, column: str) -> str:
 _SCOPES = " UNION ALL ".join(_scope(*x) for x in (("global", "''"), ("category", "category"), ("question_id", "question_id"), ("source", "source")))
 
 
+#: Labels that count for a question; the third has none and takes those that occur.
+CHOICES = {"A": ["F", "O", "P", "X"], "N": ["O"]}
+_CHOICES = "choices AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{label}')" for q, own in CHOICES.items() for label in own) + ") c(key, label))"
+
+
 @query("A08_multi_grouping", sql(CLASSES, select=f"""
-, scoped AS ({_SCOPES}), sides AS (SELECT scope, key, oracle AS label, (oracle = pred)::INT AS hit, 1 AS o, 0 AS p FROM scoped UNION ALL SELECT scope, key, pred, 0, 0, 1 FROM scoped),
-counts AS (SELECT scope, key, label, sum(hit) AS tp, sum(o) AS n_oracle, sum(p) AS n_pred FROM sides GROUP BY scope, key, label)
-SELECT scope, key, {_ALL} FROM counts GROUP BY scope, key"""))
+, {_CHOICES}, scoped AS ({_SCOPES} UNION ALL SELECT 'temporal', '', oracle, pred FROM classes WHERE question_id IN ('N', 'R')), whole AS (SELECT scope, key, count(*) AS n, round(avg((oracle = pred)::INT), 6) AS accuracy FROM scoped GROUP BY scope, key),
+sides AS (SELECT scope, key, oracle AS label, (oracle = pred)::INT AS hit, 1 AS o, 0 AS p FROM scoped UNION ALL SELECT scope, key, pred, 0, 0, 1 FROM scoped
+  UNION ALL SELECT 'question_id', key, label, 0, 0, 0 FROM choices),
+counts AS (SELECT scope, key, label, sum(hit) AS tp, sum(o) AS n_oracle, sum(p) AS n_pred FROM sides s
+  WHERE scope <> 'question_id' OR key NOT IN (SELECT key FROM choices) OR EXISTS (SELECT 1 FROM choices c WHERE c.key = s.key AND c.label = s.label) GROUP BY scope, key, label),
+scored AS (SELECT scope, key, {_BACC}, round(avg(CASE WHEN n_oracle + n_pred > 0 THEN 2.0::DOUBLE * tp / (n_oracle + n_pred) ELSE 0 END), 6) AS macro_f1 FROM counts GROUP BY scope, key)
+SELECT scope, key, n, accuracy, coalesce(balanced_accuracy, 0) AS balanced_accuracy, macro_f1 FROM whole JOIN scored USING (scope, key)"""))
 def a08(spark, d):
-    return _rounded(m.multi_group_metrics(ad.classes(spark, d), ["category", "question_id", "source"]), "scope", "key")
+    """All scopes of an evaluation: global, temporal, by category, by question over its choices, by source."""
+    return _rounded(m.multi_group_metrics(ad.classes(spark, d), ["category", "question_id", "source"], temporal=["N", "R"], choices=CHOICES), "scope", "key")
 
 
 RULES = [

@@ -300,6 +300,71 @@ def v04(spark, d):
     return o.where("o_orderkey % 5 = 0").select("o_custkey").intersect(o.where("o_orderkey % 5 <> 0").select("o_custkey")).agg(F.count("*").alias("overlap"))
 
 
+_WHOLE_CLIPS = """
+clip AS (SELECT user_id AS clip_id, 0.0::DOUBLE AS t_start, (user_id % 4) * 800000.0::DOUBLE AS t_end, count(*) AS tokens, count(*) - (user_id % 5 = 0)::INT AS paths, CASE WHEN user_id % 9 <> 0 THEN user_id || '.npz' END AS array_ref FROM events GROUP BY user_id),
+sample AS (SELECT user_id AS clip_id, event_id AS k, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE AS ts, CASE WHEN event_id % 501 = 0 THEN 'NaN'::DOUBLE ELSE value END AS x, value AS y, CASE WHEN event_id % 400 = 7 THEN NULL ELSE value END AS yaw FROM events WHERE user_id % 13 <> 5),
+step AS (SELECT *, ts - lag(ts) OVER (PARTITION BY clip_id ORDER BY k) AS step FROM sample),
+t AS (SELECT clip_id, count(*) AS n, min(step) AS least, arg_min(ts, k) AS first, arg_max(ts, k) AS last, count(*) FILTER (WHERE NOT isfinite(x)) AS bx, count(*) FILTER (WHERE yaw IS NULL) AS byaw FROM step GROUP BY clip_id),
+f AS (SELECT user_id AS clip_id, CASE WHEN user_id % 8 = 3 THEN NULL ELSE max(value) END AS max_value FROM events WHERE user_id % 10 <> 2 GROUP BY user_id),
+j AS (SELECT clip.*, t.n, least, first, last, bx, byaw, max_value FROM clip LEFT JOIN t USING (clip_id) LEFT JOIN f USING (clip_id))"""
+
+
+@query("V02_whole_clips", sql(_WHOLE_CLIPS, select="""
+SELECT clip_id, unnest(list_filter([CASE WHEN abs(t_end - t_start - 1600000) > 1000 THEN 'duration' END, CASE WHEN t_end <= t_start THEN 'order' END, CASE WHEN tokens <> paths THEN 'frames and paths differ' END, CASE WHEN tokens < 60 THEN 'few frames' END,
+  CASE WHEN array_ref IS NULL THEN 'no array_ref' END, CASE WHEN array_ref IS NOT NULL AND n IS NULL THEN 'no array' END, CASE WHEN bx > 0 THEN 'x not finite' END, CASE WHEN byaw > 0 THEN 'yaw not finite' END, CASE WHEN n > 1 AND least <= 0 THEN 'times do not rise' END,
+  CASE WHEN abs(first) > 1000 THEN 'first time' END, CASE WHEN abs(last - first - (t_end - t_start)) > 1000 THEN 'array duration' END, CASE WHEN max_value IS NULL THEN 'feature max_value' END], lambda r: r IS NOT NULL)) AS reason FROM j"""))
+def v02_whole(spark, d):
+    """Every check of a clip: its times and frames, its arrays' values, order and duration, its features."""
+    user, event = F.col("user_id"), F.col("event_id")
+    e = table(spark, d, "events")
+    clips = e.groupBy(user.alias("clip_id")).agg(F.count("*").alias("tokens"))
+    c = F.col("clip_id")
+    clips = clips.select("clip_id", F.lit(0.0).alias("t_start"), ((c % 4) * 800000.0).alias("t_end"), "tokens", (F.col("tokens") - (c % 5 == 0).cast("int")).alias("paths"), F.when(c % 9 != 0, F.concat(c.cast("string"), F.lit(".npz"))).alias("array_ref"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ts = (micros - F.min(micros).over(Window.partitionBy("user_id"))) / 1e6
+    x, yaw = F.when(event % 501 == 0, float("nan")).otherwise(F.col("value")), F.when(event % 400 != 7, F.col("value"))
+    samples = e.select(user.alias("clip_id"), event.alias("k"), ts.alias("ts"), x.alias("x"), F.col("value").alias("y"), yaw.alias("yaw")).where("clip_id % 13 <> 5")
+    found = e.where("user_id % 10 <> 2").groupBy(user.alias("clip_id")).agg(F.max("value").alias("max_value")).withColumn("max_value", F.when(c % 8 != 3, F.col("max_value")))
+    return val.clip_violations(clips, samples, found, 1_600_000.0, 1000.0, 60)
+
+
+_ITEMS = """
+item AS (SELECT l_orderkey * 8 + l_linenumber AS line, CASE WHEN l_partkey % 50 <> 0 THEN 'q' || l_orderkey || '-' || l_suppkey END AS qa_id, l_orderkey AS clip_id, CASE WHEN l_suppkey % 40 <> 1 THEN l_returnflag END AS question_id,
+  CASE l_linenumber WHEN 1 THEN 'multiclass' WHEN 2 THEN 'binary' WHEN 3 THEN 'numeric' WHEN 4 THEN 'multiclass' WHEN 5 THEN 'numeric' ELSE 'open' END AS answer_type, CASE WHEN l_linenumber = 3 THEN l_quantity::VARCHAR ELSE l_linestatus END AS answer, CASE l_linenumber WHEN 1 THEN ['O'] WHEN 2 THEN ['F'] END AS choices FROM lineitem),
+clip AS (SELECT o_orderkey AS clip_id FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+@query("V03_items", sql(_ITEMS, select="""
+, whole AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY line) AS place FROM item WHERE qa_id IS NOT NULL AND question_id IS NOT NULL)
+SELECT line, 'no qa_id' AS reason FROM item WHERE qa_id IS NULL UNION ALL SELECT line, 'no question_id' FROM item WHERE question_id IS NULL UNION ALL SELECT line, 'duplicate' FROM whole WHERE place > 1 UNION ALL SELECT line, 'answer type' FROM whole WHERE answer_type = 'open'
+UNION ALL SELECT line, 'no choices' FROM whole WHERE answer_type = 'multiclass' AND choices IS NULL UNION ALL SELECT line, 'answer not in choices' FROM whole WHERE choices IS NOT NULL AND NOT list_contains(choices, answer)
+UNION ALL SELECT line, 'answer not a number' FROM whole WHERE answer_type = 'numeric' AND try_cast(answer AS DOUBLE) IS NULL UNION ALL SELECT line, 'unknown clip' FROM whole WHERE clip_id NOT IN (SELECT clip_id FROM clip)"""))
+def v03_items(spark, d):
+    """Every check of an item: fields, repeated ids, types, choices, numbers, references."""
+    n, l = F.col("l_linenumber"), table(spark, d, "lineitem")
+    kind = F.when(n.isin(1, 4), "multiclass").when(n == 2, "binary").when(n.isin(3, 5), "numeric").otherwise("open")
+    key = F.concat(F.lit("q"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+    items = l.select(
+        (F.col("l_orderkey") * 8 + n).alias("line"), F.when(F.col("l_partkey") % 50 != 0, key).alias("qa_id"), F.col("l_orderkey").alias("clip_id"), F.when(F.col("l_suppkey") % 40 != 1, F.col("l_returnflag")).alias("question_id"),
+        kind.alias("answer_type"), F.when(n == 3, F.col("l_quantity").cast("string")).otherwise(F.col("l_linestatus")).alias("answer"), F.when(n == 1, F.array(F.lit("O"))).when(n == 2, F.array(F.lit("F"))).alias("choices"),
+    )
+    return val.item_violations(items, table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("clip_id")))
+
+
+@query("V04_splits", """
+WITH c AS (SELECT o_custkey AS clip_id, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'val' ELSE 'test' END AS split FROM orders), i AS (SELECT c_custkey AS clip_id, CASE WHEN c_acctbal > 0 THEN 'train' ELSE 'val' END AS split FROM customer),
+ids AS (SELECT clip_id, count(DISTINCT split) AS s, count(*) AS n FROM c GROUP BY clip_id), told AS (SELECT * FROM (VALUES ('train', 100, 100), ('test', (SELECT count(*) FROM c WHERE split = 'test'), 0)) t(split, clips, items))
+SELECT 'clips in both splits' AS reason, count(*) AS n FROM ids WHERE s > 1 UNION ALL SELECT 'clips twice in a split', count(*) FROM ids WHERE n > s UNION ALL SELECT 'split is neither train nor val', count(*) FROM c WHERE split = 'test'
+UNION ALL SELECT 'items without their clip', count(*) FROM i WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.clip_id = i.clip_id AND c.split = i.split) UNION ALL SELECT 'counts differ from the metadata', 2""")
+def v04_splits(spark, d):
+    """Overlap, repeats, names, lost items and counts of written splits; the metadata is right about one split of three."""
+    status = F.col("o_orderstatus")
+    clips = table(spark, d, "orders").select(F.col("o_custkey").alias("clip_id"), F.when(status == "F", "train").when(status == "O", "val").otherwise("test").alias("split"))
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), F.when(F.col("c_acctbal") > 0, "train").otherwise("val").alias("split"))
+    told = spark.createDataFrame([("train", 100, 100)], "split string, clips long, items long").unionByName(clips.where("split = 'test'").groupBy("split").agg(F.count("*").alias("clips"), F.lit(0).cast("long").alias("items")))
+    return val.split_violations(clips, items, told)
+
+
 @query("A43_validation_summary", sql(FEATURES, select="SELECT count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE NOT ok) AS invalid FROM (SELECT max_speed < 13 AND min_accel < -2.6 AS ok FROM features)"))
 def a43(spark, d):
     ok = (F.col("max_speed") < 13) & (F.col("min_accel") < -2.6)
