@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinegrid.functions import series as fs
-from kinegrid.operators import rules
+from kinegrid.operators import conventions, rules
 from kinegrid.operators import selection as sel
 from kinegrid.operators import validation as val
 from kinegrid.operators.features import summary_features
@@ -15,6 +15,7 @@ from kinegrid.plans.prelude import ANSWERS, CLASSES, FEATURES, SERIES, TRACK, sq
 from kinegrid.registry import query
 from kinegrid.sources import adapters as ad
 from kinegrid.sources.adapters import table
+from kinegrid.sources.shared import place
 
 
 def r6(name: str, column=None):
@@ -501,10 +502,34 @@ def a24(spark, d):
     return quantiles(table(spark, d, "events"), "value", {"median": 0.5, "p95": 0.95}, by=("event_type",), between=False)
 
 
-@query("A29_sign_convention", sql(SERIES, select=", g AS (SELECT clip_id, avg(yaw_rate) AS m, arg_max(speed, i) - arg_min(speed, i) AS dd, max(abs(yaw_rate)) AS a FROM series GROUP BY clip_id), t AS (SELECT * FROM g ORDER BY a DESC, clip_id LIMIT 50) SELECT count(*) AS n, count(*) FILTER (WHERE sign(m) = sign(dd)) AS agree FROM t"))
+_SIGNS = """
+, g AS (SELECT clip_id, avg(yaw_rate) AS rate, sum(yaw_rate * 0.1) - arg_min(yaw_rate, i) * 0.1 AS turned, max(abs(yaw_rate)) AS most, min(accel) AS least, avg(accel) AS mean, arg_max(speed, i) - arg_min(speed, i) AS gained FROM series GROUP BY clip_id),
+t AS (SELECT * FROM g ORDER BY most DESC, clip_id LIMIT 50), b AS (SELECT * FROM g ORDER BY least, clip_id LIMIT 20),
+n AS (SELECT 'turning' AS convention, count(*) AS n, count(*) FILTER (WHERE sign(rate) = sign(turned)) AS agree, count(*) FILTER (WHERE sign(rate) <> sign(turned)) AS differ FROM t
+  UNION ALL SELECT 'braking', count(*), count(*) FILTER (WHERE mean < 0 AND gained < 0), count(*) FILTER (WHERE mean < 0 AND gained > 0) FROM b),
+signs AS (SELECT *, CASE WHEN convention = 'braking' AND agree = 0 THEN 'insufficient_data' WHEN agree::DOUBLE / (agree + differ) > CASE convention WHEN 'turning' THEN 0.9 ELSE 0.7 END THEN 'correct' ELSE 'inconsistent' END AS verdict FROM n)
+"""
+
+
+def _heading(spark, d):
+    """The series with its heading: the yaw rate summed up over the samples."""
+    w = Window.partitionBy("clip_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ad.series(spark, d).withColumn("yaw", F.sum(F.col("yaw_rate") * 0.1).over(w))
+
+
+@query("A29_sign_convention", sql(SERIES, select=_SIGNS + "SELECT * FROM signs"))
 def a29(spark, d):
-    g = ad.series(spark, d).groupBy("clip_id").agg(F.avg("yaw_rate").alias("m"), (F.max_by("speed", "i") - F.min_by("speed", "i")).alias("dd"), F.max(F.abs("yaw_rate")).alias("a"))
-    return g.orderBy(F.desc("a"), "clip_id").limit(50).agg(F.count("*").alias("n"), F.count_if(F.signum("m") == F.signum("dd")).alias("agree"))
+    """Both checks with their verdicts."""
+    return conventions.sign_report(_heading(spark, d))
+
+
+@query("K09_sign_report", sql(SERIES, select=_SIGNS + """SELECT '# Sign conventions' || chr(10) || chr(10) || '| convention | clips | agree | differ | verdict |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| ' || convention || ' | ' || n || ' | ' || agree || ' | ' || differ || ' | ' || verdict || ' |', chr(10) ORDER BY convention)
+  || chr(10) || chr(10) || CASE WHEN bool_and(verdict = 'correct') THEN 'No fix is needed.' ELSE 'To be looked into.' END AS report FROM signs"""))
+def k09_signs(spark, d):
+    """The report of both checks, written as text and read again."""
+    path = place(spark, "report")
+    conventions.as_report(conventions.sign_report(_heading(spark, d))).write.text(path)
+    return spark.read.text(path, wholetext=True).select(F.rtrim(F.regexp_replace("value", "\\n$", "")).alias("report"))
 
 
 @query("A30_equal_frequency", sql(FEATURES, select=", q AS (SELECT quantile_cont(min_accel, 0.25) AS a, quantile_cont(min_accel, 0.5) AS b, quantile_cont(min_accel, 0.75) AS c FROM features) SELECT CASE WHEN min_accel < a THEN 0 WHEN min_accel < b THEN 1 WHEN min_accel < c THEN 2 ELSE 3 END AS class, count(*) AS n FROM features, q GROUP BY class"))
@@ -532,6 +557,40 @@ def a32(spark, d):
     return e.withColumn("cyc", F.col("go") & ~F.coalesce(before, F.lit(True))).groupBy("stop").agg(F.sum(F.col("cyc").cast("int")).cast("long").alias("cycles"))
 
 
+@query("A32_sequence_rates", sql(SERIES, select="""
+, p AS (SELECT a.clip_id, min(a.t) AS t1, arg_min(b.t, a.t * 1e6 + b.t) - min(a.t) AS gap FROM series a JOIN series b ON a.clip_id = b.clip_id AND b.t BETWEEN a.t + 1e-6 AND a.t + 1.45 WHERE a.accel < -2.5 AND abs(b.yaw_rate) > 0.13 GROUP BY a.clip_id),
+c AS (SELECT clip_id, bool_or(accel < -2.5) AS a, bool_or(abs(yaw_rate) > 0.13) AS b FROM series GROUP BY clip_id)
+SELECT count(*) AS clips, count(*) FILTER (WHERE a) AS with_first, count(*) FILTER (WHERE b) AS with_second, count(gap) AS with_sequence, round(min(gap), 6) AS least, round(avg(gap), 6) AS mean, round(max(gap), 6) AS most FROM c LEFT JOIN p USING (clip_id)"""))
+def a32_sequence(spark, d):
+    """How many clips have each event, both in sequence, and the gaps."""
+    s = ad.series(spark, d)
+    first, second = {"signal": "accel", "operator": "less_than", "threshold": -2.5}, {"signal": "yaw_rate", "operator": "abs_greater_than", "threshold": 0.13}
+    found = rules.sequential_event(s, first, second, (0.0, 1.45))
+    out = conventions.event_rates(s, found, F.col("accel") < -2.5, F.abs("yaw_rate") > 0.13)
+    return out.select("clips", "with_first", "with_second", "with_sequence", r6("least"), r6("mean"), r6("most"))
+
+
+@query("A32_stop_table", sql(SERIES, select="""
+, c AS (SELECT clip_id, q.stop, i, speed > 6 AS go FROM series CROSS JOIN (VALUES (0.3::DOUBLE), (0.5), (0.8), (1.0), (1.5)) q(stop) WHERE speed < q.stop OR speed > 6), k AS (SELECT clip_id, stop, go AND NOT coalesce(lag(go) OVER (PARTITION BY clip_id, stop ORDER BY i), TRUE) AS cyc FROM c),
+n AS (SELECT clip_id, stop, sum(cyc::INT) AS cycles FROM k GROUP BY clip_id, stop) SELECT q.stop, count(n.clip_id) AS yes, (SELECT count(DISTINCT clip_id) FROM series) - count(n.clip_id) AS no FROM (VALUES (0.3::DOUBLE), (0.5), (0.8), (1.0), (1.5)) q(stop) LEFT JOIN n ON n.stop = q.stop AND n.cycles >= 3 GROUP BY q.stop"""))
+def a32_stops(spark, d):
+    return conventions.stop_table(ad.series(spark, d), [0.3, 0.5, 0.8, 1.0, 1.5], 6.0, 3)
+
+
+@query("A32_similarity", sql(SERIES, select="""
+, m AS (SELECT clip_id, sqrt(avg(CASE WHEN i < 32 THEN accel * accel END)) AS a, sqrt(avg(CASE WHEN i >= 32 THEN accel * accel END)) AS b FROM series GROUP BY clip_id), r AS (SELECT *, abs(a - b) / greatest(a, b, 1e-9) AS r FROM m)
+SELECT q.t AS threshold, count(*) FILTER (WHERE r < q.t) AS similar, count(*) FILTER (WHERE r >= q.t AND a > b) AS first, count(*) FILTER (WHERE r >= q.t AND a <= b) AS second FROM r CROSS JOIN (VALUES (0.05::DOUBLE), (0.1), (0.15), (0.2), (0.25), (0.3), (0.4), (0.5)) q(t) GROUP BY q.t"""))
+def a32_similarity(spark, d):
+    return conventions.similarity_table(rules.half_comparison(ad.series(spark, d)), [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5])
+
+
+@query("A32_ratio", sql(SERIES, select="""
+, m AS (SELECT clip_id, sqrt(avg(accel * accel)) AS a, sqrt(avg(pow(speed * abs(yaw_rate), 2))) AS l FROM series GROUP BY clip_id)
+SELECT q.t AS threshold, count(*) FILTER (WHERE l / a <= q.t) AS longitudinal, count(*) FILTER (WHERE l / a > q.t) AS lateral FROM m CROSS JOIN (VALUES (0.15::DOUBLE), (0.2), (0.25), (0.3), (0.5), (1.0)) q(t) WHERE a > 1e-9 GROUP BY q.t"""))
+def a32_ratio(spark, d):
+    return conventions.ratio_table(rules.dominant_axis(ad.series(spark, d)), [0.15, 0.2, 0.25, 0.3, 0.5, 1.0])
+
+
 @query("A38_split_report", sql(ANSWERS, select="SELECT question_id, answer, count(*) FILTER (WHERE clip_id % 5 <> 0) AS train, count(*) FILTER (WHERE clip_id % 5 = 0) AS val FROM answers GROUP BY question_id, answer"))
 def a38(spark, d):
     s = ad.answers(spark, d).withColumn("split", F.when(F.col("clip_id") % 5 == 0, "val").otherwise("train"))
