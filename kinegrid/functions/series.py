@@ -84,12 +84,25 @@ def with_unwrapped(df: DataFrame, angle: str, name: str, order: str = "i") -> Da
     return turned.withColumn(name, F.col(angle) + total).drop("_turn")
 
 
-def uniform_grid(tracks: DataFrame, hz: float = 10.0) -> DataFrame:
-    """clip_id, i, t: ceil(duration * hz) + 1 samples from the first to the last time, both included."""
+#: Samples of a clip's grid at most: over a day at ten a second. A clip beyond has a wrong time, and over_long names it.
+MOST_SAMPLES = 1_000_000
+
+
+def _spans(tracks: DataFrame, hz: float) -> DataFrame:
     ends = tracks.groupBy("clip_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    n = F.ceil((F.col("t1") - F.col("t0")) * hz) + 1
-    rows = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    return ends.withColumn("n", n).where("t1 > t0").select("clip_id", rows.alias("i"), "t0", "t1", "n").select("clip_id", "i", (F.col("t0") + F.col("i") * (F.col("t1") - F.col("t0")) / (F.col("n") - 1)).alias("t"))
+    return ends.withColumn("n", F.ceil((F.col("t1") - F.col("t0")) * hz) + 1)
+
+
+def uniform_grid(tracks: DataFrame, hz: float = 10.0, most: int = MOST_SAMPLES) -> DataFrame:
+    """clip_id, i, t: ceil(duration * hz) + 1 samples from the first to the last time, both included. Clips of more than `most` samples get none."""
+    rows = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    kept = _spans(tracks, hz).where((F.col("t1") > F.col("t0")) & (F.col("n") <= most))
+    return kept.select("clip_id", rows.alias("i"), "t0", "t1", "n").select("clip_id", "i", (F.col("t0") + F.col("i") * (F.col("t1") - F.col("t0")) / (F.col("n") - 1)).alias("t"))
+
+
+def over_long(tracks: DataFrame, hz: float = 10.0, most: int = MOST_SAMPLES) -> DataFrame:
+    """clip_id, t0, t1 and n of the clips that uniform_grid leaves out."""
+    return _spans(tracks, hz).where(F.col("n") > most)
 
 
 def resample(tracks: DataFrame, grid: DataFrame, values: list[str]) -> DataFrame:

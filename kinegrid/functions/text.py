@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinegrid.functions.series import let
+
 #: Line ends that end a line of an answer.
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -45,8 +47,12 @@ def exact_match(text: Column, choices: list[str]) -> Column:
 
 def parse_choice(answer: Column, choices: list[str]) -> Column:
     """The choice an answer names: exactly, on its last line, or anywhere; null if blank or none."""
-    text, last = normalise(answer), normalise(last_line(answer))
-    return F.when(text != "", F.coalesce(exact_match(text, choices), exact_match(last, choices), whole_word_match(last, choices), whole_word_match(text, choices)))
+
+    def choose(s: Column) -> Column:
+        text, last = s["text"], s["last"]
+        return F.when(text != "", F.coalesce(exact_match(text, choices), exact_match(last, choices), whole_word_match(last, choices), whole_word_match(text, choices)))
+
+    return let(F.struct(normalise(answer).alias("text"), normalise(last_line(answer)).alias("last")), choose)
 
 
 def first_number(text: Column) -> Column:

@@ -163,3 +163,10 @@ def test_a_clip_of_a_million_samples_and_an_open_gap(spark):
     r = sequential_event(clip, first, second, (0.0, float("inf"))).first()
     assert (r.answer, r.first_t) == ("yes", 1.0) and r.gap == pytest.approx(99998.0)
     assert sequential_event(clip, first, second, (0.0, 99997.0)).first().answer == "no"
+
+
+def test_a_wrong_time_makes_no_endless_grid(spark):
+    from kinegrid.functions.series import over_long, uniform_grid
+
+    tracks = spark.createDataFrame([(1, 0.0), (1, 2.0), (2, 0.0), (2, 1e12)], "clip_id long, ts double")
+    assert {r.clip_id for r in uniform_grid(tracks).collect()} == {1} and [r.clip_id for r in over_long(tracks).collect()] == [2]
