@@ -112,8 +112,8 @@ def _aligned(pairs: DataFrame, lines: DataFrame, fan: int) -> DataFrame:
             columns = [pa.array([f[n] for f in found], t) for n, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "gone", "hit"])
 
-    counts = pairs.groupBy("first_k").agg(F.ceil(F.count("*") / fan).alias("tasks"))
-    hot = cut(counts.where("tasks > 1"), "hot")
+    counts = cut(pairs.groupBy("first_k").agg(F.ceil(F.count("*") / fan).alias("tasks")), "fans")
+    hot = counts.where("tasks > 1")
     hot = F.broadcast(hot) if hot.count() <= SENT_FIRSTS else hot
     dealt = pairs.join(hot, "first_k", "left").select("k", "first_k", F.coalesce(F.pmod(F.xxhash64("k", "first_k"), F.col("tasks")), F.lit(0)).alias("task"))
     later = dealt.join(lines, "k").select("first_k", "task", F.lit(True).alias("later"), "k", "lines")
@@ -134,8 +134,11 @@ def line_deletions(lined: DataFrame, fan: int = FAN, rare: int = RARE) -> DataFr
     def left_after(waiting: DataFrame, pairs: DataFrame) -> DataFrame:
         """The shared lines (k, line, ...) that aligning the pairs that are new has not deleted anywhere."""
         new = pairs.select("k", "first_k").distinct()
-        for t in tried:
-            new = new.join(t, ["k", "first_k"], "left_anti")
+        if tried:
+            before = tried[0]
+            for t in tried[1:]:
+                before = before.unionByName(t)
+            new = new.join(before, ["k", "first_k"], "left_anti")
         tried.append(cut(new, "pairs"))
         parts.append(cut(_aligned(tried[-1], lines, fan), "aligned"))
         hit = parts[-1].select("k", F.explode("hit").alias("line"))
