@@ -59,15 +59,34 @@ def first_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, f"({NUMBER})", 1), F.lit(""))
 
 
+def fixed(number: Column, decimals: int) -> Column:
+    """A double with so many decimals, as printf does: the exact binary value is rounded, a tie to the even digit; nan, inf, and null for null.
+
+    format_string rounds the shortest decimal text half up (1.005 to 1.01). format_number rounds the binary value, but writes zeros where that
+    text ends, so it gets the part after the point alone. Whole parts from 2^63 up have the digits of that text.
+    """
+
+    def written(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.floor(size)
+        part = F.call_function("format_number", size - whole.cast("double"), F.lit("0." + "0" * decimals))
+        digits = F.concat((whole + F.left(part, F.lit(1)).cast("long")).cast("string"), F.substring(part, 2, decimals + 1)) if decimals else F.bround(size).cast("long").cast("string")
+        near = F.concat(F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise(""), digits)
+        odd = F.when(F.isnan(v), "nan").when(size == float("inf"), F.when(v > 0, "inf").otherwise("-inf"))
+        return F.when(v.isNotNull(), F.coalesce(odd, F.when(size < 2.0**63, near), F.format_string(f"%.{decimals}f", v)))
+
+    return let(number.cast("double"), written)
+
+
 def short_number(value: Column) -> Column:
     """Six significant digits without closing zeros, an exponent outside 1e-4 to 1e6; the text itself if it is no number."""
     number = value.try_cast("double")
-    rounded = F.format_string("%.5e", number)
-    mantissa, exponent = F.split_part(rounded, F.lit("e"), F.lit(1)), F.split_part(rounded, F.lit("e"), F.lit(2)).cast("int")
+    rounded = F.lower(F.call_function("format_number", number, F.lit("0.00000E0")))
+    mantissa, exponent = F.split_part(rounded, F.lit("e"), F.lit(1)), F.split_part(rounded, F.lit("e"), F.lit(2)).try_cast("int")
     bare = F.regexp_replace(F.regexp_replace(mantissa, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded.try_cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     wide = F.concat(bare, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when(number.isNull(), value).when((exponent < -4) | (exponent >= 6), wide).otherwise(plain)
+    return F.when(exponent.isNull(), value).when((exponent < -4) | (exponent >= 6), wide).otherwise(plain)
 
 
 def without_thoughts(text: Column) -> Column:

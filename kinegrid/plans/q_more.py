@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinegrid.functions import series as fs
+from kinegrid.functions import text as tx
 from kinegrid.operators import chains, rules
 from kinegrid.operators import metrics as m
 from kinegrid.operators.calibration import calibrate
@@ -204,8 +205,9 @@ def f06(spark, d):
 def p15(spark, d):
     w = fs.clip_window("k")
     rows = ad.track(spark, d).select("clip_id", "k", (F.col("x") - F.first("x").over(w)).alias("x"), (F.col("y") - F.first("y").over(w)).alias("y")).where("k < 5")
-    whole = rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s"))
-    return whole.select("clip_id", F.array_join(F.transform("s", lambda p: F.format_string("(%.2f, %.2f)", p["x"], p["y"])), " ").alias("text"))
+    points = rows.select("clip_id", "k", F.concat(F.lit("("), tx.fixed(F.col("x"), 2), F.lit(", "), tx.fixed(F.col("y"), 2), F.lit(")")).alias("point"))
+    whole = points.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("k", "point")))).alias("s"))
+    return whole.select("clip_id", F.when(F.size("s") > 0, F.array_join("s.point", " ")).alias("text"))
 
 
 @query("P23_text_report", sql(CLASSES, select="SELECT model, printf('%-8s n=%d', model, count(*)) AS line FROM classes GROUP BY model"))

@@ -98,7 +98,7 @@ def p12(spark, d):
 def p13(spark, d):
     from kinegrid.plans.q_rules import features
 
-    return features(spark, d).select("clip_id", F.format_string("Max speed: %.1f km/h; peak braking: %.2f m/s2", F.col("max_speed") * 3.6, F.col("min_accel")).alias("text"))
+    return features(spark, d).select("clip_id", F.concat(F.lit("Max speed: "), tx.fixed(F.col("max_speed") * 3.6, 1), F.lit(" km/h; peak braking: "), tx.fixed(F.col("min_accel"), 2), F.lit(" m/s2")).alias("text"))
 
 
 @query("P14_series_text", sql(SERIES, select="SELECT clip_id, 't: ' || string_agg(printf('%.1f', t), ', ' ORDER BY i) AS text FROM series WHERE i IN (0, 9, 18, 27, 36, 45, 54, 63) GROUP BY clip_id"))
@@ -106,7 +106,7 @@ def p14(spark, d):
     from kinegrid.functions.series import even_picks
 
     whole = ad.series(spark, d).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("s"))
-    picked = F.transform(even_picks(F.size("s"), 8), lambda k: F.format_string("%.1f", F.element_at(F.col("s.t"), (k + 1).cast("int"))))
+    picked = F.transform(even_picks(F.size("s"), 8), lambda k: tx.fixed(F.element_at(F.col("s.t"), (k + 1).cast("int")), 1))
     return whole.select("clip_id", F.concat(F.lit("t: "), F.array_join(picked, ", ")).alias("text"))
 
 

@@ -66,3 +66,32 @@ def test_consistency_by_hand(spark):
     got = m.consistency(answers, rules).first()
     assert abs(got.rate - (1 - len(broken) / len(touched))) < 1e-3
     assert abs(got.mean_violations - sum(given[c, y] != v for c, _, y, v in fired) / len(touched)) < 1e-3
+
+
+def test_decimals_are_those_of_the_binary_value(spark):
+    values = [0.0, -0.0, -0.001, 1.005, 0.125, 0.345, -2.675, 0.995, 9.9999, 7e14 + 0.125, 2.0**62, 5e17 + 3, 1e-300, float("inf"), float("-inf"), float("nan"), 0.25, 123456789.005, 143.5, 144.5]
+    values += [k / 1000 for k in range(-1005, 1005, 10)] + [a / 100 - b / 100 for a in range(0, 9000, 125) for b in (10_003.36, 77.77)]
+    for decimals in (0, 1, 2):
+        got = [r.t for r in spark.createDataFrame(list(enumerate(values)), "k int, v double").select("k", tx.fixed(F.col("v"), decimals).alias("t")).orderBy("k").collect()]
+        assert got == [f"{v:.{decimals}f}" for v in values]
+    assert spark.range(1).select(tx.fixed(F.lit(None).cast("double"), 2).alias("t")).first().t is None
+    texts = ["1.0000005", "2.5000015", "0.00012345650", "143.0625", "-7.25", "Infinity", "word", None]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "k int, v string").select("k", tx.short_number(F.col("v")).alias("t")).orderBy("k").collect()]
+    assert got == [f"{float(t):g}" for t in texts[:5]] + ["Infinity", "word", None]
+
+
+def test_coordinates_equal_sql_at_ties_and_gaps(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from kinegrid import registry
+
+    rows = [(k, u, v) for k, (u, v) in enumerate((u, v) for u, track in enumerate([[0.0, 1.005, 0.125, 4.65, 5.85, 9.0], [0.345, 1.35, None, 2.0], [None, 1.0], [3.0]]) for v in track)]
+    start = datetime.datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(k, start + datetime.timedelta(seconds=k), u, "click", v) for k, u, v in rows], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["P15_coordinates_text"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["P15_coordinates_text"](spark, str(tmp_path)).collect())) == sorted(want)
