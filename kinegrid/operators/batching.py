@@ -88,6 +88,15 @@ def next_fit(df: DataFrame, order: list, size: Column, most_bytes: int, most_row
     return placed.withColumn("batch", F.coalesce("_open", F.col("_first") - 1)).select(*df.columns, "batch")
 
 
+def bodies(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """batch and body: what each file of next_fit holds, its rows as JSON lines in the order of the columns.
+
+    A record for each file keeps millions of small files in a few large ones; a body is bounded as a file is, and an uploader takes records as they are.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    return placed.groupBy("batch").agg(F.array_join(F.transform(rows, lambda x: F.to_json(x)), "\n").alias("body"))
+
+
 def in_sequence(sizes: Iterator[int], most_bytes: int, most_rows: int) -> list[int]:
     """The rule itself, one row after the other: the file of each."""
     out, file, held, count = [], 0, 0, 0

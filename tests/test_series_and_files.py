@@ -88,3 +88,17 @@ def test_logs_share_files(spark, sf, tmp_path, monkeypatch):
 
     monkeypatch.setattr(q_files, "place", lambda spark, name: f"file://{tmp_path}/{name}")
     assert q_files.s06(spark, sf).count() == 15 and 0 < len(written(tmp_path / "logs")) <= 8
+
+
+def test_request_files_are_records(spark, sf, tmp_path, monkeypatch):
+    import json
+
+    from kinegrid.plans import q_files
+
+    monkeypatch.setattr(q_files, "place", lambda spark, name: f"file://{tmp_path}/{name}")
+    counted = {r.batch: (r.requests, r.bytes) for r in q_files.k10_sizes(spark, sf).collect()}
+    assert len(counted) > 40 and 0 < len(written(tmp_path / "requests")) <= 8
+    held = {r.batch: [json.loads(x) for x in r.body.split("\n")] for r in spark.read.parquet(f"{tmp_path}/requests").collect()}
+    assert {k: (len(v), sum(len(x["line"]) for x in v)) for k, v in held.items()} == counted
+    in_order = [x["id"] for k in sorted(held) for x in held[k]]
+    assert in_order == sorted(in_order) == [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").orderBy("o_orderkey").collect()]
