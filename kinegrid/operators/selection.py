@@ -158,3 +158,16 @@ def normalised_entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
     g = counts.withColumn("_p", p).groupBy(*keys).agg(F.sum(-F.col("_p") * F.log("_p")).alias("_h"), F.count("*").alias("_k"))
     return g.select(*keys, F.when(F.col("_k") <= 1, 0.0).otherwise(F.col("_h") / F.log(F.col("_k").cast("double"))).alias("entropy"))
+
+
+def least_digests(df: DataFrame, group: str, digest: Column, k: int) -> DataFrame:
+    """The rows of df that can be among a group's k least distinct digests (hexadecimal, nulls last): a few more than those, all of a group with fewer digests.
+
+    Rows fall into 4,096 slots by digits that do not decide the order. Digests of different slots differ, so the k-th least of the slots' least ones
+    bounds the k least of all. Only the slots are held and sent, a number each; no task puts its rows in order.
+    """
+    most = F.lit((1 << 63) - 1)
+    rows = df.withColumns({"_at": F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), most), "_slot": F.coalesce(F.conv(F.substring(digest, 16, 3), 16, 10).cast("int"), F.lit(-1))})
+    least = rows.groupBy(group, "_slot").agg(F.min("_at").alias("_at")).groupBy(F.col(group).alias("_group")).agg(F.sort_array(F.collect_list("_at")).alias("_least"))
+    bounds = least.select("_group", F.coalesce(F.try_element_at("_least", F.lit(k)), most).alias("_bound"))
+    return rows.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_group"))).where("_at <= _bound").select(*df.columns)

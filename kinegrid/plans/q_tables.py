@@ -391,9 +391,10 @@ def w07(spark, d):
 
 @query("W09_sample_per_group", sql(CLASSES, select="SELECT model, clip_id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5(clip_id::VARCHAR || question_id), clip_id, question_id) AS k FROM (SELECT DISTINCT model, clip_id, question_id FROM classes WHERE oracle <> pred)) WHERE k <= 5"))
 def w09(spark, d):
-    wrong = ad.classes(spark, d).where("oracle <> pred").select("model", "clip_id", "question_id").distinct()
-    k = F.row_number().over(Window.partitionBy("model").orderBy(F.md5(F.concat(F.col("clip_id").cast("string"), "question_id")), "clip_id", "question_id"))
-    return wrong.withColumn("k", k).where("k <= 5").drop("k")
+    wrong = ad.classes(spark, d).where("oracle <> pred").select("model", "clip_id", "question_id")
+    digest = F.md5(F.concat(F.col("clip_id").cast("string"), "question_id"))
+    k = F.row_number().over(Window.partitionBy("model").orderBy(*(c.asc_nulls_last() for c in (digest, F.col("clip_id"), F.col("question_id")))))
+    return sel.least_digests(wrong, "model", digest, 5).distinct().withColumn("k", k).where("k <= 5").drop("k")
 
 
 @query("W10_preferred_order", "SELECT event_type, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 9 END, event_type) AS place FROM (SELECT DISTINCT event_type FROM events)")

@@ -77,3 +77,21 @@ def test_a_store_is_read_by_folder_and_a_replay_adds_nothing(spark, tmp_path):
     items = spark.createDataFrame([(1, "q3"), (1, "q4"), (1, "q5"), (2, "q6"), (2, "new"), (99, "other")], schema)
     assert sorted((r.clip_id, r.qa_id) for r in incremental.open_groups(items, out, buckets=16).collect()) == [(2, "new"), (2, "q6"), (99, "other")]
     assert incremental.open_groups(items, str(tmp_path / "none")).count() == 6
+
+
+def test_least_digests_hold_the_least_of_each_group(spark):
+    import hashlib
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kinegrid.operators.selection import least_digests
+
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), str(draw.randrange(4000))) for _ in range(6000)] + [("few", "1"), ("few", "1"), ("few", None), ("one", None)]
+    got = least_digests(spark.createDataFrame(rows, "model string, v string"), "model", F.md5("v"), 5).collect()
+    order = lambda v: (v is None, hashlib.md5((v or "").encode()).hexdigest())
+    for group in ("a", "b", None, "few", "one"):
+        least = lambda found: sorted({v for g, v in found if g == group}, key=order)[:5]
+        assert least(map(tuple, got)) == least(rows)
+    assert len(got) < 100
