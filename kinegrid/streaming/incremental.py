@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,13 +50,19 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "qa_id"
     place = by or key
 
     def add(batch: DataFrame, epoch: int) -> None:
-        same = [key] if place == key else [place, key]
+        same = ["bucket", key] if place == key else ["bucket", place, key]
         named = (F.col(key).isNotNull()) & (F.col(key).cast("string") != "")
-        new = batch.where(named).dropDuplicates(same).unionByName(batch.where(~named))  # an item without a key is never skipped
-        stored = touched(new, path, place, buckets)
+        rest = [c for c in batch.columns if c not in same]
+        whole = (F.struct(*rest) if rest else F.lit(None)).alias("_rest")
+        rows = _bucketed(batch.withColumn("_own", F.when(~named, F.monotonically_increasing_id())), place, buckets)  # an item without a key is never skipped
+        rows = rows.select(*same, "_own", whole, F.lit(False).alias("_stored"))
+        stored = touched(batch, path, place, buckets)
         if stored is not None:
-            new = new.join(stored.select(*same).distinct(), same, "left_anti")
-        store(new, path, place, buckets)
+            rows = rows.unionByName(stored.where(named).select(*same, F.lit(True).alias("_stored")), allowMissingColumns=True)
+        # Dealt once, by the folder; a join would deal both sides again by all keys.
+        found = rows.repartition("bucket").groupBy(*same, "_own").agg(F.bool_or("_stored").alias("_stored"), *([F.first("_rest", ignorenulls=True).alias("_rest")] if rest else []))
+        new = found.where("NOT _stored").select(*[F.col(f"_rest.{c}") if c in rest else c for c in batch.columns], "bucket")
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,9 +72,12 @@ def open_groups(items: DataFrame, path: str, group: str = "clip_id", key: str =
     stored = touched(items, path, group, buckets)
     if stored is None:
         return items
-    held = stored.select(group, key).distinct().withColumn("_held", F.lit(True))
-    lacking = items.join(held, [group, key], "left").groupBy(group).agg(F.bool_and(F.coalesce("_held", F.lit(False))).alias("_all")).where("NOT _all")
-    return items.join(lacking.select(group), group, "left_semi")
+    asked = items.where(F.col(group).isNotNull()).select(*items.columns, F.lit(False).alias("_stored"))
+    # Dealt once, by group, for the verdict on keys and on groups; a join would deal both sides again by both keys.
+    both = asked.unionByName(stored.select(group, key, F.lit(True).alias("_stored")), allowMissingColumns=True).repartition(group)
+    held = F.col(key).isNotNull() & F.bool_or("_stored").over(Window.partitionBy(group, key))
+    marked = both.withColumn("_held", held).withColumn("_all", F.bool_and(F.col("_stored") | F.col("_held")).over(Window.partitionBy(group)))
+    return marked.where("NOT _all AND NOT _stored").select(*items.columns)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

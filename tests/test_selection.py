@@ -95,3 +95,17 @@ def test_least_digests_hold_the_least_of_each_group(spark):
         least = lambda found: sorted({v for g, v in found if g == group}, key=order)[:5]
         assert least(map(tuple, got)) == least(rows)
     assert len(got) < 100
+
+
+def test_open_groups_deals_rows_once(spark, tmp_path):
+    from kinegrid.streaming import incremental
+
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None)], "clip_id long, qa_id string")
+    incremental.store(items.where("qa_id = 'a' OR qa_id = 'c'"), f"file://{tmp_path}/s", by="clip_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = incremental.open_groups(items, f"file://{tmp_path}/s")
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted((r.clip_id, r.qa_id or "") for r in found.collect()) == [(1, "a"), (1, "b"), (3, "")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
