@@ -27,13 +27,17 @@ from pyspark.sql import functions as F
 from kinegrid.llm.common import in_tasks, large, scratch_path, table
 
 BLOCK_IDS = 1 << 16
-#: Distinct words whose ids a task keeps: those met last.
+#: Distinct words whose ids a task keeps; beyond them it begins anew.
 KEPT_WORDS = 250_000
 #: Bytes of text encoded at a time; the work arrays take about 50 times as much.
 CHUNK = 512 << 10
 OTHER, LETTER, SPACE, UNSURE = range(4)
-_BYTE = np.random.default_rng(10_050).integers(0, 1 << 63, 256, dtype=np.uint64)
-_FACTOR = 0x9E3779B97F4A7C15
+#: Words up to this many bytes are looked up as two numbers of 64 bits, which hold their bytes and their size.
+SHORT = 15
+_FIRST = np.tril(np.full((SHORT + 1, 16), 255, np.uint8), -1)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Bytes of words that the pre-tokenizer may cut further: digits, fractions and contractions.
+_MIXED = np.isin(np.arange(256), [*b"0123456789'\xc2"])
 
 
 def _kinds() -> np.ndarray:
@@ -45,6 +49,15 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
+def _byte_level() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    seen = [x for x in range(256) if 33 <= x <= 126 or 161 <= x != 173]
+    return np.array([x if x in seen else 256 + x - sum(y < x for y in seen) for x in range(256)], "<u2")
+
+
+_CHARACTER = _byte_level()
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -112,14 +125,21 @@ def word_starts(data: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> np.nd
     return np.flatnonzero(new)
 
 
+def _numbers(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words of at most SHORT bytes as two numbers each, different for different words."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(16, np.uint8)), 16)[starts] & _FIRST[sizes]
+    rows[:, SHORT] = sizes
+    return np.ascontiguousarray(rows.view("<u8").T)
+
+
 class Encoder:
     """Encodes texts through the ids of their distinct words, as the byte-level pre-tokenizer cuts them.
 
-    Byte-pair merges never cross these words, so a text's ids are those of its words, one after the other. A chunk's distinct
-    words are found by a hash and compared by bytes. The library encodes many new words in one text, where the token of a
-    leading space, or of a line feed put between, marks the next word. The ids are kept in two generations: when the recent one
-    is full it becomes the older one, and what was not met since is forgotten. Texts with other characters than _KIND is sure
-    of, or with a special token, go to the library as a whole.
+    Byte-pair merges never cross these words, so a text's ids are those of its words, one after the other. Words are looked up
+    by their bytes, short ones many at a time in a table of slots, and the library encodes the new ones: its model takes those
+    that are one piece for the pre-tokenizer, the others go in one text, where the token of a leading space, or of a line feed
+    put between, marks the next word. When enough words are kept, all are forgotten. Texts with other characters than _KIND is
+    sure of, or with a special token, go to the library as a whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -127,22 +147,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.bits = bits_for(self.library.get_vocab_size())
         self.spaced = np.zeros(1 << self.bits, bool)
         for token, at in self.library.get_vocab().items():
             self.spaced[at] = token.startswith("\u0120")
         self.feed = self._ids(["\n"])[0][0]
-        self.most, self.recent, self.older = kept, {}, {}
+        self.most = kept
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words kept; the vocabulary stays. What is dropped takes no memory, and none is sent to the tasks with a driver's encoder."""
+        self.slots = self.words = self.places = self.sizes = self.ids = None
+        self.long = {}
+        self.count = self.filled = 0
+
+    def _begin(self) -> None:
+        """Room for the words to be kept; memory is taken as words come."""
+        self.forget()
+        most = self.most + CHUNK // 2 + 256  # a chunk has no more distinct words than this adds
+        self.slot_bits = most.bit_length() + 1
+        self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+        self.words, self.ids = np.empty((2, most), np.uint64), np.empty(4 * most, "<u4")
+        self.places, self.sizes = np.empty(most, np.int64), np.empty(most, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        blank = [w.isspace() for w in words]
-        alone = [w for w, b in zip(words, blank, strict=True) if b]
+    def _pieces(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of words that are one piece each, and how many each has."""
+        text = _CHARACTER[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-16-le")
+        ids, counts, at = [], [], 0
+        for size in map(len, words):
+            found = self.model.tokenize(text[at : at + size])
+            ids += [t.id for t in found]
+            counts.append(len(found))
+            at += size
+        return ids, counts
+
+    def _mixed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of any words, and how many each has."""
+        got, alone = {}, []
         for spaced in (True, False):
-            kind = [w for w, b in zip(words, blank, strict=True) if not b and (w[0] == 32) == spaced]
+            kind = [w for w in words if (w[0] == 32) == spaced]
             for at in range(0, len(kind), 10_000):
                 part = kind[at : at + 10_000]
                 ids = self._ids([(b"".join(part) if spaced else b"\n" + b"\n".join(part)).decode()])[0]
@@ -151,46 +199,81 @@ class Encoder:
                     alone += part
                     continue
                 body, places, skipped = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)], 0 if spaced else 4
-                self.recent.update(zip(part, [body[a + skipped : b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
-        self.recent.update(zip(alone, [ids.tobytes() for ids in self._ids([w.decode() for w in alone])], strict=True))
-
-    def _look_up(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct words."""
-        if len(self.recent) > self.most // 2:
-            self.older, self.recent = self.recent, {}
-        found = list(map(self.recent.get, words))
-        if None in found:
-            new = [w for w, ids in zip(words, found, strict=True) if ids is None]
-            past = list(map(self.older.get, new))
-            self.recent.update([(w, ids) for w, ids in zip(new, past, strict=True) if ids is not None])
-            self._learn([w for w, ids in zip(new, past, strict=True) if ids is None])
-            found = list(map(self.recent.__getitem__, words))
+                got.update(zip(part, [body[a + skipped : b] for a, b in zip(places[:-1], places[1:], strict=True)], strict=True))
+        got.update(zip(alone, [ids.tobytes() for ids in self._ids([w.decode() for w in alone])], strict=True))
+        found = list(map(got.__getitem__, words))
+        return np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
+
+    def _keep(self, ids, counts) -> np.ndarray:
+        """Put the ids of new words behind those kept; the numbers of the words."""
+        ids, counts = np.asarray(ids, "<u4"), np.asarray(counts, np.int64)
+        k, at = self.count, self.filled
+        self.count, self.filled = k + len(counts), at + len(ids)
+        if self.filled > len(self.ids):
+            self.ids = np.append(self.ids[:at], np.empty(self.filled, "<u4"))
+        self.ids[at : self.filled] = ids
+        self.places[k : self.count], self.sizes[k : self.count] = at + np.cumsum(counts) - counts, counts
+        return np.arange(k, self.count, dtype=np.int32)
+
+    def _slots_of(self, words: np.ndarray) -> np.ndarray:
+        mixed = words[0] * _FACTORS[0] + words[1] * _FACTORS[1]
+        return ((mixed ^ (mixed >> np.uint64(32))) * _FACTORS[0] >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of short words that are kept, or -1."""
+        found, left, slots = np.full(words.shape[1], -1, np.int32), np.arange(words.shape[1]), self._slots_of(words)
+        while len(left):
+            held = self.slots[slots]
+            same = (held >= 0) & (self.words[0][held] == words[0][left]) & (self.words[1][held] == words[1][left])
+            found[left[same]] = held[same]
+            next_ = (held >= 0) & ~same
+            left, slots = left[next_], (slots[next_] + 1) & (len(self.slots) - 1)
         return found
 
+    def _add(self, words: np.ndarray, ids, counts) -> None:
+        """Keep distinct new short words."""
+        numbers, slots = self._keep(ids, counts), self._slots_of(words)
+        self.words[:, numbers] = words
+        while len(numbers):
+            free = self.slots[slots] < 0
+            self.slots[slots[free]] = numbers[free]
+            left = self.slots[slots] != numbers
+            numbers, slots = numbers[left], (slots[left] + 1) & (len(self.slots) - 1)
+
+    def _numbers_of(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of words of data; new ones are encoded and kept."""
+        numbers, body, mixed = np.empty(len(starts), np.int32), data.tobytes(), np.logical_or.reduceat(_MIXED[data], starts)
+        cut = lambda some: [body[a:b] for a, b in zip(starts[some].tolist(), (starts + sizes)[some].tolist(), strict=True)]
+        short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)
+        words = _numbers(data, starts[short], sizes[short])
+        found = self._find(words)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            new = new[np.lexsort(words[:, new])]
+            first = new[np.append(True, (words[:, new[1:]] != words[:, new[:-1]]).any(0))]
+            for encode, some in ((self._pieces, first[~mixed[short[first]]]), (self._mixed, first[mixed[short[first]]])):
+                if len(some):
+                    self._add(words[:, some], *encode(cut(short[some])))
+            found[new] = self._find(words[:, new])
+        numbers[short] = found
+        if len(long):
+            met = cut(long)
+            fresh = {w: m for w, m in zip(met, mixed[long].tolist(), strict=True) if w not in self.long}
+            for encode, some in ((self._pieces, [w for w, m in fresh.items() if not m]), (self._mixed, [w for w, m in fresh.items() if m])):
+                if some:
+                    self.long.update(zip(some, self._keep(*encode(some)).tolist(), strict=True))
+            numbers[long] = list(map(self.long.__getitem__, met))
+        return numbers
+
     def _chunk(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words of data that begin at starts, and how many each has."""
-        sizes = np.diff(np.append(starts, len(data)))
-        factors = np.full(int(sizes.max()), _FACTOR, np.uint64)
-        factors[0] = 1
-        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-        key = np.add.reduceat(_BYTE[data] * np.multiply.accumulate(factors)[place], starts)
-        order = np.argsort(key)
-        new = np.append(True, key[order[1:]] != key[order[:-1]])
-        first, group = order[new], np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        if (sizes[first][group] != sizes).any() or (data[_stretches(starts[first][group], sizes)] != data).any():
-            first, group = np.arange(len(starts)), np.arange(len(starts))  # two words share a hash
-        body = data.tobytes()
+        if self.slots is None or self.count > self.most or self.filled > 16 * self.most:
+            self._begin()
         gc.disable()  # nothing here makes cycles, and the many strings would be scanned again and again
-        found = self._look_up([body[a:b] for a, b in zip(starts[first].tolist(), (starts + sizes)[first].tolist(), strict=True)])
+        numbers = self._numbers_of(data, starts, np.diff(np.append(starts, len(data))))
         gc.enable()
-        flat, n = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
-        counts = n[group]
-        return flat[_stretches((np.cumsum(n) - n)[group], counts)], counts
-
-    def forget(self) -> None:
-        """Drop the words kept; the vocabulary stays."""
-        self.recent, self.older = {}, {}
+        counts = self.sizes[numbers]
+        return self.ids[_stretches(self.places[numbers], counts)], counts
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""

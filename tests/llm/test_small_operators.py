@@ -401,6 +401,26 @@ def test_encoder_equals_library():
         assert np.array_equal(ids.ids, found), (text or "")[:60]
 
 
+def test_words_of_one_piece_go_to_the_model():
+    """Only digits and contractions need the pre-tokenizer; words of every size around SHORT, also when met again, keep their ids."""
+    import random
+
+    own, draw, sent = op10_tokens.Encoder(op10_tokens.public_vocabulary(), kept=3000), random.Random(8), []
+    ids_of = own._ids
+    own._ids = lambda texts: sent.extend(texts) or ids_of(texts)
+    words = ["".join(draw.choice("th er on re qu x \u00df \u044f".split()) for _ in range(draw.randint(1, 12))) for _ in range(6000)]
+    words += ["a" * k for k in range(1, 40)] + ["~" * k for k in range(1, 20)]
+    texts = [" ".join(draw.choice(words) for _ in range(40)) + draw.choice(["", ".", "\n\n", "  "]) for _ in range(20_000)]
+    want = own.library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(np.array_equal(w.ids, g) for w, g in zip(want, own.encode(op10_tokens.pa.array(texts)), strict=True))
+    assert not sent
+    assert own.count <= 3000 + len(words) * 2
+    mixed = "it's 12 x"
+    assert next(own.encode(op10_tokens.pa.array([mixed]))).tolist() == own.library.encode(mixed, add_special_tokens=False).ids and sent
+    own.forget()
+    assert sum(x.nbytes for x in vars(own).values() if isinstance(x, np.ndarray)) < 1 << 20
+
+
 def test_an_id_of_many_rows_is_dealt_over_parts(spark, tmp_path):
     rows = [(5, f"text {k}", "en", "s") for k in range(400)] + [(k, "other", "en", "s") for k in range(200)]
     path = (tmp_path / "hot").as_uri()
