@@ -2,8 +2,9 @@
 
 Every byte that a passage of LENGTH bytes covers is removed if the passage also starts in a document with a smaller id.
 
-1. Documents with the same text are one; only the smallest id's text goes on. The texts are kept as groups of about a megabyte,
-   in a bucketed table, so later joins by group move no text.
+1. Documents with the same text are one; only the smallest id's text goes on. The texts are kept as groups of 1 to 16 MB, in a
+   bucketed table, so later joins by group move no text. A group sends one row to each part of the anchors, whatever its windows:
+   rows grow as groups times parts, so a group of a large table is large.
 2. In each group the passages are cut into runs that share an anchor: the byte string of ANCHOR bytes that is smallest, by its hash,
    within the passage. The same passage has the same anchor wherever it stands. A group is worked on in windows of about a
    megabyte; a longer text is cut into windows that overlap by a passage, so memory does not grow with groups or texts. For each
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import batched
 from math import ceil
 
 import numpy as np
@@ -35,12 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrid.llm.common import cut, scratch_path, table
+from kinegrid.llm.common import cut, in_tasks, scratch_path, table
 from kinegrid.llm.suffixes import SEPARATOR, common_prefixes, two_stage
 
 LENGTH, ANCHOR = 50, 24
 #: Least and most bytes of text in a group, and groups there are between the two; bytes of it that are worked on at a time.
-GROUP_LEAST, GROUP_MOST, GROUPS, WINDOW = 1 << 20, 1 << 25, 4096, 1 << 20
+GROUP_LEAST, GROUP_MOST, GROUPS, WINDOW = 1 << 20, 1 << 24, 128, 1 << 20
+#: Places that are hashed at a time, so that the arrays stay in the processor's cache; bytes of runs that a group holds before it sends them.
+BLOCK, HELD_BYTES = 1 << 15, 16 << 20
+#: Rows that a group sends at a time.
+ROWS = 64
 #: Bytes of text for each part of the anchors.
 PART_BYTES = 8 << 20
 #: Contents of one anchor in a suffix array; beyond it they are dealt out by passage.
@@ -58,9 +64,23 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' numbers times their powers, before each place and at the end."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    for s in range(0, len(data), BLOCK):
+        x = _BYTE[data[s : s + BLOCK]]
+        x *= powers[s : s + len(x)]
+        x[:1] += sums[s : s + 1]
+        np.cumsum(x, out=sums[s + 1 : s + 1 + len(x)])
+    return sums
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,24 +109,9 @@ class Runs:
         starts = n - length
         self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.content = np.zeros(0, np.uint64)
-        self.sides = np.zeros(0, np.uint32)
         if starts <= 0:
             return
-        x = _BYTE[self.data]
-        two = x[:-1] * _STEP[0] + x[1:]
-        four = two[:-2] * _STEP[1] + two[2:]
-        eight = four[:-4] * _STEP[2] + four[4:]
-        sixteen = eight[:-8] * _STEP[3] + eight[8:]
-        gram = _mix(sixteen[: n - ANCHOR + 1] * _STEP[4] + eight[16:])
-        place_bits = np.uint64(max(20, n.bit_length()))
-        key = (gram >> place_bits << place_bits) | np.arange(len(gram), dtype=np.uint64)
-        width, span = length - ANCHOR + 1, 1
-        while 2 * span <= width:
-            key = np.minimum(key[:-span], key[span:])
-            span *= 2
-        if span < width:
-            key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-        at = (key[:starts] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
+        at, gram = self._anchors(starts)
         valid = np.zeros(starts, bool)
         for begin, size in zip(self.begin.tolist(), sizes.tolist(), strict=True):
             if size >= length:
@@ -119,18 +124,44 @@ class Runs:
         self.last = np.flatnonzero(end & valid)
         self.doc = np.searchsorted(self.begin, self.first, side="right") - 1
         self.anchor = gram[at[self.first]]
-        powers, inverse = _power_tables(n)
-        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(x * powers[:n], dtype=np.uint64)])
-        self._inverse = inverse
+        powers, self._inverse = _power_tables(n)
+        self._sums = _sums(self.data, powers)
         self.content = self.hashes(self.first, self.last + length)
-        place, half = at[self.first], -(-(length - ANCHOR) // 2)
-        left = self._side(place - half, place + ANCHOR)
-        right = self._side(place, place + ANCHOR + half)
-        self.sides = (left << np.uint32(16)) | right
+        self._place = at[self.first].astype(np.int64)
 
-    def _side(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _anchors(self, starts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each passage's anchor, and the hash of the ANCHOR bytes at each place."""
+        n = len(self.data)
+        place_bits = np.uint64(max(20, n.bit_length()))
+        at, gram = np.empty(starts, np.int32 if n >> 31 == 0 else np.int64), np.empty(n, np.uint64)
+        for s in range(0, starts, BLOCK):
+            e = min(starts, s + BLOCK)
+            x = _BYTE[self.data[s : e + self.length - 1]]
+            two = x[:-1] * _STEP[0] + x[1:]
+            four = two[:-2] * _STEP[1] + two[2:]
+            eight = four[:-4] * _STEP[2] + four[4:]
+            sixteen = eight[:-8] * _STEP[3] + eight[8:]
+            own = _mix(sixteen[: len(x) - ANCHOR + 1] * _STEP[4] + eight[16:])
+            gram[s : s + len(own)] = own
+            key = (own >> place_bits << place_bits) | np.arange(s, s + len(own), dtype=np.uint64)
+            width, span = self.length - ANCHOR + 1, 1
+            while 2 * span <= width:
+                key = np.minimum(key[:-span], key[span:])
+                span *= 2
+            if span < width:
+                key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
+            at[s:e] = key & ((np.uint64(1) << place_bits) - np.uint64(1))
+        return at, gram
+
+    def sides(self, which: np.ndarray) -> np.ndarray:
+        """Of some runs: hashes of the anchor with what stands on its left and on its right, 16 bits each."""
+        first, last, place, half = self.first[which], self.last[which] + self.length, self._place[which], -(-(self.length - ANCHOR) // 2)
+        left, right = (self._side(first, last, begin, end) for begin, end in ((place - half, place + ANCHOR), (place, place + ANCHOR + half)))
+        return (left << np.uint32(16)) | right
+
+    def _side(self, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """15 bits of the hash of an anchor with what stands at one side, and a 1; 0 if the run does not reach so far."""
-        inside = (begin >= self.first) & (end <= self.last + self.length)
+        inside = (begin >= first) & (end <= last)
         bits = self.hashes(np.where(inside, begin, 0), np.where(inside, end, 0)) >> np.uint64(49)
         return np.where(inside, (bits.astype(np.uint32) << np.uint32(1)) | np.uint32(1), np.uint32(0)).astype(np.uint32)
 
@@ -167,14 +198,20 @@ def windows(texts: list[bytes], ids: np.ndarray, length: int, size: int = WINDOW
 
 def _records(runs: Window, parts: int) -> tuple:
     """For each distinct content: its first run (the smallest id's), part and record, in the order they are sent; for each run: its place there."""
-    _, first, place = np.unique(runs.content, return_index=True, return_inverse=True)
+    if not len(runs.first):
+        return runs.first, runs.first, runs.content, runs.first
+    order = np.argsort(runs.content)
+    new = np.append(True, runs.content[order[1:]] != runs.content[order[:-1]])
+    first = np.minimum.reduceat(order, np.flatnonzero(new))
     part = ((runs.anchor[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((first, part))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    first, part = first[order], part[order]
+    sent = np.argsort((part << 32) | first)
+    back = np.empty(len(sent), np.int64)
+    back[sent] = np.arange(len(sent))
+    place = np.empty(len(order), np.int64)
+    place[order] = back[np.cumsum(new) - 1]
+    first, part = first[sent], part[sent]
     record = ((runs.anchor[first] & np.uint64((1 << (64 - CONTENT_BITS)) - 1)) << np.uint64(CONTENT_BITS)) | (runs.content[first] >> np.uint64(64 - CONTENT_BITS))
-    return first, part, record, back[place.ravel()]
+    return first, part, record, place
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -186,17 +223,36 @@ def _swell(body: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
+def _thin(ids: np.ndarray) -> bytes:
+    """The first id and the steps to the others, in as few bytes each as the largest needs; steps wrap around 2**64."""
+    steps = np.diff(ids.view(np.uint64))
+    return ids[:1].tobytes() + steps.astype(np.min_scalar_type(int(steps.max(initial=0)))).tobytes()
+
+
+def _full(body: bytes, n: int) -> np.ndarray:
+    """The n ids of _thin."""
+    ids = np.empty(n, np.uint64)
+    ids[0] = np.frombuffer(body, np.uint64, 1)[0]
+    if n > 1:
+        ids[1:] = np.frombuffer(body, f"u{(len(body) - 8) // (n - 1)}", offset=8)
+    return np.cumsum(ids, out=ids).view(np.int64)
+
+
 def _row_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def group_size(total: int) -> int:
+    """Bytes of text in a group, of so many in the table."""
+    return min(GROUP_MOST, max(GROUP_LEAST, total // GROUPS))
+
+
 _GROUP = pa.schema([("g", pa.int32()), ("ids", pa.binary()), ("keys", pa.list_(pa.string())), ("sizes", pa.binary()), ("body", pa.binary())])
 
 
 def _texts(sizes: bytes, body: bytes) -> list[bytes]:
     lengths = np.frombuffer(sizes, np.int64)
-    flat, ends = _swell(body, np.uint8).tobytes(), np.cumsum(lengths)
-    view = memoryview(flat)
+    view, ends = memoryview(_swell(body, np.uint8)), np.cumsum(lengths)
     return [view[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
 
 
@@ -245,17 +301,20 @@ def _send_records(groups: DataFrame, parts: int, length: int, window: int) -> Da
                 found = []
                 for runs in windows(_texts(sizes.as_py(), body.as_py()), ids, length, window):
                     first, part, record, _ = _records(runs, parts)
-                    found.append((part, record, runs.sides[first], runs.ids[runs.doc[first]]))
-                part, record, sides, d = (np.concatenate([f[k] for f in found]) for k in range(4))
-                if len(part):
-                    order, rows = np.argsort(part, kind="stable"), []
-                    part, record, sides, d = part[order], record[order], sides[order], d[order]
-                    bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                        rows.append((int(part[a]), g.as_py(), record[a:b].tobytes(), sides[a:b].tobytes(), _squeeze(np.diff(d[a:b], prepend=0))))
-                    yield _row_batch(rows, schema)
-
-    return groups.mapInArrow(send, "p int, g int, records binary, sides binary, ids binary")
+                    found.append((part, record, runs.sides(first), runs.ids[runs.doc[first]]))
+                part = np.concatenate([f[0] for f in found])
+                if not len(part):
+                    continue
+                order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+                record, sides, d = (np.concatenate([f[k] for f in found])[order] for k in (1, 2, 3))
+                part = part[order]
+                found.clear()
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+                rows = [(int(part[a]), g, a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                for k in range(0, len(rows), ROWS):
+                    yield _row_batch([(p, g.as_py(), record[a:b].tobytes(), sides[a:b].tobytes(), _thin(d[a:b])) for p, g, a, b in rows[k : k + ROWS]], schema)
+
+    return in_tasks(groups, send, "p int, g int, records binary, sides binary, ids binary")
 
 
 UNIQUE, KNOWN, COMPARED, DEALT = 0, 1, 2, 3
@@ -272,12 +331,11 @@ def judge_records(record: np.ndarray, sides: np.ndarray, d: np.ndarray, hot: int
 
     A passage that two contents share has at least half of what it is longer than the anchor on one side of it.
     """
-    order = np.lexsort((d, record))
+    order = np.argsort(record)
     record, sides, d = record[order], sides[order], d[order]
     new = np.concatenate([[True], record[1:] != record[:-1]])
     same = np.cumsum(new) - 1
-    least = d[np.flatnonzero(new)][same]
-    known = d > least
+    known = d > np.minimum.reduceat(d, np.flatnonzero(new))[same]
     anchor = record >> np.uint64(CONTENT_BITS)
     new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     of_anchor = np.cumsum(new_anchor) - 1
@@ -303,7 +361,7 @@ def _judge(sent: DataFrame, hot: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             code = judge_records(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)), hot)
             ends = np.cumsum([len(h[1]) for h in held])
-            return _row_batch([(g, p, _squeeze(code[e - len(r) : e])) for (g, r, _, _), e in zip(held, ends.tolist(), strict=True)], schema)
+            return _row_batch([(g, p, code[e - len(r) : e].tobytes()) for (g, r, _, _), e in zip(held, ends.tolist(), strict=True)], schema)
 
         for batch in batches:
             for own, g, record, side, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -311,11 +369,11 @@ def _judge(sent: DataFrame, hot: int) -> DataFrame:
                     if held:
                         yield out()
                     p, held = own, []
-                held.append((g, np.frombuffer(record, np.uint64), np.frombuffer(side, np.uint32), np.cumsum(_swell(ids, np.int64))))
+                held.append((g, np.frombuffer(record, np.uint64), np.frombuffer(side, np.uint32), _full(ids, len(record) // 8)))
         if held:
             yield out()
 
-    return sent.repartition(F.col("p")).sortWithinPartitions("p", "g").mapInArrow(judge, "g int, p int, codes binary")
+    return in_tasks(sent.repartition(F.col("p")).sortWithinPartitions("p", "g"), judge, "g int, p int, codes binary")
 
 
 _PLACES = "g int, q int, ids binary, doc binary, at binary, size binary, body binary"
@@ -326,28 +384,40 @@ def _apply(groups: DataFrame, answers: DataFrame, parts: int, length: int, windo
     schema = pa.schema([("g", pa.int32()), ("q", pa.int32()), *((n, pa.binary()) for n in ("ids", "doc", "at", "size", "body"))])
     answered = answers.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "codes"))).alias("codes"))
 
+    def sent(g: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(_united(g, held), ROWS):
+            yield _row_batch(list(rows), schema)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, ids, sizes, body, codes in zip(*batch.columns, strict=True):
                 ids = np.frombuffer(ids.as_py(), np.int64)
-                codes = {c["p"]: _swell(c["codes"], np.uint8) for c in codes.as_py()}
-                used = dict.fromkeys(codes, 0)
+                codes = codes.as_py()
+                answers = np.frombuffer(b"".join(c["codes"] for c in codes), np.uint8)
+                sizes_of = np.zeros(parts, np.int64)
+                sizes_of[[c["p"] for c in codes]] = [len(c["codes"]) for c in codes]
+                held, n, used = [], 0, np.cumsum(sizes_of) - sizes_of
                 for runs in windows(_texts(sizes.as_py(), body.as_py()), ids, length, window):
                     first, part, _, place = _records(runs, parts)
                     if not len(first):
                         continue
-                    code = []
-                    for p, n in zip(*(x.tolist() for x in np.unique_counts(part)), strict=True):
-                        code.append(codes[p][used[p] : used[p] + n])
-                        used[p] += n
-                    yield _row_batch(list(_answered(g.as_py(), runs, first, place, np.concatenate(code)[place], parts)), schema)
+                    counts = np.bincount(part, minlength=parts)
+                    code = answers[(used - np.cumsum(counts) + counts)[part] + np.arange(len(part))]
+                    used += counts
+                    held.append(_answered(runs, first, place, code[place], parts))
+                    n += int(held[-1][1][-1].sum())
+                    if n > HELD_BYTES:
+                        yield from sent(g.as_py(), held)
+                        held, n = [], 0
+                if held:
+                    yield from sent(g.as_py(), held)
 
     joined = groups.select("g", "ids", "sizes", "body").join(answered.hint("shuffle_hash"), "g")
-    return joined.select("g", "ids", "sizes", "body", "codes").mapInArrow(apply, _PLACES)
+    return in_tasks(joined.select("g", "ids", "sizes", "body", "codes"), apply, _PLACES)
 
 
-def _answered(g: int, runs: Window, first: np.ndarray, place: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Rows of a window: the places that are removed, then the runs to compare for each part."""
+def _answered(runs: Window, first: np.ndarray, place: np.ndarray, code: np.ndarray, parts: int) -> tuple:
+    """Of a window: the places that are removed; the runs to compare, with their part, begin in the data, ids and places; the data."""
     length, own = runs.length, runs.ids[runs.doc]
     behind = own > own[first][place]  # a smaller id of this window has the same content
     gone = [np.flatnonzero(behind | (code == KNOWN))]
@@ -369,27 +439,34 @@ def _answered(g: int, runs: Window, first: np.ndarray, place: np.ndarray, code:
             ends.append(end[later])
             begin, end, q = begin[~later], end[~later], q[~later]
         sent.append((begin, end, ((q >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)))
-    yield g, None, None, *_places(runs, np.concatenate(begins), np.concatenate(ends)), None
-    for begin, end, q in sent:
-        order = np.argsort(q, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []:
-            b, e = begin[some], end[some]
-            n = e - b
-            inside = np.repeat(b, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which = np.searchsorted(runs.begin, b, side="right") - 1
-            yield g, int(q[some[0]]), runs.ids[which].tobytes(), *_places(runs, b, e), _squeeze(runs.data[inside])
-
-
-def _places(runs: Window, begin: np.ndarray, end: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    begin, end, q = (np.concatenate(x) for x in zip(*sent, strict=True))
+    which = np.searchsorted(runs.begin, begin, side="right") - 1
+    return _places(runs, np.concatenate(begins), np.concatenate(ends)), (q, begin, runs.ids[which], *_places(runs, begin, end)), runs.data
+
+
+def _united(g: int, held: list[tuple]) -> Iterator[tuple]:
+    """Rows of some windows of a group: the places that are removed, then the runs to compare, a row for each part."""
+    yield g, None, None, *(np.concatenate([h[0][k] for h in held]).tobytes() for k in range(3)), None
+    data = np.concatenate([h[2] for h in held])
+    ahead = np.cumsum([0, *(len(h[2]) for h in held[:-1])])
+    q, begin, ids, doc, at, size = (np.concatenate([h[1][k] + (a if k == 1 else 0) for h, a in zip(held, ahead.tolist(), strict=True)]) for k in range(6))
+    order = np.argsort(q, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []:
+        n = size[some].astype(np.int64)
+        inside = np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield g, int(q[some[0]]), ids[some].tobytes(), doc[some].tobytes(), at[some].tobytes(), size[some].tobytes(), _squeeze(data[inside])
+
+
+def _places(runs: Window, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     piece = np.searchsorted(runs.begin, begin, side="right") - 1
-    return runs.docs[piece].astype(np.int32).tobytes(), (begin - runs.begin[piece] + runs.offsets[piece]).astype(np.int64).tobytes(), (end - begin).astype(np.int32).tobytes()
+    return runs.docs[piece].astype(np.int32), begin - runs.begin[piece] + runs.offsets[piece], (end - begin).astype(np.int32)
 
 
 def _shared_stretches(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment, place in it and size of the stretches of passages whose hash segments of different ids have; no shared passage is left out."""
     begin = np.cumsum(sizes) - sizes
     powers, inverse = _power_tables(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * powers[: len(data)], dtype=np.uint64)])
+    sums = _sums(data, powers)
     n = np.maximum(sizes - length + 1, 0)
     at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     segment = np.repeat(np.arange(len(sizes)), n)
@@ -420,12 +497,13 @@ def shared_starts(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, leng
     data = np.full(begin[-1], SEPARATOR, np.uint8)
     data[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = segments
     order = two_stage(data, length)
-    alike = common_prefixes(data, order, length) >= length
-    segment = np.searchsorted(begin, order, side="right") - 1
-    whole = order + length <= begin[segment] + sizes[segment]
-    order, segment, alike = order[whole], segment[whole], alike[whole]  # whole passages that are equal are neighbours
+    holder = np.repeat(np.arange(len(sizes)), sizes + 1)
+    whole = np.arange(len(data)) + length <= (begin[:-1] + sizes)[holder]
+    order = order[whole[order]]  # whole passages that are equal are neighbours among all suffixes, and among these
     if not len(order):
         return order, order
+    segment = holder[order]
+    alike = common_prefixes(data, order, length) >= length
     starts = np.flatnonzero(~alike) if not alike[0] else np.concatenate([[0], np.flatnonzero(~alike)])
     least = np.minimum.reduceat(ids[segment], starts)
     later = ids[segment] > np.repeat(least, np.diff(np.append(starts, len(order))))
@@ -443,10 +521,14 @@ def _compare(runs: DataFrame, length: int) -> DataFrame:
             group = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
             ids, doc, at, size = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
             segment, place = shared_starts(np.concatenate([h[5] for h in held]), size.astype(np.int64), ids, length)
-            rows = []
-            for g in np.unique(group[segment]).tolist():
-                own = group[segment] == g
-                rows.append((g, doc[segment[own]].tobytes(), (at[segment[own]] + place[own]).astype(np.int64).tobytes(), np.full(own.sum(), length, np.int32).tobytes()))
+            group, doc, at = group[segment], doc[segment], at[segment] + place
+            order = np.lexsort((at, doc, group))
+            group, doc, at = group[order], doc[order], at[order]
+            edge = np.append(True, (np.diff(group) > 0) | (np.diff(doc) > 0) | (np.diff(at) > length)) if len(at) else np.zeros(0, bool)
+            first, last = np.flatnonzero(edge), np.flatnonzero(np.append(edge[1:], True)) if len(at) else order  # passages in a row are one place
+            group, doc, size, at = group[first], doc[first], (at[last] - at[first] + length).astype(np.int32), at[first]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            rows = [(int(group[a]), doc[a:b].tobytes(), at[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
             return _row_batch(rows, schema)
 
         for batch in batches:
@@ -460,7 +542,7 @@ def _compare(runs: DataFrame, length: int) -> DataFrame:
             yield out()
 
     placed = runs.select("q", "g", "ids", "doc", "at", "size", "body").repartition(F.col("q")).sortWithinPartitions("q", "g")
-    return placed.mapInArrow(compare, "g int, doc binary, at binary, size binary")
+    return in_tasks(placed, compare, "g int, doc binary, at binary, size binary")
 
 
 _RESULT = "key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -512,7 +594,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int | Non
     total = least.agg(F.sum("n")).first()[0] or 0
     copies = rows.where("d > least").select("d", "key")
     copies = F.broadcast(copies) if copies.count() <= SENT_COPIES else copies
-    groups = max(1, ceil(total / (group_bytes or min(GROUP_MOST, max(GROUP_LEAST, total // GROUPS)))))
+    groups = max(1, ceil(total / (group_bytes or group_size(total))))
     parts = max(1, ceil(total / part_bytes))
     name = _grouped(keyed.join(copies, ["d", "key"], "left_anti"), groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:

@@ -18,18 +18,15 @@ def two_stage(data: np.ndarray, depth: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     # type B: the next different byte is larger; the end is smaller than every byte
-    change = np.flatnonzero(np.diff(data)) if n > 1 else np.zeros(0, np.int64)
+    change = np.flatnonzero(data[1:] != data[:-1])
     rises = data[change + 1] > data[change]
-    run = np.searchsorted(change, np.arange(n))
-    type_b = np.append(rises, False)[run]
+    type_b = np.repeat(np.append(rises, False), np.diff(change, prepend=-1, append=n - 1))
 
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
     b = np.flatnonzero(type_b)
     if len(b):
-        width = -(-depth // 8) * 8
-        windows = np.lib.stride_tricks.sliding_window_view(padded, width)[b]
-        words = np.ascontiguousarray(windows).view(">u8").astype(np.uint64)
-        b = b[_order(words)]
+        windows = np.lib.stride_tricks.sliding_window_view(padded, depth)[b]
+        b = b[np.argsort(np.ascontiguousarray(windows).view(f"V{depth}").ravel())]
     counts = np.bincount(data, minlength=256)
     b_start = np.searchsorted(data[b], np.arange(257))
     a_of: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -59,36 +56,18 @@ def two_stage(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _order(words: np.ndarray) -> np.ndarray:
-    """Rows in lexicographic order: by the first word, then ties alone by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = np.zeros(len(order), bool)
-    same = words[order[1:], 0] == words[order[:-1], 0]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    for k in range(1, words.shape[1]):
-        tied[:] = False
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        rows = order[at]
-        inner = np.lexsort((words[rows, k], group[at]))
-        order[at] = rows[inner]
-        same = same & (words[order[1:], k] == words[order[:-1], k])
-        group = np.concatenate([[0], np.cumsum(~same)])
-    return order
-
-
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in order, at most depth; 0 for the first."""
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
+    words = np.ndarray(len(data) + depth, "<u8", np.concatenate([data, np.zeros(depth + 7, np.uint8)]), strides=(1,))  # the eight bytes at each place
     out = np.zeros(len(order), np.int32)
     pairs = np.arange(1, len(order))
-    for k in range(depth):
-        a, b = order[pairs] + k, order[pairs - 1] + k
-        pairs = pairs[(padded[a] == padded[b]) & (np.maximum(a, b) < len(data))]
+    for k in range(0, depth, 8):
+        differ = words[order[pairs] + k] ^ words[order[pairs - 1] + k]
+        same = np.bitwise_count(~differ & (differ - np.uint64(1))) >> np.uint8(3)  # zero bytes below the first that is not
+        out[pairs] = k + same
+        pairs = pairs[same == 8]
         if not len(pairs):
             break
-        out[pairs] = k + 1
+    left = len(data) - np.maximum(order[1:], order[:-1])
+    out[1:] = np.minimum(out[1:], np.minimum(left, depth))
     return out

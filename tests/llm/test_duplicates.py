@@ -88,6 +88,38 @@ def test_repeats_of_nothing(spark):
     assert op02_repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_group_sends_a_part_one_row(spark):
+    """Rows grow as groups times parts, not as windows times parts; at 10 GB of text they are under a million."""
+    draw = random.Random(4)
+    parts = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randint(60, 200))) for _ in range(60)]
+    rows = [(k, str(k), "".join(draw.choice(parts) + draw.choice("xyz") for _ in range(6))) for k in range(120)]
+    name = op02_repeats._grouped(spark.createDataFrame(rows, "d long, key string, text string"), 3, 2)
+    texts = spark.table(name)
+    answers = op02_repeats._judge(op02_repeats._send_records(texts, 4, 50, 700), 2000).localCheckpoint()
+    sent = [(r.g, r.q) for r in op02_repeats._apply(texts, answers, 4, 50, 700).collect()]
+    spark.sql(f"DROP TABLE {name}")
+    assert len(sent) == len(set(sent)) and sum(q is not None for _, q in sent) > 4
+    total = 10 << 30
+    assert total / op02_repeats.group_size(total) * total / op02_repeats.PART_BYTES < 1e6
+
+
+@pytest.mark.parametrize("ids", [[5], [5, 5, 6, 300], [-4, 0, 70_000, 1 << 40, (1 << 63) - 1], [9, 2, 2], [-(1 << 63), (1 << 63) - 1]])
+def test_ids_are_sent_as_steps(ids):
+    assert op02_repeats._full(op02_repeats._thin(np.array(ids, np.int64)), len(ids)).tolist() == ids
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeats_sent_in_turns_equal_brute_force(spark, hot, monkeypatch):
+    """A group that holds much sends several rows to a part; passages in a row, and zero bytes, are removed as one by one."""
+    monkeypatch.setattr(op02_repeats, "HELD_BYTES", 500)
+    monkeypatch.setattr(op02_repeats, "ROWS", 2)
+    draw = random.Random(6)
+    parts = ["".join(draw.choice("ab\0 ") for _ in range(draw.randint(45, 140))) for _ in range(9)]
+    rows = [(k - 3, "".join(draw.choice(parts) for _ in range(draw.randint(0, 5)))) for k in range(60)]
+    got = op02_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=3000, part_bytes=5000, hot=hot, window=700).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_by_hand(rows)
+
+
 def near_by_hand(rows, size, percent=80):
     sets = []
     for _, t in rows:
